@@ -32,7 +32,7 @@ def sql_index(words: list[str], c: str) -> str:
     return f"(list_position({words!r}, {c}) - 1)"
 
 
-class Domain:
+class _Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self._staged: dict[str, DataFrame] = {}
@@ -78,7 +78,7 @@ class Domain:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return self.monthly_of("keyword")
+        return self.stage("monthly", lambda: self.monthly_of("keyword"))
 
     def metrics_of(self, text: str) -> DataFrame:
         at = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
@@ -117,7 +117,7 @@ class Domain:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return self.metrics_of("keyword")
+        return self.stage("metrics", lambda: self.metrics_of("keyword"))
 
     @cached_property
     def query(self) -> DataFrame:
@@ -143,12 +143,12 @@ class Domain:
     def edges(self) -> DataFrame:
         """Distinct unordered pairs of an order's lead keyword with its other keywords: linear in the lines."""
         lead = self.leads.select("l_orderkey", F.col("keyword").alias("lead"))
-        return (
+        return self.stage("edges", lambda: (
             self.lines.select("run_id", "l_orderkey", "keyword").join(lead, "l_orderkey")
             .where(F.col("lead") != F.col("keyword"))
             .select("run_id", F.least("lead", "keyword").alias("a"), F.greatest("lead", "keyword").alias("b"))
             .distinct()
-        )
+        ))
 
     @cached_property
     def raw_journeys(self) -> DataFrame:
@@ -160,7 +160,7 @@ class Domain:
 
     @cached_property
     def journeys(self) -> DataFrame:
-        return records.read_paths(self.raw_journeys)
+        return self.stage("journeys", lambda: records.read_paths(self.raw_journeys))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -182,7 +182,18 @@ class Domain:
     def related(self) -> DataFrame:
         """Related queries with their rank position: volume order, then text."""
         m = self.metrics_of("related")
-        return rank.positions(m, ["run_id"], [-F.col("volume_total"), F.col("keyword")], "rank")
+        return self.stage("related", lambda: rank.positions(m, ["run_id"], [-F.col("volume_total"), F.col("keyword")], "rank"))
+
+
+_open: dict[tuple, _Domain] = {}
+
+
+def Domain(spark: SparkSession, sf_dir: str) -> _Domain:
+    """The domain of one folder in one application; its staged tables serve every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _open:
+        _open[key] = _Domain(spark, sf_dir)
+    return _open[key]
 
 
 piece("q_lines", """

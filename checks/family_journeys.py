@@ -9,7 +9,7 @@ from .sqlkit import check, piece
 
 def parts(dom):
     """journeys, edges, nodes, ranked journeys"""
-    journeys = dom.stage("journeys", lambda: dom.journeys)
+    journeys = dom.journeys
     edges = dom.stage("journey edges", lambda: op.journey_edges(journeys))
     nodes = dom.stage("journey nodes", lambda: op.journey_nodes(journeys, edges, dom.metrics))
     return journeys, edges, nodes, op.rank_journeys(journeys, nodes)

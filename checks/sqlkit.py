@@ -34,6 +34,8 @@ def statement(final: str) -> str:
     if not done:
         return final
     body = ",\n".join(f"{k} AS MATERIALIZED (\n{v}\n)" for k, v in done.items())
+    if final.lstrip().startswith("WITH "):  # the pieces join its own list
+        return f"WITH {body},\n{final.lstrip()[5:]}"
     return f"WITH {body}\n{final}"
 
 
