@@ -231,7 +231,7 @@ def _peers(m):
 
 
 check("F13_peer_scale_filter", on(_peers), """
-SELECT run_id, bundle_id, CASE WHEN small THEN NULL ELSE pos::int END AS pos, small, avg, gt, gt-baseline AS rel FROM q_peers JOIN q_verdicts USING (run_id) WHERE small OR pos<=10""")
+SELECT run_id, bundle_id, CASE WHEN small THEN 0 ELSE pos::int END AS pos, small, avg, gt, gt-baseline AS rel FROM q_peers JOIN q_verdicts USING (run_id) WHERE small OR pos<=10""")
 
 
 def _cover(m):

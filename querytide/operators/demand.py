@@ -275,7 +275,7 @@ def peer_scale_filter(peers: DataFrame, target: DataFrame) -> DataFrame:
     rows = peers.join(t, "run_id").withColumn(
         "small", (F.col("_target") > 0) & (last_total() < MIN_SCALE * F.col("_target")))
     kept = rank.top_n(rows.where(~F.col("small")), ["run_id"], [-F.col("avg"), F.col("bord")], MAX_PEERS, "pos")
-    small = rows.where("small").withColumn("pos", F.lit(None).cast("int"))
+    small = rows.where("small").withColumn("pos", F.lit(0))
     return kept.unionByName(small).drop("_target")
 
 
