@@ -131,7 +131,7 @@ def journey_brand_index(journeys: DataFrame, hits: DataFrame, keys: list[str], s
     at = F.array_position(F.transform("seq", lambda x: flat(x) == flat(F.col(seed))), True)
     rows = journeys.select(*keys, F.when(at > 0, at - 1).otherwise(0).alias("_at"), F.posexplode("seq").alias("i", "query"))
     step = F.col("i") - F.col("_at")
-    return rows.withColumn("step", F.when(step != 0, step)).join(hits, ["run_id", "query"]).groupBy(*keys, "brand").agg(
+    return rows.withColumn("step", F.when(step != 0, step.cast("int"))).join(hits, ["run_id", "query"]).groupBy(*keys, "brand").agg(
         F.count_distinct("query").alias("n"), F.min("step").alias("step"))
 
 
