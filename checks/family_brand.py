@@ -15,6 +15,9 @@ CATS = [("anvil", "g1", False, "selling"), ("bolt", "g1", False, "partly"), ("ge
 LISTED = [(c, b) for c, *_ in CATS for b in ("brand#1", "brand#9", "brand#20")] + [("ring", "brand#14")]
 
 
+TURNS = ["behind", "even", "ahead", "none"]
+
+
 class Brands:
     def __init__(self, dom):
         self.dom = dom
@@ -134,6 +137,12 @@ class Brands:
         return self.dom.stage("judged", lambda: self.categories.join(self.verdicts.drop("own_queries"), key).join(
             self.evidence, key).join(self.axes.drop("branded"), key, "left").withColumn("status", op.status()))
 
+    @property
+    def mixed(self):
+        """Judged categories with the naming verdict read by category order, so that every status occurs."""
+        turn = F.element_at(F.array(*[F.lit(v) for v in TURNS]), F.col("cord") % 4 + 1)
+        return self.judged.withColumn("verdict", turn).withColumn("status", op.status())
+
     @property
     def rivals(self):
         return op.competitors(self.shares, OWN)
@@ -284,6 +293,9 @@ piece("q_judged", """
 SELECT *, CASE verdict WHEN 'ahead' THEN 'owned' WHEN 'even' THEN 'contested' WHEN 'behind' THEN 'trailing' ELSE CASE WHEN axis='ahead' THEN 'emerging' ELSE 'unclaimed' END END AS status
 FROM q_cats JOIN (SELECT * EXCLUDE (own_queries) FROM q_naming) USING (run_id, category) JOIN q_evidence USING (run_id, category)
 LEFT JOIN (SELECT * EXCLUDE (branded) FROM q_axes) USING (run_id, category)""")
+piece("q_mixed", """
+SELECT * REPLACE (CASE v WHEN 'ahead' THEN 'owned' WHEN 'even' THEN 'contested' WHEN 'behind' THEN 'trailing' ELSE CASE WHEN axis='ahead' THEN 'emerging' ELSE 'unclaimed' END END AS status) FROM (
+  SELECT *, ['behind','even','ahead','none'][cord%4+1] AS v FROM q_judged)""")
 check("I14_deep_candidates", on(lambda b: op.deep_candidates(b.judged).withColumn("priority", F.coalesce("priority", F.lit(-1)))), """
 SELECT a.run_id, a.category, a.verdict, a.modifiers, a.term_volume, a.modifiers>=30 AS possible,
   CASE WHEN a.modifiers>=30 THEN list_position(['even','behind','none','ahead'], a.verdict)-1 ELSE -1 END::int AS priority,
@@ -311,13 +323,13 @@ SELECT run_id, 'facet journeys missing', facet_query FROM q_facets f {DEEP} AND
 check("I16_emerging_upgrade", on(lambda b: b.judged.select("run_id", "category", "verdict", "axis", "status")), "SELECT run_id, category, verdict, axis, status FROM q_judged")
 piece("q_bcols", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY watch DESC, volume DESC, brand) AS pos FROM (
-  SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume, brand IN ({', '.join(repr(w) for w in WATCH)}) AS watch FROM q_rivals GROUP BY ALL) WHERE watch OR categories>=2) WHERE pos<=6""")
+  SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume, brand IN ({', '.join(repr(w) for w in WATCH)}) AS watch FROM q_rivals GROUP BY ALL) WHERE watch OR categories>=2) WHERE pos<=3""")
 check("I17_brand_matrix", on(lambda b: op.brand_matrix(b.shares, OWN).select("run_id", "category", "brand", "volume", "share", "rank")),
       "SELECT run_id, category, brand, volume, share, (rank() OVER (PARTITION BY run_id, category ORDER BY volume DESC))::int AS rank FROM q_shares")
 
 
 def columns(b):
-    return op.brand_columns(b.shares, OWN, WATCH, 5)
+    return op.brand_columns(b.shares, OWN, WATCH, 2)
 
 
 check("I17_brand_columns", on(columns), "SELECT * REPLACE (pos::int AS pos) FROM q_bcols")
@@ -327,7 +339,7 @@ WHERE rank<=2 AND brand<>'{OWN}' AND NOT EXISTS (FROM q_bcols c WHERE c.run_id=m
 check("I18_position_ratio", on(lambda b: op.position_ratio(b.judged)), """
 SELECT run_id, category, status, CASE WHEN own_share IS NOT NULL THEN CASE WHEN top_share>0 THEN own_share/top_share ELSE 8.0 END
   WHEN axis IS NOT NULL THEN (own_n+1)/(top_n+1) ELSE 1.0 END AS ratio FROM q_judged""")
-check("I18_demand_by_status", on(lambda b: op.demand_by_status(b.judged)), "SELECT run_id, status, count(*) AS categories, sum(term_volume) AS volume FROM q_judged GROUP BY ALL")
+check("I18_demand_by_status", on(lambda b: op.demand_by_status(b.mixed)), "SELECT run_id, status, count(*) AS categories, sum(term_volume) AS volume FROM q_mixed GROUP BY ALL")
 piece("q_fsum", f"""
 SELECT *, facet_volume/nullif(sum(facet_volume) OVER (PARTITION BY run_id, category),0) AS share, CASE WHEN own_volume>0 THEN 'named' WHEN own_n>0 OR top_n>0 THEN 'walked' ELSE 'absent' END AS bucket,
   NOT coalesce(own_volume>0,false) AND NOT (coalesce(own_n,0)>0 OR coalesce(top_n,0)>0) AS open FROM (SELECT * FROM q_facets {DEEP}) LEFT JOIN q_faxes USING (run_id, category, facet)""")
@@ -343,10 +355,10 @@ check("I19_facet_highlights", on(lambda b: op.facet_highlights(fsum(b))), """
 SELECT run_id, category, coalesce(sum(facet_volume) FILTER (bucket='named'),0.0) AS named_volume, coalesce(sum(facet_volume) FILTER (bucket='walked'),0.0) AS walked_volume,
   coalesce(sum(facet_volume) FILTER (bucket='absent'),0.0) AS absent_volume, count(*) FILTER (axis='ahead') AS ahead,
   (list(facet ORDER BY coalesce(facet_volume,0) DESC, facet) FILTER (axis='behind'))[1] AS worst_facet, count(*) FILTER (open) AS open_facets FROM q_fsum GROUP BY ALL""")
-check("I20_keep_and_take_lists", on(lambda b: op.keep_and_take(b.judged)), """
-SELECT run_id, category, status, term_volume, 'keep' AS list FROM q_judged WHERE status IN ('owned','emerging') UNION ALL
+check("I20_keep_and_take_lists", on(lambda b: op.keep_and_take(b.mixed)), """
+SELECT run_id, category, status, term_volume, 'keep' AS list FROM q_mixed WHERE status IN ('owned','emerging') UNION ALL
 SELECT run_id, category, status, term_volume, 'take' FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY term_volume DESC, cord) AS k FROM (
-  SELECT j.*, mid FROM q_judged j JOIN (SELECT run_id, (list(term_volume ORDER BY term_volume))[count(*)//2+1] AS mid FROM q_judged GROUP BY 1) USING (run_id)) WHERE status='trailing' AND term_volume>=mid) WHERE k<=5""")
+  SELECT j.*, mid FROM q_mixed j JOIN (SELECT run_id, (list(term_volume ORDER BY term_volume))[count(*)//2+1] AS mid FROM q_mixed GROUP BY 1) USING (run_id)) WHERE status='trailing' AND term_volume>=mid) WHERE k<=5""")
 FST = "CASE axis WHEN 'ahead' THEN 'owned' WHEN 'even' THEN 'contested' WHEN 'behind' THEN 'trailing' END"
 check("I21_facet_category_mismatch", on(lambda b: op.facet_mismatch(b.judged, b.deep_facets)), f"""
 SELECT run_id, category, owned, contested, "trailing", status FROM (
@@ -357,18 +369,18 @@ check("I22_recurring_rivals", on(lambda b: op.recurring_rivals(b.judged, b.rival
 SELECT run_id, brand, leads, appearances, demand, pos::int AS pos FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY leads DESC, demand DESC, brand) AS pos FROM (
   SELECT r.run_id, brand, count(*) FILTER (pos=1) AS leads, count(*) AS appearances, sum(j.term_volume) AS demand FROM q_rivals r JOIN q_judged j ON j.run_id=r.run_id AND j.category=r.category GROUP BY ALL)
   WHERE leads>=2) WHERE pos<=6""")
-check("I23_group_status_mix", on(lambda b: op.group_status_mix(b.judged)), """
+check("I23_group_status_mix", on(lambda b: op.group_status_mix(b.mixed)), """
 SELECT run_id, "group", """ + ", ".join(f"count(*) FILTER (status='{s}') AS \"{s}\"" for s in ("owned", "emerging", "contested", "trailing", "unclaimed")) + """,
-  sum(term_volume) AS demand FROM q_judged GROUP BY ALL""")
-check("I24_naming_journey_conflict", on(lambda b: op.naming_journey_conflict(b.judged)), f"""
+  sum(term_volume) AS demand FROM q_mixed GROUP BY ALL""")
+check("I24_naming_journey_conflict", on(lambda b: op.naming_journey_conflict(b.mixed)), f"""
 SELECT run_id, category, pos::int AS pos, status, s AS journey_status, term_volume FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY term_volume DESC, cord) AS pos FROM (
-  SELECT *, {FST} AS s FROM q_judged) WHERE status IN ('owned','contested','trailing') AND s IS NOT NULL AND s<>status) WHERE pos<=8""")
+  SELECT *, {FST} AS s FROM q_mixed) WHERE status IN ('owned','contested','trailing') AND s IS NOT NULL AND s<>status) WHERE pos<=8""")
 check("I25_watch_brand_span", on(lambda b: op.watch_span(b.rivals, WATCH)), f"""
 SELECT run_id, brand, categories, category AS biggest, volume, share FROM (SELECT *, count(*) OVER (PARTITION BY run_id, brand) AS categories,
   row_number() OVER (PARTITION BY run_id, brand ORDER BY volume DESC, category) AS k FROM q_rivals WHERE brand IN ({', '.join(repr(w) for w in WATCH)}) AND volume>0) WHERE k=1""")
-check("I26_presence_priority", on(lambda b: op.presence_priority(b.judged)), """
+check("I26_presence_priority", on(lambda b: op.presence_priority(b.mixed)), """
 SELECT * FROM (SELECT run_id, CASE WHEN presence='selling' THEN CASE status WHEN 'trailing' THEN 1 WHEN 'contested' THEN 2 WHEN 'unclaimed' THEN 4 ELSE 3 END
-  WHEN presence='partly' THEN 5 WHEN presence IN ('not_sold','unverified') THEN 6 END AS priority, category, term_volume, status FROM q_judged) WHERE priority IS NOT NULL""")
+  WHEN presence='partly' THEN 5 WHEN presence IN ('not_sold','unverified') THEN 6 END AS priority, category, term_volume, status FROM q_mixed) WHERE priority IS NOT NULL""")
 check("I27_unmeasured_list", on(lambda b: op.unmeasured_list(b.judged, b.deep_facets)), """
 SELECT run_id, category, 'own_share' AS reason FROM q_judged WHERE own_share IS NULL UNION ALL
 SELECT run_id, category, 'facet_journeys' FROM q_judged j WHERE deep AND NOT EXISTS (FROM q_fsum f WHERE f.run_id=j.run_id AND f.category=j.category AND axis IS NOT NULL) UNION ALL

@@ -198,14 +198,15 @@ WHERE NOT EXISTS (FROM q_brandc b WHERE b.run_id=x.run_id AND b.name=x.name) GRO
 
 def _spellings(c):
     pool = c.synonyms.select("run_id", "name", "rank").unionByName(c.brands.select("run_id", "name", "rank"))
-    return op.peer_spellings(c.peers.select("run_id", "name"), pool)
+    peers = c.peers.select("run_id", "name").unionByName(c.index.select("run_id", F.lit("brand").alias("name")).distinct())
+    return op.peer_spellings(peers, pool)
 
 
 check("G14_peer_spelling_candidates", on(_spellings), """
 WITH pool AS (SELECT *, replace(name,' ','') AS core FROM (SELECT run_id, name, rank FROM q_syn UNION ALL SELECT run_id, name, rank FROM q_brandc) WHERE length(replace(name,' ',''))>=2),
 ok AS (SELECT * FROM pool p WHERE NOT contains(name,' ') OR EXISTS (FROM pool j WHERE j.run_id=p.run_id AND NOT contains(j.name,' ') AND j.core=p.core))
 SELECT run_id, peer, spelling, rank, pos::int AS pos FROM (SELECT *, row_number() OVER (PARTITION BY run_id, peer ORDER BY rank, spelling) AS pos FROM (
-  SELECT DISTINCT s.run_id, s.name AS peer, o.name AS spelling, o.rank FROM q_sib2 s JOIN ok o ON o.run_id=s.run_id AND o.name<>s.name
+  SELECT DISTINCT s.run_id, s.name AS peer, o.name AS spelling, o.rank FROM (SELECT run_id, name FROM q_sib2 UNION ALL SELECT DISTINCT run_id, 'brand' FROM q_index) s JOIN ok o ON o.run_id=s.run_id AND o.name<>s.name
     AND (contains(o.core, replace(s.name,' ','')) OR contains(replace(s.name,' ',''), o.core)))) WHERE pos<=10""")
 
 

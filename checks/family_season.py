@@ -179,9 +179,13 @@ SELECT * FROM (SELECT *, greatest(e3,e4) AS size, CASE WHEN e3<=greatest(e3,e4)*
 check("H14_trend_pool", on(lambda m: trends(m).select("run_id", "keyword", "branch", "size")), "SELECT run_id, keyword, branch, size FROM q_trends")
 
 
+SPIKY = 0.95
+
+
 def _spikes(m):
-    """Brand series of wide volume, with the noun theme set aside: every brand is its own query."""
+    """Brand series with their highest months blown up, so that months jump at every scale."""
     w = fd.wide(m).withColumn("theme", F.when(F.length("keyword") > 7, "long").otherwise("short"))
+    w = w.withColumn("own", F.transform("own", lambda v: F.when(v >= SPIKY * F.array_max("own"), v * 10).otherwise(v)))
     return op.co_spike_months(w, 2, 0.5)
 
 
@@ -189,7 +193,8 @@ check("H15_co_spike_months", on(_spikes), """
 SELECT run_id, month, queries::bigint AS queries, theme, top/queries AS share FROM (
   SELECT run_id, month, sum(k) AS queries, max(k) AS top, arg_min(theme, -k*10 + CASE WHEN theme='long' THEN 0 ELSE 1 END) AS theme FROM (
     SELECT run_id, month, CASE WHEN length(keyword)>7 THEN 'long' ELSE 'short' END AS theme, count(*) AS k FROM (
-      SELECT *, (list_sort(list(v) OVER (PARTITION BY run_id, keyword)))[13] AS med FROM q_wide WHERE idx>=24) WHERE med>=50 AND v>=4*med GROUP BY ALL) GROUP BY ALL)
+      SELECT *, (list_sort(list(v) OVER (PARTITION BY run_id, keyword)))[13] AS med FROM (
+        SELECT run_id, keyword, idx, month, CASE WHEN v>=0.95*max(v) OVER (PARTITION BY run_id, keyword) THEN v*10 ELSE v END AS v FROM q_wide) WHERE idx>=24) WHERE med>=50 AND v>=4*med GROUP BY ALL) GROUP BY ALL)
 WHERE queries>=2 AND top>=0.5*queries""")
 piece("q_quarter", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, list ORDER BY abs(gain) DESC, keyword) AS pos FROM (

@@ -2,16 +2,12 @@
 
 import importlib
 
-FAMILIES = ("records", "opportunity", "clusters", "journeys", "insight", "demand", "classify", "season", "brand")
+FAMILIES = ("records", "exports", "opportunity", "clusters", "journeys", "insight", "demand", "classify", "season", "brand")
 
 
 def all_checks() -> dict:
     from . import sqlkit
 
     for family in FAMILIES:
-        try:
-            importlib.import_module(f"checks.family_{family}")
-        except ModuleNotFoundError as e:
-            if e.name != f"checks.family_{family}":
-                raise
+        importlib.import_module(f"checks.family_{family}")
     return sqlkit.CHECKS
