@@ -76,6 +76,13 @@ class _Domain:
             F.sum(F.when(F.col("l_linestatus") == "F", units).otherwise(0.0)).alias("gg"),
         ).withColumn("total", F.col("nv") + F.col("gg"))
 
+    def each_run(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A short literal table repeated for every run, without a join."""
+        fields = [c.strip().split(" ")[0].strip("`") for c in schema.split(",")]
+        items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, r)]) for r in rows])
+        runs = self.metrics.select("run_id").distinct()
+        return runs.select("run_id", F.inline(items.cast("array<struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in schema.split(",")) + ">>")))
+
     @cached_property
     def monthly(self) -> DataFrame:
         return self.stage("monthly", lambda: self.monthly_of("keyword"))
@@ -94,7 +101,8 @@ class _Domain:
         def share(p):
             return F.floor(100 * F.sum(F.when(F.col("priority") == p, 1).otherwise(0)) / F.count("*")).cast("double")
 
-        raw = lines.crossJoin(F.broadcast(last)).groupBy("run_id", F.col(text).alias("keyword")).agg(
+        one = F.lit(1).alias("one")
+        raw = lines.withColumn("one", F.lit(1)).join(F.broadcast(last.select("last", one)), "one").groupBy("run_id", F.col(text).alias("keyword")).agg(
             F.min("l_partkey").alias("ord"), between(0, 12).alias("volume_total"),
             between(0, 3).alias("_q1"), between(3, 6).alias("_q2"),
             F.floor(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum("l_quantity"))

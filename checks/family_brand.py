@@ -23,8 +23,7 @@ class Brands:
         self.dom = dom
 
     def each_run(self, rows, schema):
-        dim = self.dom.spark.createDataFrame(rows, schema)
-        return self.dom.metrics.select("run_id").distinct().crossJoin(F.broadcast(dim))
+        return self.dom.each_run(rows, schema)
 
     @property
     def names(self):

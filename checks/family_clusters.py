@@ -96,14 +96,13 @@ FLOWS = [("f0", "A", ["A", "C", "B"]), ("f1", "D", ["D", "ZZ", "E"]), ("f2", "B"
 
 def cluster_groups(dom):
     rows = [(g, k, letter) for g, letters in GROUPS for k, letter in enumerate(letters)]
-    dim = dom.spark.createDataFrame(rows, "group_id string, gpos int, letter string")
-    return dom.communities.select("run_id").distinct().crossJoin(F.broadcast(dim))
+    return dom.each_run(rows, "group_id string, gpos int, letter string")
 
 
 def flows(dom):
     """The hub of a flow is the hub keyword of the named cluster."""
-    dim = dom.spark.createDataFrame(FLOWS, "flow_id string, letter string, path array<string>")
-    named = dom.communities.select("run_id").distinct().crossJoin(F.broadcast(dim))
+    named = dom.each_run([(f, h, ">".join(p)) for f, h, p in FLOWS], "flow_id string, letter string, path string").withColumn(
+        "path", F.split("path", ">"))
     hubs = nodes(dom).where("is_hub").select("run_id", "letter", F.col("keyword").alias("hub"))
     return named.join(hubs, ["run_id", "letter"], "left").select("run_id", "flow_id", F.coalesce("hub", F.lit("")).alias("hub"), "path")
 

@@ -57,8 +57,7 @@ class Insight:
 
     @property
     def bridges(self):
-        dim = self.dom.spark.createDataFrame(FLOW_PAIRS, "a string, b string")
-        pairs = self.dom.communities.select("run_id").distinct().crossJoin(F.broadcast(dim))
+        pairs = self.dom.each_run(FLOW_PAIRS, "a string, b string")
         return self.dom.stage("bridges", lambda: op.corridor_bridges(self.master, self.edges, pairs))
 
     @property

@@ -122,7 +122,7 @@ UNION ALL SELECT DISTINCT run_id, split_part(keyword,' ',1), 'rel', 0, run_id ||
 
 
 def nodes(dom):
-    return op.cluster_nodes(dom.edges.withColumn("ord", F.concat_ws("|", "a", "b")), dom.communities)
+    return dom.stage("node list", lambda: op.cluster_nodes(dom.edges.withColumn("ord", F.concat_ws("|", "a", "b")), dom.communities))
 
 
 piece("q_nodes", """

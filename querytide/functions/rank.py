@@ -7,6 +7,8 @@ to sort it downwards, and end with a unique tie-break.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .stage import staged
+
 GROUP_LIMIT = 1000  # Spark cuts row_number() <= k before the shuffle up to this k
 SALTS = 64
 SPLITTERS = 48
@@ -49,9 +51,10 @@ def running_total(df: DataFrame, keys: list[str], order: list, weight: Column, o
 
     The rows of a key are cut into ordered blocks at splitters: the order values with the smallest
     hashes, so the cut is the same whenever it is recomputed. Block sums are small; the ordered
-    window then runs per block instead of per key.
+    window then runs per block instead of per key. The rows are read three times, so they are
+    written to the shared folder first instead of being computed three times.
     """
-    t = df.withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    t = staged(df.withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
     picks = top_n(t.select(*keys, "_o").distinct(), keys, [F.xxhash64("_o"), F.col("_o")], SPLITTERS)
     cuts = picks.groupBy(*keys).agg(F.sort_array(F.collect_list("_o")).alias("_cuts"))
     block = F.size(F.filter("_cuts", lambda s: s <= F.col("_o")))

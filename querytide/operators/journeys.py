@@ -1,8 +1,9 @@
 """Search journeys: transitions, node facts, hubs, the prefix tree, and cards of picked journeys."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import cols, rank
+from ..functions.stage import staged
 from .records import RUN, ordered_list
 
 HUBS_TOP = 40
@@ -76,14 +77,15 @@ def flow_tree(ranked: DataFrame, nodes: DataFrame, paths: int = TREE_PATHS, dept
         F.slice("prefix", 1, F.size("prefix") - 1).alias("parent")
     ).join(facts, ["run_id", "keyword"])
     order = [-F.col("volume_avg"), -F.col("count"), F.col("first")]
-    kept = rank.top_n(counted.where(F.col("depth") == 1), RUN, order, roots, "pos")
-    levels = kept
-    for d in range(2, depth + 1):
-        under = kept.select("run_id", F.col("prefix").alias("parent"))
-        kept = rank.top_n(counted.where(F.col("depth") == d).join(under, ["run_id", "parent"], "left_semi"),
-                          ["run_id", "parent"], order, children, "pos")
-        levels = levels.unionByName(kept)
-    return levels.select("run_id", "prefix", "parent", "depth", "pos", "keyword", "count", "volume_avg", "primary_intent")
+    # siblings are ranked whether or not their parent stays; at most `paths` of them share a parent
+    place = F.row_number().over(W.partitionBy("run_id", "parent").orderBy(*order))
+    fit = counted.withColumn("pos", place).where(F.col("pos") <= F.when(F.col("depth") == 1, roots).otherwise(children))
+    fit = staged(fit)
+    line = F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda d: F.slice("prefix", 1, d))).alias("above")
+    above = fit.select("run_id", "prefix", "depth", line).join(fit.select("run_id", F.col("prefix").alias("above")), ["run_id", "above"])
+    whole = above.groupBy("run_id", "prefix", "depth").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("depth"))
+    return fit.join(whole.select("run_id", "prefix"), ["run_id", "prefix"], "left_semi").select(
+        "run_id", "prefix", "parent", "depth", "pos", "keyword", "count", "volume_avg", "primary_intent")
 
 
 def context_summary(journeys: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
