@@ -6,6 +6,7 @@ Works on the aligned four-year series of operators.demand (months, nv, gg per ke
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import cols, rank
 from ..functions.cols import circular_distance, half_up
@@ -89,36 +90,40 @@ def with_index(rows: DataFrame) -> DataFrame:
         "hits", F.size(F.filter("year_peaks", lambda m: m == F.col("peak")))).drop("_start", "_shapes")
 
 
-@F.pandas_udf("array<string>")
-def _phases(index: pd.Series) -> pd.Series:
-    """Phases of whole batches at once: rows are queries, columns the twelve months of the circle."""
-    if index.empty:
-        return index
-    ix = np.maximum(np.vstack(index.to_numpy()), 0.01)
-    top = ix.max(axis=1, keepdims=True)
-    clear = np.where(ix >= 1 + PEAK_SHARE * (top - 1), "peak", np.where(ix < OFF_INDEX, "off", "")).astype("<U8")
-
-    def nearest(p, free, step):
-        """Next month in a direction whose phase is not `free`, and its distance (99 when there is none)."""
-        found, far = np.full(p.shape, "", dtype="<U8"), np.full(p.shape, 99)
-        for d in range(12, 0, -1):
-            seen = np.roll(p, -d * step, axis=1)
-            found, far = np.where(seen != free, seen, found), np.where(seen != free, d, far)
-        return found, far
-
-    ahead, distance = nearest(clear, "", 1)
-    behind, _ = nearest(clear, "", -1)
-    local = (ix >= np.roll(ix, 1, axis=1)) & (ix >= np.roll(ix, -1, axis=1)) & (ix >= REBOUND_INDEX)
-    phase = np.select(
-        [clear != "", (ahead == "off") & local, (ahead == "off") & (distance <= 2), (behind == "off") & (ahead == "peak")],
-        [clear, "rebound", "leaving", "rising"], "hold").astype("<U8")
-    after, left = nearest(phase, "off", 1)
-    _, right = nearest(phase, "off", -1)
-    last = (phase == "off") & np.isin(after, ["rising", "peak"]) & (left <= np.minimum(2, left + right - 2))
-    phase = np.where(last, "prepare", phase)
-    flat = top[:, 0] / ix.min(axis=1) < ALL_YEAR_RATIO
-    phase[flat] = "all-year"
-    return pd.Series(phase.tolist())
+def _phase_function():
+    """The batch function is local, so tasks receive its code and need no installed package."""
+
+    def phases(index: pd.Series) -> pd.Series:
+        """Phases of whole batches at once: rows are queries, columns the twelve months of the circle."""
+        if index.empty:
+            return index
+        ix = np.maximum(np.vstack(index.to_numpy()), 0.01)
+        top = ix.max(axis=1, keepdims=True)
+        clear = np.where(ix >= 1 + PEAK_SHARE * (top - 1), "peak", np.where(ix < OFF_INDEX, "off", "")).astype("<U8")
+
+        def nearest(p, free, step):
+            """Next month in a direction whose phase is not `free`, and its distance (99 when there is none)."""
+            found, far = np.full(p.shape, "", dtype="<U8"), np.full(p.shape, 99)
+            for d in range(12, 0, -1):
+                seen = np.roll(p, -d * step, axis=1)
+                found, far = np.where(seen != free, seen, found), np.where(seen != free, d, far)
+            return found, far
+
+        ahead, distance = nearest(clear, "", 1)
+        behind, _ = nearest(clear, "", -1)
+        local = (ix >= np.roll(ix, 1, axis=1)) & (ix >= np.roll(ix, -1, axis=1)) & (ix >= REBOUND_INDEX)
+        phase = np.select(
+            [clear != "", (ahead == "off") & local, (ahead == "off") & (distance <= 2), (behind == "off") & (ahead == "peak")],
+            [clear, "rebound", "leaving", "rising"], "hold").astype("<U8")
+        after, left = nearest(phase, "off", 1)
+        _, right = nearest(phase, "off", -1)
+        last = (phase == "off") & np.isin(after, ["rising", "peak"]) & (left <= np.minimum(2, left + right - 2))
+        phase = np.where(last, "prepare", phase)
+        flat = top[:, 0] / ix.min(axis=1) < ALL_YEAR_RATIO
+        phase[flat] = "all-year"
+        return pd.Series(phase.tolist())
+
+    return F.pandas_udf(phases, ArrayType(StringType()))
 
 
 def with_phases(rows: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def with_phases(rows: DataFrame) -> DataFrame:
     First the clear months (peak, off), then the ones between by their nearest clear neighbours on
     the circle, last the final off months before a rise become preparation.
     """
-    return rows.withColumn("phases", _phases("index"))
+    return rows.withColumn("phases", _phase_function()("index"))
 
 
 def themed(rows: DataFrame) -> DataFrame:
