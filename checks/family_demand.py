@@ -116,7 +116,13 @@ piece("q_rows", f"""
 SELECT s.*, n, bord, role FROM ({stats_sql('q_bs', 'run_id, bundle_id')}) s
 JOIN (SELECT DISTINCT run_id, bundle_id, n FROM q_bs) USING (run_id, bundle_id) JOIN (SELECT DISTINCT run_id, bundle_id, bord, role FROM q_bk) USING (run_id, bundle_id)""")
 piece("q_mstats", stats_sql("q_bm", "run_id, bundle_id, ord, keyword"))
-T4 = [F.get("t", F.lit(k)).alias(f"t{k}") for k in range(4)]
+
+
+def totals():
+    return [F.get("t", F.lit(k)).alias(f"t{k}") for k in range(4)]
+
+
+
 STAT = ["avg", "gt", "yoy", "yoy_new", "dir", "is_new", "since", "peak_month", "peak_value"]
 
 check("F1_align_months", on(lambda m: op.grid_rows(series(m))), "SELECT * FROM q_grid")
@@ -125,7 +131,7 @@ check("F2_interval_totals", on(lambda m: series(m).select("run_id", "keyword", F
     "run_id", "keyword", "k", F.col("c.t").alias("t"), F.col("c.label").alias("label"))), """
 SELECT run_id, keyword, idx//12 AS k, sum(v) AS t, replace(substr(min(month),3),'-','.') || '-' || replace(substr(max(month),3),'-','.') AS label
 FROM q_own GROUP BY ALL""")
-check("F3_series_stats", on(lambda m: op.with_stats(series(m), "own").select("run_id", "keyword", *T4, *STAT)),
+check("F3_series_stats", on(lambda m: op.with_stats(series(m), "own").select("run_id", "keyword", *totals(), *STAT)),
       "SELECT run_id, keyword, t0, t1, t2, t3, " + ", ".join(STAT) + " FROM q_kstats")
 check("F4_monthly_yoy", on(lambda m: series(m).select("run_id", "keyword", F.posexplode(op.monthly_yoy()).alias("k", "yoy")).where("yoy is not null")), """
 SELECT run_id, keyword, (idx-12)::int AS k, v/b-1 AS yoy FROM (SELECT *, lag(v,12) OVER (PARTITION BY run_id, keyword ORDER BY idx) AS b FROM q_own) WHERE b>=30""")
@@ -194,7 +200,7 @@ SELECT run_id, bundle_id, month, keyword, {R('pre', 0)} AS before, {R('post', 0)
           sum(v) OVER {bw('3 FOLLOWING', '6 FOLLOWING')}/4 AS hold, count(*) OVER (PARTITION BY run_id, bundle_id) AS months FROM q_bs)
       WHERE n>=2 AND idx BETWEEN 3 AND months-7 AND pre>=100 AND post>=1.8*pre AND hold>=1.5*pre GROUP BY ALL) j USING (run_id, bundle_id, idx)))
 WHERE k=1 AND share>=0.7 AND share-prior>=0.3""")
-check("F9_bundle_rollup", on(lambda m: rows(m).select("run_id", "bundle_id", "n", *T4, *STAT)),
+check("F9_bundle_rollup", on(lambda m: rows(m).select("run_id", "bundle_id", "n", *totals(), *STAT)),
       "SELECT run_id, bundle_id, n, t0, t1, t2, t3, " + ", ".join(STAT) + " FROM q_rows")
 check("F9_duplicate_engine", on(lambda m: members(m).where("same_as is not null").select("run_id", "bundle_id", "keyword", "same_as")),
       "SELECT DISTINCT run_id, bundle_id, keyword, same_as FROM q_bm WHERE same_as IS NOT NULL")

@@ -1,5 +1,7 @@
 """Cross-finder insight: one row per keyword over query, journey and cluster tables, and what follows from it."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cols, rank
@@ -64,8 +66,9 @@ def connectivity() -> Column:
     return F.col("is_hub").cast("int") + F.size("outgoing")
 
 
-def covered() -> Column:
-    return F.col("q_present") & F.col("p_present") & F.col("c_present")
+def covered(ran: str = "qpc") -> Column:
+    """Present in every finder that ran (q query, p path, c cluster)."""
+    return reduce(lambda a, b: a & b, [F.col(f"{s}_present") for s in ran])
 
 
 def coverage_combos(master: DataFrame) -> DataFrame:
@@ -74,10 +77,12 @@ def coverage_combos(master: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"), F.sum("volume").alias("volume"))
 
 
-def gap_buckets(master: DataFrame) -> DataFrame:
-    """Keywords one source has and another lacks, numbered by volume in each bucket."""
+def gap_buckets(master: DataFrame, ran: str = "qpc") -> DataFrame:
+    """Keywords one source has and another lacks, numbered by volume in each bucket; only between finders that ran."""
     q, p, c = (F.col(f"{s}_present") for s in "qpc")
-    tags = F.array(F.when(q & ~p, "q_not_p"), F.when(q & ~c, "q_not_c"), F.when((p | c) & ~q, "struct_not_q"))
+    with_q, with_p, with_c = (F.lit(s in ran) for s in "qpc")
+    tags = F.array(F.when(with_q & with_p & q & ~p, "q_not_p"), F.when(with_q & with_c & q & ~c, "q_not_c"),
+                   F.when(with_q & (with_p | with_c) & (p | c) & ~q, "struct_not_q"))
     rows = master.select("run_id", F.explode(F.array_compact(tags)).alias("bucket"), "keyword", "volume", "m", "trend", "cluster")
     return rank.positions(rows, ["run_id", "bucket"], [-F.col("volume"), F.col("keyword")], "pos")
 
@@ -93,10 +98,10 @@ def _pct(part: Column, whole: Column) -> Column:
     return F.coalesce(half_up(F.try_divide(F.lit(100.0) * part, whole), 1), F.lit(0.0))
 
 
-def coverage_pct(master: DataFrame, personas: DataFrame) -> DataFrame:
+def coverage_pct(master: DataFrame, personas: DataFrame, ran: str = "qpc") -> DataFrame:
     """Share of volume every finder covers, over the run (group '') and per cluster group."""
     vol = F.sum("volume")
-    both = F.sum(F.when(covered(), F.col("volume")).otherwise(0.0))
+    both = F.sum(F.when(covered(ran), F.col("volume")).otherwise(0.0))
     all_rows = master.groupBy("run_id").agg(F.lit("").alias("group_id"), vol.alias("total"), both.alias("covered"))
     named = personas.select(*KEY, "group_id").join(master, KEY).groupBy("run_id", "group_id").agg(vol.alias("total"), both.alias("covered"))
     return all_rows.unionByName(named).withColumn("coverage_pct", _pct(F.col("covered"), F.col("total")))
