@@ -200,7 +200,7 @@ _open: dict[tuple, _Domain] = {}
 
 def Domain(spark: SparkSession, sf_dir: str) -> _Domain:
     """The domain of one folder in one application; its staged tables serve every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _open:
         _open[key] = _Domain(spark, sf_dir)
     return _open[key]
