@@ -305,10 +305,11 @@ FROM q_judged a LEFT JOIN q_judged b ON b.run_id=a.run_id AND b.category='ring'
 def _audit(b):
     """A ghost category without a list, mixed limits, and the volumes of one adjective missing."""
     ghost = b.categories.select("run_id", "category").unionByName(b.categories.select("run_id", F.lit("ghost").alias("category")).distinct())
-    limits = b.each_run([("related", 1000), ("related", 500), ("journeys", 300)], "source string, `limit` int")
+    limits = b.each_run([("related", 1000), ("related", 500), ("journeys", 200)], "source string, `limit` int")
+    watched = b.each_run([("ring", 1), ("sundial", 1)], "category string, k int")
     known = b.volumes.where(~F.contains("keyword", F.lit("hot")))
     facets = b.facets.where(F.col("category").isin([c for c, _, d, _ in CATS if d]))
-    return op.run_coverage_audit(ghost, b.lists, b.journeys, b.judged, asked(b), known, facets, b.facet_journeys, limits)
+    return op.run_coverage_audit(ghost, b.lists, b.journeys, b.judged, asked(b), known, facets, b.facet_journeys, limits, watched)
 
 
 check("I15_run_coverage_audit", on(_audit), f"""
@@ -316,6 +317,7 @@ SELECT run_id, 'related list missing' AS finding, 'ghost' AS detail FROM q_runs
 SELECT run_id, 'journeys missing', category FROM q_naming n WHERE verdict='none' AND NOT EXISTS (FROM q_cj j WHERE j.run_id=n.run_id AND j.category=n.category) UNION ALL
 SELECT DISTINCT run_id, 'journeys not needed', category FROM q_cj j WHERE NOT EXISTS (FROM q_naming n WHERE n.run_id=j.run_id AND n.category=j.category AND verdict='none') UNION ALL
 SELECT run_id, 'limits differ', 'related' FROM q_runs UNION ALL
+SELECT run_id, 'limit too low', 'journeys' FROM q_runs UNION ALL SELECT run_id, 'watched category missing', 'sundial' FROM q_runs UNION ALL
 SELECT run_id, 'volume coverage', floor(c)::int::varchar FROM (SELECT a.run_id, count(*) FILTER (v.keyword IS NOT NULL)/count(*)*100 AS c FROM q_asked a
   LEFT JOIN (SELECT DISTINCT run_id, keyword FROM q_volumes WHERE NOT contains(keyword,'hot')) v ON v.run_id=a.run_id AND v.keyword=a.query GROUP BY 1) WHERE c<95 UNION ALL
 SELECT run_id, 'facet journeys missing', facet_query FROM q_facets f {DEEP} AND NOT EXISTS (FROM q_cj j WHERE j.run_id=f.run_id AND j.category=f.category AND j.facet=f.facet)""")

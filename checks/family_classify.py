@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from querytide.operators import classify as op
+from querytide.operators import classify as op, demand
 from querytide.operators.classify import Seed
 
 from . import family_demand as fd
@@ -143,22 +143,28 @@ CLEAN_I = f"len({only('rest_item', cls('x') + f' IN ({BADS})')})=0"
 RES_I = only("rest_item", cls("x") + "='residual'")
 
 
-def counted(src, key="name"):
+def counted(src, key="name", examples=3):
     return f"""
 SELECT *, CASE WHEN list_contains(srcs,'cluster') THEN 'cluster' WHEN list_contains(srcs,'intent:related') THEN 'intent' ELSE 'analyst' END AS tag FROM (
-  SELECT run_id, {key}, count(DISTINCT query) AS n, min(rank) AS rank, list_sort(list(DISTINCT s)) AS srcs, arg_min(query, (rank, query)) AS example FROM (
-    SELECT run_id, {key}, query, rank, unnest(srcs) AS s FROM ({src})) GROUP BY ALL)"""
+  SELECT run_id, {key}, count(*) AS n, min(rank) AS rank, list_distinct(flatten(list(srcs))) AS srcs, array_to_string((list(query ORDER BY rank, query))[1:{examples}], '|') AS examples
+  FROM ({src}) GROUP BY ALL)"""
 
 
 piece("q_brandc", counted(f"SELECT *, {RES_I}[1] AS name FROM q_parse WHERE has_item AND len({RES_I})=1 AND {CLEAN_I} AND contains(before, {RES_I}[1])"))
-CAND = ["run_id", "name", "n", "rank", "tag", "example"]
-check("G7_brand_candidates", on(lambda c: c.brands.select(*CAND)), f"SELECT {', '.join(CAND)} FROM q_brandc")
+CAND = ["run_id", "name", "n", "rank", "tag", "examples"]
+
+
+def shown(df, *more):
+    return df.withColumn("examples", F.array_join("examples", "|")).select(*CAND, *more)
+
+
+check("G7_brand_candidates", on(lambda c: shown(c.brands)), f"SELECT {', '.join(CAND)} FROM q_brandc")
 WK = only("words", cls("x") + " NOT IN ('residual','generic')")
 piece("q_syn", counted(f"""SELECT *, t AS name FROM q_parse WHERE NOT has_item AND len(words)<=2 AND len({WK})=0 AND NOT (len(words)=1 AND words[1]='standard') AND NOT contains(replace(t,' ',''),'widget')"""))
-check("G8_synonym_candidates", on(lambda c: c.synonyms.select(*CAND, "brandish")), f"""
+check("G8_synonym_candidates", on(lambda c: shown(c.synonyms, "brandish")), f"""
 SELECT {', '.join(CAND)}, EXISTS (FROM q_brandc b WHERE b.run_id=s.run_id AND list_contains(string_split(s.name,' '), b.name)) AS brandish FROM q_syn s""")
-check("G9_intent_expressions", on(lambda c: op.intent_expressions(c.category).select(*CAND)), f"SELECT {', '.join(CAND)} FROM (" + counted(
-    f"SELECT *, array_to_string(rest_item,' ') AS name FROM q_parse WHERE len(rest_item) BETWEEN 1 AND 2 AND len({only('rest_item', cls('x') + NOT_GENERIC)})>0") + ")")
+check("G9_intent_expressions", on(lambda c: shown(op.intent_expressions(c.category))), f"SELECT {', '.join(CAND)} FROM (" + counted(
+    f"SELECT *, array_to_string(rest_item,' ') AS name FROM q_parse WHERE len(rest_item) BETWEEN 1 AND 2 AND len({only('rest_item', cls('x') + NOT_GENERIC)})>0", examples=2) + ")")
 LEFT = "coalesce(rest_both, rest_brand)"
 piece("q_prod", f"""
 SELECT run_id, name, count(*) AS n, sum(has_item::int) AS with_item FROM (SELECT run_id, has_item, unnest({only(LEFT, cls('x') + "='residual' AND length(x)>=2")}) AS name FROM q_parse
@@ -189,6 +195,18 @@ WHERE contains(replace(t,' ',''), core) AND contains(replace(replace(t,' ',''),
 check("G12_closeness_evidence", on(lambda c: op.closeness(c.peers, c.category, CATEGORY, M).select("run_id", "core", "seed_n", "mentions", "compares", "near")), """
 SELECT run_id, core, seed_n, coalesce(mentions,0) AS mentions, coalesce(compares,0) AS compares,
   CASE WHEN seed_n>=2 OR coalesce(mentions,0)>=2 OR coalesce(compares,0)>=1 THEN 'near' WHEN scope THEN 'area' ELSE 'weak' END AS near FROM q_sib2 LEFT JOIN q_close USING (run_id, core)""")
+
+
+def _far(c):
+    near = op.closeness(c.peers, c.category, CATEGORY, M).select("run_id", F.concat(F.lit("peer:"), F.col("core")).alias("bundle_id"),
+                                                              F.when(F.col("core") == "widget", "area").otherwise(F.col("near")).alias("near"))
+    return demand.far_peers(fd.kept(c.dom).where(~F.col("small")), near)
+
+
+check("F20_far_peers", on(_far), """
+SELECT p.run_id, bundle_id, CASE WHEN core='widget' THEN 'area' ELSE CASE WHEN seed_n>=2 OR coalesce(mentions,0)>=2 OR coalesce(compares,0)>=1 THEN 'near' WHEN scope THEN 'area' ELSE 'weak' END END AS near
+FROM q_peers p JOIN (SELECT * FROM q_sib2 LEFT JOIN q_close USING (run_id, core)) s ON s.run_id=p.run_id AND p.bundle_id='peer:' || core
+WHERE NOT small AND pos<=10 AND (core='widget' OR NOT (seed_n>=2 OR coalesce(mentions,0)>=2 OR coalesce(compares,0)>=1))""")
 BW = ", ".join(f"'{w}'" for _, ws in M.bundles for w in ws)
 TOPIC = only("rest_item", f"({cls('x')}) IN ('attr','residual') AND length(x)>=2 AND NOT regexp_matches(x,'^[\\d.]+$') AND x NOT IN ({BW})")
 check("G13_topic_candidates", on(lambda c: op.topic_candidates(c.category, c.brands, M).select("run_id", "name", "n", "rank")), f"""

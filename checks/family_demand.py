@@ -287,6 +287,16 @@ LEFT JOIN (SELECT run_id, count(*) FILTER (gt>0) AS ups, count(*) FILTER (gt<0)
   FROM q_rows WHERE role='part' AND gt IS NOT NULL) GROUP BY 1) USING (run_id)""")
 
 
+def _subs(m):
+    """The market members of each part as its sub-bundles would be: part rows against the sum of parts."""
+    parts = role(m, "part")
+    return op.sub_bundle_shares(parts, op.combined_row(parts, [F.lit("all")])).select("run_id", "bundle_id", "share")
+
+
+check("F17_sub_bundles", on(_subs), """
+SELECT run_id, bundle_id, t3/nullif(sum(t3) OVER (PARTITION BY run_id),0) AS share FROM q_rows WHERE role='part'""")
+
+
 def _validated(m):
     plan = bundles(m).withColumn("verify", F.col("ord") > 1000000)
     rel = m.query.select("run_id", "keyword")

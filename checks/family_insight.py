@@ -324,11 +324,11 @@ JOIN (SELECT run_id, count(*) FILTER (relation='core') AS core_groups, arg_min(g
 JOIN (SELECT run_id, keyword AS top_hub FROM q_jhubs WHERE pos=1) USING (run_id) WHERE group_id=''""")
 check("E24_insight_shortlists", on(lambda x: op.shortlists(x.divergent, x.leaks, x.safe)), """
 WITH rows AS (
-  SELECT run_id, 'leak' AS list, pos, keyword, CASE WHEN leak_score>=0.5 THEN 'urgent' WHEN leak_score>=0.12 THEN 'mid' ELSE 'low' END AS badge, leak_score AS value, 0 AS o
+  SELECT run_id, 'leak' AS list, pos, keyword, CASE WHEN leak_score>=0.5 THEN 'urgent' WHEN leak_score>=0.12 THEN 'mid' ELSE 'low' END AS badge, leak_score AS value, CASE WHEN out_degree>=4 THEN 'spread' ELSE 'branch' END AS shape, 0 AS o
   FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY leak_score DESC, keyword) AS pos FROM q_leaks WHERE leak_score>0.01 AND out_degree<>0) WHERE pos<=4
-  UNION ALL SELECT run_id, 'deadend', pos, keyword, 'deadend', opp, 1 FROM (
+  UNION ALL SELECT run_id, 'deadend', pos, keyword, 'deadend', opp, 'deadend', 1 FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY volume DESC, leak_score DESC, keyword) AS pos FROM q_leaks WHERE out_degree=0) WHERE pos<=2
-  UNION ALL SELECT run_id, 'safe', p, keyword, 'safe', opp, 2 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY opp DESC, pos) AS p FROM q_safe) WHERE p<=3)
-SELECT run_id, 'hub' AS list, pos::int AS pos, keyword, type AS badge, dispersion AS value FROM (
+  UNION ALL SELECT run_id, 'safe', p, keyword, 'safe', opp, '', 2 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY opp DESC, pos) AS p FROM q_safe) WHERE p<=3)
+SELECT run_id, 'hub' AS list, pos::int AS pos, keyword, type AS badge, dispersion AS value, '' AS shape FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN type='TRIPLE_ANCHOR' THEN 0 ELSE 1 END, dispersion DESC, volume DESC, keyword) AS pos FROM q_divergent) WHERE pos<=8
-UNION ALL SELECT run_id, list, pos::int, keyword, badge, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, keyword ORDER BY o, pos) AS k FROM rows) WHERE k=1""")
+UNION ALL SELECT run_id, list, pos::int, keyword, badge, value, shape FROM (SELECT *, row_number() OVER (PARTITION BY run_id, keyword ORDER BY o, pos) AS k FROM rows) WHERE k=1""")

@@ -220,6 +220,10 @@ piece("q_src", """
 SELECT run_id, keyword, keyword IN (SELECT keyword FROM q_query q WHERE q.run_id=a.run_id) AS q FROM (SELECT run_id, keyword FROM q_nodes UNION SELECT run_id, keyword FROM q_query) a""")
 
 
+check("H18_seed_series", on(lambda m: op.seed_series(filtered(m), "Brand#8 smallring")),
+      "SELECT run_id, idx, month, v AS volume FROM q_own SEMI JOIN q_filtered USING (run_id, keyword) WHERE keyword='brand#8 small ring'")
+
+
 def _chosen(m):
     """Trends picked from outside: one per adjective, members in input order."""
     w = F.split("keyword", " ")

@@ -13,6 +13,7 @@ from .records import RUN
 # Fixed values of the brand rules.
 NAME_RATIO_MIN, BRAND_VOLUME_MIN, JOURNEY_FLOOR, MODIFIERS_MIN = 10, 1000, 3, 30
 COMPETITORS, MATRIX_BRANDS = 8, 10
+JOURNEY_LIMIT_MIN = 300
 VERDICT_PRIORITY = ["even", "behind", "none", "ahead"]
 CAT = ["run_id", "category"]
 
@@ -340,8 +341,8 @@ def brand_detail_rows(categories: DataFrame, listed: DataFrame, shares: DataFram
 
 
 def run_coverage_audit(categories: DataFrame, lists: DataFrame, journeys: DataFrame, judged: DataFrame, wanted: DataFrame, volumes: DataFrame,
-                       facets: DataFrame, facet_journeys: DataFrame, limits: DataFrame) -> DataFrame:
-    """Findings of a run: missing inputs, journeys where none belong, mixed limits, thin volume coverage."""
+                       facets: DataFrame, facet_journeys: DataFrame, limits: DataFrame, watched: DataFrame) -> DataFrame:
+    """Findings of a run: missing inputs, journeys where none belong, mixed or low limits, thin volume coverage."""
     def finding(df, name, detail):
         return df.select("run_id", F.lit(name).alias("finding"), detail.alias("detail"))
 
@@ -358,5 +359,8 @@ def run_coverage_audit(categories: DataFrame, lists: DataFrame, journeys: DataFr
     c = F.col("category")
     out = finding(missing, "related list missing", c).unionByName(finding(no_path, "journeys missing", c))
     out = out.unionByName(finding(extra, "journeys not needed", c)).unionByName(finding(mixed, "limits differ", F.col("source")))
+    low = limits.where((F.col("source") == "journeys") & (F.col("limit") < JOURNEY_LIMIT_MIN)).select("run_id", "source").distinct()
+    unlisted = watched.select(*CAT).join(categories.select(*CAT), CAT, "left_anti")
+    out = out.unionByName(finding(low, "limit too low", F.col("source"))).unionByName(finding(unlisted, "watched category missing", c))
     out = out.unionByName(finding(cover, "volume coverage", F.floor("_c").cast("string")))
     return out.unionByName(finding(shallow, "facet journeys missing", F.concat_ws(" ", "facet", "category")))

@@ -432,6 +432,17 @@ def demand_kpis(target: DataFrame, target_members: DataFrame, verdicts: DataFram
                       F.col("_part.bundle_id").alias("top_part"), F.col("_part.share").alias("top_part_share"))
 
 
+def far_peers(kept: DataFrame, closeness: DataFrame) -> DataFrame:
+    """Compared peers (closeness: run_id, bundle_id, near) without evidence that people see them beside the target."""
+    return kept.select(*BUNDLE).join(closeness.select(*BUNDLE, "near"), BUNDLE).where(F.col("near") != "near")
+
+
+def sub_bundle_shares(subs: DataFrame, total: DataFrame) -> DataFrame:
+    """Share of the parts' last interval that each sub-bundle has (total: run_id, t)."""
+    whole = total.select("run_id", last_total().alias("_all"))
+    return subs.join(whole, "run_id").withColumn("share", F.try_divide(last_total(), cols.nz("_all"))).drop("_all")
+
+
 def interval_rates(rows: DataFrame) -> DataFrame:
     """Change rate of each interval to the one before, and over all intervals."""
     t = F.col("t")

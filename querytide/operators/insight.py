@@ -362,25 +362,25 @@ def recap(group_facts: DataFrame, groups: DataFrame) -> DataFrame:
         F.min_by("group_id", F.struct(-F.col("member_count"), "gpos")).alias("largest_group"))
 
 
+def leak_shape(out_degree="out_degree") -> Column:
+    d = cols.col(out_degree)
+    return F.when(d == 0, "deadend").when(d >= 4, "spread").otherwise("branch")
+
+
 def shortlists(divergent: DataFrame, leaks: DataFrame, safe: DataFrame) -> DataFrame:
     """Rows that are shown: eight hubs; then flowing leaks, dead ends and safe points, a keyword once."""
     anchor = F.when(F.col("type") == "TRIPLE_ANCHOR", 0).otherwise(1)
     hubs = rank.top_n(divergent, RUN, [anchor, -F.col("dispersion"), -F.col("volume"), F.col("keyword")], 8, "pos")
-    hubs = hubs.select("run_id", F.lit("hub").alias("list"), "pos", "keyword", F.col("type").alias("badge"), F.col("dispersion").alias("value"))
+    hubs = hubs.select("run_id", F.lit("hub").alias("list"), "pos", "keyword", F.col("type").alias("badge"), F.col("dispersion").alias("value"), F.lit("").alias("shape"))
     ordered = [-F.col("leak_score"), F.col("keyword")]
     flowing = rank.top_n(leaks.where((F.col("leak_score") > 0.01) & (F.col("out_degree") != 0)), RUN, ordered, 4, "pos")
     level = F.when(F.col("leak_score") >= 0.5, "urgent").when(F.col("leak_score") >= 0.12, "mid").otherwise("low")
     dead = rank.top_n(leaks.where(F.col("out_degree") == 0), RUN, [-F.col("volume"), *ordered], 2, "pos")
     calm = rank.top_n(safe, RUN, [-F.col("opp"), F.col("pos")], 3, "_p").drop("pos").withColumnRenamed("_p", "pos")
     rows = (
-        flowing.select("run_id", F.lit("leak").alias("list"), "pos", "keyword", level.alias("badge"), F.col("leak_score").alias("value"), F.lit(0).alias("_o"))
-        .unionByName(dead.select("run_id", F.lit("deadend").alias("list"), "pos", "keyword", F.lit("deadend").alias("badge"), F.col("opp").alias("value"), F.lit(1).alias("_o")))
-        .unionByName(calm.select("run_id", F.lit("safe").alias("list"), "pos", "keyword", F.lit("safe").alias("badge"), F.col("opp").alias("value"), F.lit(2).alias("_o")))
+        flowing.select("run_id", F.lit("leak").alias("list"), "pos", "keyword", level.alias("badge"), F.col("leak_score").alias("value"), leak_shape().alias("shape"), F.lit(0).alias("_o"))
+        .unionByName(dead.select("run_id", F.lit("deadend").alias("list"), "pos", "keyword", F.lit("deadend").alias("badge"), F.col("opp").alias("value"), leak_shape().alias("shape"), F.lit(1).alias("_o")))
+        .unionByName(calm.select("run_id", F.lit("safe").alias("list"), "pos", "keyword", F.lit("safe").alias("badge"), F.col("opp").alias("value"), F.lit("").alias("shape"), F.lit(2).alias("_o")))
     )
     once = rank.first_wins(rows, KEY, [F.col("_o"), F.col("pos")]).drop("_o")
     return hubs.unionByName(once)
-
-
-def leak_shape(out_degree="out_degree") -> Column:
-    d = cols.col(out_degree)
-    return F.when(d == 0, "deadend").when(d >= 4, "spread").otherwise("branch")

@@ -298,6 +298,13 @@ def collection_meta(listed: DataFrame, series: DataFrame, filtered: DataFrame, r
         "queried", "from_related", "from_cluster", "returned", "kept", "off", "low", "cluster_kept", "cluster_signals")])
 
 
+def seed_series(filtered: DataFrame, seed: str) -> DataFrame:
+    """Monthly volumes of the seed itself, whatever the filters made of it."""
+    own = filtered.where(cols.norm_kw("keyword") == "".join(seed.lower().split()))
+    return own.select("run_id", F.posexplode(F.arrays_zip("months", "own")).alias("idx", "c")).select(
+        "run_id", "idx", F.col("c.months").alias("month"), F.col("c.own").alias("volume"))
+
+
 def trend_members(chosen: DataFrame, pool: DataFrame, shown: int = 10, keep: int = 5) -> DataFrame:
     """Members (run_id, trend, trend_ord, ord, keyword) of chosen trends that move like their first one."""
     rows = chosen.join(pool.select(*KEY, "branch", "e3", "e4", "size"), KEY).withColumn(
