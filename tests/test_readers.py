@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from querytide.operators import records
 from querytide.sources import exports, readers
 
