@@ -2,13 +2,22 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing
+from . import chat, mixing, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# 1 token counts ---------------------------------------------------------------------------------
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 # 3 mixing ---------------------------------------------------------------------------------------
 
 MIX = mixing.Plan(
@@ -90,11 +99,31 @@ FROM p GROUP BY conv_id
 """
 
 
+# 10 exact top-k ---------------------------------------------------------------------------------
+
+
+def op10(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+TOPK_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 QUERIES = {
+    "op1_token_counts": op1,
     "op3_mixing": op3,
     "op5_chat_formatting": op5,
+    "op10_top_k": op10,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql()}
+    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op10_top_k": TOPK_SQL}
