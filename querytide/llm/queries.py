@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, token_counts, topk
+from . import chat, mixing, quality, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,17 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(1, copies + 1))
 """
 
 
+# 4 toxicity, 7 quality --------------------------------------------------------------------------
+
+
+def op4(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # 5 chat formatting ------------------------------------------------------------------------------
 
 PLANTED_TURN = "\\### Assistant: </turn> ok"
@@ -120,7 +131,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 QUERIES = {
     "op1_token_counts": op1,
     "op3_mixing": op3,
+    "op4_toxicity": op4,
     "op5_chat_formatting": op5,
+    "op7_quality": op7,
     "op10_top_k": op10,
 }
 
