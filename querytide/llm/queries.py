@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, quality, token_counts, topk, toxicity
+from . import chat, decontaminate, mixing, quality, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,33 @@ FROM p GROUP BY conv_id
 """
 
 
+# 9 benchmark decontamination ---------------------------------------------------------------------
+
+
+def op9(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+DECONTAMINATION_SQL = f"""
+WITH dw AS (SELECT doc_id, coalesce({_words_sql("text")}, CAST([] AS VARCHAR[])) AS w FROM documents),
+bw AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS words
+  FROM bw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+dwin AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS words
+  FROM dw, (SELECT DISTINCT n FROM win) AS lengths, unnest(range(1, len(w) - n + 2)) AS r(i)),
+m AS (SELECT doc_id, item_id, i, dwin.n FROM dwin JOIN win USING (n, words)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM m, unnest(range(i, i + n)) AS r(place) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 # 10 exact top-k ---------------------------------------------------------------------------------
 
 
@@ -134,9 +161,10 @@ QUERIES = {
     "op4_toxicity": op4,
     "op5_chat_formatting": op5,
     "op7_quality": op7,
+    "op9_decontamination": op9,
     "op10_top_k": op10,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op10_top_k": TOPK_SQL}
+    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
