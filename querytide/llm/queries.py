@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, quality, token_counts, topk, toxicity
+from . import chat, decontaminate, mixing, quality, suffix_dedup, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,13 @@ FROM p GROUP BY conv_id
 """
 
 
+# 6 suffix-array dedup ----------------------------------------------------------------------------
+
+
+def op6(spark, sf_dir):
+    return suffix_dedup.repeated(table(spark, sf_dir, "documents"), 200)
+
+
 # 9 benchmark decontamination ---------------------------------------------------------------------
 
 
@@ -160,6 +167,7 @@ QUERIES = {
     "op3_mixing": op3,
     "op4_toxicity": op4,
     "op5_chat_formatting": op5,
+    "op6_suffix_dedup": op6,
     "op7_quality": op7,
     "op9_decontamination": op9,
     "op10_top_k": op10,
