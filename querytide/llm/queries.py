@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, quality, suffix_dedup, token_counts, topk, toxicity
+from . import chat, decontaminate, jaccard_join, mixing, quality, suffix_dedup, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+# 2 n-gram Jaccard join ---------------------------------------------------------------------------
+
+
+def op2(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 # 3 mixing ---------------------------------------------------------------------------------------
 
 MIX = mixing.Plan(
@@ -164,6 +171,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 QUERIES = {
     "op1_token_counts": op1,
+    "op2_jaccard_join": op2,
     "op3_mixing": op3,
     "op4_toxicity": op4,
     "op5_chat_formatting": op5,
