@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard_join, mixing, quality, suffix_dedup, token_counts, topk, toxicity
+from . import chat, decontaminate, jaccard_join, line_dedup, mixing, quality, suffix_dedup, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +124,36 @@ def op6(spark, sf_dir):
     return suffix_dedup.repeated(table(spark, sf_dir, "documents"), 200)
 
 
+# 8 line dedup ------------------------------------------------------------------------------------
+
+
+def op8(spark, sf_dir):
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return out.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
+
+
+LINES_SQL = """
+WITH l AS (SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i) WHERE text <> ''),
+w AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+sh AS (SELECT DISTINCT doc_id, line_no, array_to_string(list_slice(w, j, j + 4), ' ') AS t
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(j) WHERE len(w) > 0),
+sets AS (SELECT doc_id, line_no, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS seg FROM sh GROUP BY ALL),
+firsts AS (SELECT seg, n, min((doc_id, line_no)) AS f FROM sets GROUP BY ALL),
+st AS (SELECT DISTINCT seg, n, t FROM sh JOIN sets USING (doc_id, line_no)),
+p AS (SELECT a.seg AS a, b.seg AS b, a.n AS na, b.n AS nb, count(*) AS c FROM st a JOIN st b ON a.t = b.t AND a.seg <> b.seg GROUP BY ALL),
+k AS (SELECT a AS seg, min(f) AS near FROM p JOIN firsts ON seg = b WHERE 100 * c >= 80 * (na + nb - c) GROUP BY a),
+bound AS (SELECT firsts.seg, least(f, coalesce(near, f)) AS bound FROM firsts LEFT JOIN k ON k.seg = firsts.seg),
+gone AS (SELECT doc_id, line_no FROM sets JOIN bound USING (seg) WHERE (doc_id, line_no) > bound),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.line_no) AS n_removed,
+    string_agg(CASE WHEN gone.line_no IS NULL THEN line END, chr(10) ORDER BY l.line_no) AS text
+  FROM l LEFT JOIN gone USING (doc_id, line_no) GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS text_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 # 9 benchmark decontamination ---------------------------------------------------------------------
 
 
@@ -177,10 +207,11 @@ QUERIES = {
     "op5_chat_formatting": op5,
     "op6_suffix_dedup": op6,
     "op7_quality": op7,
+    "op8_line_dedup": op8,
     "op9_decontamination": op9,
     "op10_top_k": op10,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
+    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
