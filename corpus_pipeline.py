@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from querytide.functions.stage import staged
-from querytide.llm import mixing, queries
+from querytide.llm import decontaminate, jaccard_join, line_dedup, mixing, queries, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on the labelled ones among them, scores below its threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, toxicity.fold("doc_id", 4, 2))
+    scored = toxicity.score(docs.select(*COLUMNS), model, "_score")
+    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that come earlier; those of which no word is left go. n_chars is counted anew."""
+    cut = line_dedup.deduplicated(docs.select(*COLUMNS))
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast("long")
+    return cut.where(left).select("doc_id", "text", "lang", "source", chars.alias("n_chars"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of every group of near-duplicates; rows that repeat it count once."""
+    groups = staged(jaccard_join.classes(docs))
+    gone = staged(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    # rows of the kept id itself: a repeated row is a copy as well
+    several = staged(groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    small = line_dedup.small_side
+    kept = docs.select(*COLUMNS).join(small(gone), "doc_id", "left_anti")
+    again = kept.join(small(several), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(small(several), "doc_id", "left_anti").unionByName(again).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item (nor a shorter item as a whole)."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.matches(staged(decontaminate.index(docs)), items)
+    hit = staged(found.select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(line_dedup.small_side(hit), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents in the target proportions, with epoch and n_tokens."""
-    return mixing.mix(docs, queries.source_domain(), queries.MIX)
+    return mixing.mix(docs.select(*COLUMNS), queries.source_domain(), queries.MIX)
 
 
-STAGES = [("mixing", mixed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing", mixed),
+]
 
 #: SQL cannot train the toxicity model; tests hold the stages against brute force instead.
 ORACLE_SQL = None

@@ -17,12 +17,13 @@ LEFT_SAME, LEFT_NEAR, RIGHT_SAME, RIGHT_NEAR, FIRST, LAST = 1, 2, 4, 8, 16, 32
 def neighbours(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
     """The rows that agree with a neighbour in sorted order, with `same` and `near`.
 
-    `gram` and `seg` are long columns at the front of `order`. near: a neighbour has the same gram and another
-    seg; same: one has both. Rows are range-partitioned by sampled splitters over the whole order, so that a
+    `gram` and `seg` are long columns at the front of `order`; without seg, equal grams are the same. near: a
+    neighbour has the same gram and another seg; same: one has both. Rows are range-partitioned by sampled splitters over the whole order, so that a
     frequent gram is cut like any other; the first and last row of each partition (two rows a partition)
     are compared across the boundaries. Of a run of equal gram and seg only the outer rows can be near.
     """
     names = rows.columns
+    second = "seg" if "seg" in names else "gram"
     extra = [("flags", pa.int32()), ("part", pa.int32()), ("place", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,7 @@ def neighbours(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            gram, seg = (table.column(n).to_numpy() for n in ("gram", "seg"))
+            gram, seg = (table.column(n).to_numpy() for n in ("gram", second))
             near = gram[1:] == gram[:-1]
             same = near & (seg[1:] == seg[:-1])
             f = np.zeros(len(gram), np.int32)
@@ -59,14 +60,14 @@ def neighbours(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
     yes = lambda c: F.coalesce(c, F.lit(False))
     w = W.orderBy("part", "place")  # at most two rows a partition
     edges = kept.where(bit(FIRST | LAST)).withColumns(
-        {"_pg": F.lag("gram").over(w), "_ps": F.lag("seg").over(w), "_ng": F.lead("gram").over(w), "_ns": F.lead("seg").over(w)}
+        {"_pg": F.lag("gram").over(w), "_ps": F.lag(second).over(w), "_ng": F.lead("gram").over(w), "_ns": F.lead(second).over(w)}
     )
     left = bit(FIRST) & (F.col("_pg") == F.col("gram"))
     right = bit(LAST) & (F.col("_ng") == F.col("gram"))
     edges = edges.select(
         *names,
-        (bit(LEFT_SAME | RIGHT_SAME) | yes(left & (F.col("_ps") == F.col("seg"))) | yes(right & (F.col("_ns") == F.col("seg")))).alias("same"),
-        (bit(LEFT_NEAR | RIGHT_NEAR) | yes(left & (F.col("_ps") != F.col("seg"))) | yes(right & (F.col("_ns") != F.col("seg")))).alias("near"),
+        (bit(LEFT_SAME | RIGHT_SAME) | yes(left & (F.col("_ps") == F.col(second))) | yes(right & (F.col("_ns") == F.col(second)))).alias("same"),
+        (bit(LEFT_NEAR | RIGHT_NEAR) | yes(left & (F.col("_ps") != F.col(second))) | yes(right & (F.col("_ns") != F.col(second)))).alias("near"),
     ).where("same or near")
     inner = kept.where(~bit(FIRST | LAST)).select(*names, bit(LEFT_SAME | RIGHT_SAME).alias("same"), bit(LEFT_NEAR | RIGHT_NEAR).alias("near"))
     return inner.unionByName(edges)

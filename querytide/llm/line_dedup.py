@@ -58,7 +58,7 @@ def _least(n: Column) -> Column:
     return F.floor((PERCENT * n + 99) / 100).cast("int")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Sent to all tasks if it has at most BROADCAST_ROWS rows (it is staged, so counting reads a footer)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -76,9 +76,9 @@ def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFram
     posted = prefixes.select("seg", F.explode("prefix").alias("token"))
     often = posted.groupBy("token").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo <> hi").select("token")
     often = staged(often)
-    shared = staged(posted.join(_small(often), "token", "left_semi").distinct())
+    shared = staged(posted.join(small_side(often), "token", "left_semi").distinct())
     wanted = staged(firsts.join(shared.select("seg").distinct(), "seg", "left_semi").select("seg", "first.doc_id", "first.line_no"))
-    few = _small(wanted)
+    few = small_side(wanted)
     in_docs = docs.join(few.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = _tokenised(lines(in_docs).join(few, ["doc_id", "line_no"]))
     sets = rows.dropDuplicates(["seg"]).select("seg", F.array_sort("items").alias("items"), F.size("items").alias("n"))
@@ -125,7 +125,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     linked = ends.join(other, "b_seg").groupBy(F.col("a_seg").alias("seg")).agg(F.min("first").alias("near"))
     bounds = firsts.join(linked, "seg", "left").where("rows > 1 or near is not null")
     bounds = staged(bounds.select("seg", F.least("first", F.coalesce("near", "first")).alias("bound")))
-    gone = marked.select("doc_id", "line_no", "seg").join(_small(bounds), "seg").where(place > F.col("bound"))
+    gone = marked.select("doc_id", "line_no", "seg").join(small_side(bounds), "seg").where(place > F.col("bound"))
     out = staged(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
     unstage(marked)
     return out
@@ -142,7 +142,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     parts = F.split("text", "\n", -1)
     listed = F.coalesce("_gone", F.array().cast("array<int>"))
-    joined = docs.select(*kept).join(_small(gone.withColumnRenamed("gone", "_gone")), "doc_id", "left")
+    joined = docs.select(*kept).join(small_side(gone.withColumnRenamed("gone", "_gone")), "doc_id", "left")
     left = F.filter(parts, lambda x, i: ~F.array_contains(listed, i))
     joined = joined.withColumn("n_lines", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(parts)).cast("long"))
     joined = joined.withColumn("n_removed", F.least(F.size(listed), F.col("n_lines")).cast("long"))

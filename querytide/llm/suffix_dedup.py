@@ -10,7 +10,7 @@ whole stretch that its windows cover.
    their partition; every row is compared with its neighbours, and the first and last rows of partitions
    with those of the next. Rows with an equal stretch next to them are repeated as a whole.
 2. Where only the first GRAM bytes agree with a neighbour of another stretch, the windows of the two are looked
-   at one by one: their own suffixes are sorted and compared with neighbours in the same way. A stretch that occurs
+   at one by one: they are sorted by fingerprint and compared with neighbours in the same way. A stretch that occurs
    many times sends at most its first and last occurrence into this round.
 
 A group of any size is cut by the splitters, because the order ends in document and place. Fingerprints
@@ -31,14 +31,15 @@ from . import texthash
 from .adjacent import neighbours
 
 GRAM = 64
-ORDER = ["lead", "gram", "seg", "doc", "l"]
+LEAD = 3  # leading bytes in the sort key, before 40 bits of fingerprint
 
 
-def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as numbers that order like the bytes."""
+def _key(data: np.ndarray, at: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Sort keys of suffixes: they order like the leading bytes, then by fingerprint."""
     out = np.zeros(len(at), np.uint64)
-    for j in range(8):
+    for j in range(LEAD):
         out = (out << texthash.U(8)) | data[at + j].astype(np.uint64)
+    out = out << texthash.U(40) | prints >> texthash.U(24)
     return (out ^ texthash.U(1 << 63)).view(np.int64)
 
 
@@ -78,15 +79,16 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
             for c in texthash.chunks(batch.column(1)):
                 row, at, l, r, roll = _sampled(c, length)
                 base = c.bounds[row]
+                place = (l - base) * 256 + (r - l)  # a run has fewer than 256 windows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_lead(c.data, at)), pa.array(roll.hash(at, at + GRAM).view(np.int64)), pa.array(roll.hash(l, r + length).view(np.int64)),
-                        pa.array(doc[c.first + row]), pa.array((l - base).astype(np.int32)), pa.array((r - base).astype(np.int32)),
+                        pa.array(_key(c.data, at, roll.hash(at, at + GRAM))), pa.array(roll.hash(l, r + length).view(np.int64)),
+                        pa.array(doc[c.first + row]), pa.array(place),
                     ],
-                    names=[*ORDER, "r"],
+                    names=["gram", "seg", "doc", "run"],
                 )
 
-    return docs.select("_doc", "text").mapInArrow(run, "lead long, gram long, seg long, doc long, l int, r int")
+    return docs.select("_doc", "text").mapInArrow(run, "gram long, seg long, doc long, run long")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +125,12 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text").withColumn("_doc", F.xxhash64("doc_id", "text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = neighbours(_suffixes(keyed, length), ORDER, parts)
-    per_doc = near.groupBy("doc").agg(F.collect_list(F.struct("l", "r", "same", "near")).alias("runs"))
+    near = neighbours(_suffixes(keyed, length), ["gram", "seg", "doc", "run"], parts)
+    per_doc = near.groupBy("doc").agg(F.collect_list(F.struct("run", "same", "near")).alias("runs"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {n: [] for n in ("doc_id", "doc", "text", "starts", "ends", "lead", "fp", "l", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+            out = {n: [] for n in ("doc_id", "doc", "text", "starts", "ends", "l", "prints", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
             lists = batch.column("runs")
             for c in texthash.chunks(batch.column("text")):
                 roll = None
@@ -136,30 +138,33 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
                     b, e = int(c.bounds[i]), int(c.bounds[i + 1])
                     runs = lists.slice(c.first + i, 1).flatten()
                     get = lambda n: runs.field(n).to_numpy(zero_copy_only=False)
-                    l, r, same, open_ = (get("l").astype(np.int64), get("r").astype(np.int64), get("same").astype(bool), get("near").astype(bool)) if len(runs) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),) * 2
+                    none = np.zeros(0, np.int64)
+                    run, same, open_ = (get("run"), get("same").astype(bool), get("near").astype(bool)) if len(runs) else (none, none.astype(bool), none.astype(bool))
+                    l, r = run >> 8, (run >> 8) + (run & 255)
                     starts, ends = _merged(l[same], r[same] + length)
                     out["doc_id"].append(c.first + i)
                     out["doc"].append(c.first + i)
                     out["n_bytes"].append(e - b)
                     if open_.any():
                         roll = roll or texthash.Rolling(texthash.VALUES[c.data])
-                        w = np.concatenate([np.arange(x, y + 1) for x, y in zip(l[open_], r[open_])]) + b
-                        found = (starts.astype(np.int32), ends.astype(np.int32), _lead(c.data, w), roll.hash(w, w + length).view(np.int64), (w - b).astype(np.int32))
+                        w = [np.arange(x, y + 1) + b for x, y in zip(l[open_], r[open_])]
+                        prints = [roll.hash(x, x + length).view(np.int64) for x in w]
+                        found = (starts.astype(np.int32), ends.astype(np.int32), l[open_].astype(np.int32), prints)
                         out["text"].append(c.first + i)
                         removed = (None, None, None)
                     else:
-                        found, removed = (None,) * 5, _digest(c.data[b:e], starts, ends)
+                        found, removed = (None,) * 4, _digest(c.data[b:e], starts, ends)
                         out["text"].append(None)
-                    for n, x in zip(("starts", "ends", "lead", "fp", "l"), found):
+                    for n, x in zip(("starts", "ends", "l", "prints"), found):
                         out[n].append(x)
                     for n, x in zip(("n_removed", "n_spans", "kept_sha256"), removed):
                         out[n].append(x)
             pick = lambda n, source: batch.column(source).take(pa.array(out[n], pa.int64()))
-            i32, i64 = pa.list_(pa.int32()), pa.list_(pa.int64())
+            i32 = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pick("doc_id", "doc_id"), pick("doc", "_doc"), pick("text", "text"), pa.array(out["starts"], i32), pa.array(out["ends"], i32),
-                    pa.array(out["lead"], i64), pa.array(out["fp"], i64), pa.array(out["l"], i32), pa.array(out["n_bytes"], pa.int64()),
+                    pa.array(out["l"], i32), pa.array(out["prints"], pa.list_(pa.list_(pa.int64()))), pa.array(out["n_bytes"], pa.int64()),
                     pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()),
                 ],
                 names=list(out),
@@ -167,12 +172,13 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
 
     joined = keyed.join(per_doc, F.col("_doc") == F.col("doc"), "left").select("doc_id", "_doc", "text", "runs")
     looked = staged(joined.mapInArrow(
-        second, f"doc_id {kind}, doc long, text string, starts array<int>, ends array<int>, lead array<long>, fp array<long>, l array<int>, {RESULT}"
+        second, f"doc_id {kind}, doc long, text string, starts array<int>, ends array<int>, l array<int>, prints array<array<long>>, {RESULT}"
     ))
-    windows = looked.where("fp is not null").select("doc", F.explode(F.arrays_zip("lead", "fp", "l")).alias("w"))
-    windows = windows.select(F.col("w.lead").alias("lead"), F.col("w.fp").alias("gram"), F.col("w.fp").alias("seg"), "doc", F.col("w.l").alias("l"), F.col("w.l").alias("r"))
-    again = neighbours(windows, ORDER, parts).where("same").groupBy("doc").agg(F.collect_set("l").alias("more"))
-    pending = looked.where("fp is not null").select("doc_id", "doc", "text", "starts", "ends").join(again, "doc", "left")
+    open_runs = looked.where("prints is not null").select("doc", F.explode(F.arrays_zip("l", "prints")).alias("w"))
+    windows = open_runs.select("doc", F.col("w.l").alias("l"), F.posexplode("w.prints").alias("step", "gram"))
+    windows = windows.select("gram", "doc", (F.col("l") + F.col("step")).alias("l"))
+    again = neighbours(windows, ["gram", "doc", "l"], parts).where("same").groupBy("doc").agg(F.collect_set("l").alias("more"))
+    pending = looked.where("prints is not null").select("doc_id", "doc", "text", "starts", "ends").join(again, "doc", "left")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,5 +192,5 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
             cols = [pa.array([r[j] for r in rows], pa.string() if j == 3 else pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    settled = looked.where("fp is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    settled = looked.where("prints is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return settled.unionByName(pending.mapInArrow(last, f"doc_id {kind}, {RESULT}"))
