@@ -23,7 +23,6 @@ PREFIXES = (4, 5, 6)
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False  # after lower-casing: 0-9, a-z, non-ASCII
 THRESHOLD = 0.3
-TOXIC_WEIGHT = 3.0  # a missed toxic row costs as much as three clean ones
 
 
 def term_rows(c: texthash.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +94,7 @@ def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, keep: int = 4096, fact
         sums = np.stack([np.bincount(row, v[:, f], n) for f in range(factors)], 1)
         squares = np.bincount(row, (v * v).sum(1), n)
         margin = p["b"][0] + np.bincount(row, p["w"][at], n) + 0.5 * ((sums**2).sum(1) - squares)
-        error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y) * np.where(y > 0, TOXIC_WEIGHT, 1.0) / n
+        error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y) / n
         step = error[row][:, None] * (sums[row] - v)
         g = {
             "b": np.array([error.sum()]),
