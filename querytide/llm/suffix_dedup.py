@@ -112,6 +112,26 @@ def _digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int
     return int((ends - starts).sum()), len(starts), sha.hexdigest()
 
 
+def _open_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, document and place of every window of the open runs (columns doc, text, open)."""
+    for batch in batches:
+        doc = batch.column("doc").to_numpy()
+        for c in texthash.chunks(batch.column("text")):
+            roll = texthash.Rolling(texthash.VALUES[c.data])
+            n = len(c.bounds) - 1
+            lists = batch.column("open").slice(c.first, n)
+            run = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+            count = (run & 255) + 1
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            l = np.repeat(run >> 8, count) + step  # noqa: E741
+            row = np.repeat(row, count)
+            at = l + c.bounds[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(roll.hash(at, at + length).view(np.int64)), pa.array(doc[c.first + row]), pa.array(l.astype(np.int32))], names=["gram", "doc", "l"]
+            )
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -130,10 +150,9 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {n: [] for n in ("doc_id", "doc", "text", "starts", "ends", "l", "prints", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+            out = {n: [] for n in ("doc_id", "doc", "text", "starts", "ends", "open", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
             lists = batch.column("runs")
             for c in texthash.chunks(batch.column("text")):
-                roll = None
                 for i in range(len(c.bounds) - 1):
                     b, e = int(c.bounds[i]), int(c.bounds[i + 1])
                     runs = lists.slice(c.first + i, 1).flatten()
@@ -146,16 +165,13 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
                     out["doc"].append(c.first + i)
                     out["n_bytes"].append(e - b)
                     if open_.any():
-                        roll = roll or texthash.Rolling(texthash.VALUES[c.data])
-                        w = [np.arange(x, y + 1) + b for x, y in zip(l[open_], r[open_])]
-                        prints = [roll.hash(x, x + length).view(np.int64) for x in w]
-                        found = (starts.astype(np.int32), ends.astype(np.int32), l[open_].astype(np.int32), prints)
+                        found = (starts.astype(np.int32), ends.astype(np.int32), run[open_])
                         out["text"].append(c.first + i)
                         removed = (None, None, None)
                     else:
-                        found, removed = (None,) * 4, _digest(c.data[b:e], starts, ends)
+                        found, removed = (None,) * 3, _digest(c.data[b:e], starts, ends)
                         out["text"].append(None)
-                    for n, x in zip(("starts", "ends", "l", "prints"), found):
+                    for n, x in zip(("starts", "ends", "open"), found):
                         out[n].append(x)
                     for n, x in zip(("n_removed", "n_spans", "kept_sha256"), removed):
                         out[n].append(x)
@@ -164,7 +180,7 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pick("doc_id", "doc_id"), pick("doc", "_doc"), pick("text", "text"), pa.array(out["starts"], i32), pa.array(out["ends"], i32),
-                    pa.array(out["l"], i32), pa.array(out["prints"], pa.list_(pa.list_(pa.int64()))), pa.array(out["n_bytes"], pa.int64()),
+                    pa.array(out["open"], pa.list_(pa.int64())), pa.array(out["n_bytes"], pa.int64()),
                     pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()),
                 ],
                 names=list(out),
@@ -172,13 +188,12 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
 
     joined = keyed.join(per_doc, F.col("_doc") == F.col("doc"), "left").select("doc_id", "_doc", "text", "runs")
     looked = staged(joined.mapInArrow(
-        second, f"doc_id {kind}, doc long, text string, starts array<int>, ends array<int>, l array<int>, prints array<array<long>>, {RESULT}"
+        second, f"doc_id {kind}, doc long, text string, starts array<int>, ends array<int>, open array<long>, {RESULT}"
     ))
-    open_runs = looked.where("prints is not null").select("doc", F.explode(F.arrays_zip("l", "prints")).alias("w"))
-    windows = open_runs.select("doc", F.col("w.l").alias("l"), F.posexplode("w.prints").alias("step", "gram"))
-    windows = windows.select("gram", "doc", (F.col("l") + F.col("step")).alias("l"))
+    waiting = looked.where("open is not null").select("doc", "text", "open")
+    windows = waiting.mapInArrow(lambda batches: _open_windows(batches, length), "gram long, doc long, l int")
     again = neighbours(windows, ["gram", "doc", "l"], parts).where("same").groupBy("doc").agg(F.collect_set("l").alias("more"))
-    pending = looked.where("prints is not null").select("doc_id", "doc", "text", "starts", "ends").join(again, "doc", "left")
+    pending = looked.where("open is not null").select("doc_id", "doc", "text", "starts", "ends").join(again, "doc", "left")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,5 +207,5 @@ def repeated(docs: DataFrame, length: int = 200) -> DataFrame:
             cols = [pa.array([r[j] for r in rows], pa.string() if j == 3 else pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    settled = looked.where("prints is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    settled = looked.where("open is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return settled.unionByName(pending.mapInArrow(last, f"doc_id {kind}, {RESULT}"))
