@@ -11,8 +11,8 @@ plain words, unrelated texts are at distance 1 from every pivot, and no pivot co
 * by the triangle inequality a text linked to a point within the radius of the pivot is within twice the radius of the
   pivot. Points of the same regions in that window are copied to the pivot's region and compared there, in
   blocks, with the points whose distance differs by at most the radius;
-* what no pivot covered goes round again with smaller regions; a region of at most LEAF points is compared pair
-  by pair.
+* what no pivot covered goes round again with smaller regions; a region of at most `leaf` points is compared pair
+  by pair, after a count of the rare shingles that a pair shares.
 
 Every pair of points that share a region is thus compared, linked through a pivot, or ruled out by the window.
 Groups of any size come down to one comparison per point with its pivot.
@@ -33,9 +33,9 @@ from .adjacent import neighbours
 from .components import components
 
 SHINGLE = 5
-LEAF = 12
+LEAF = 64  # points of a region that is compared pair by pair; four times as many in each further round
 TILE = 256  # points on each side of a block of comparisons
-BUCKETS = 1 << 14  # of the rarity table
+BUCKETS = 1 << 17  # of the rarity table
 FILTER_BITS = 1 << 26
 
 
@@ -209,12 +209,22 @@ def _tiles(core: DataFrame, ring: DataFrame, sets: DataFrame, percent: int) -> D
     return rows.groupBy("pivot", "ct", "rt").applyInPandas(compare, "u long, v long")
 
 
-def _leaf_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of points in regions of at most LEAF points, by size."""
-    left = regions.select("gram", F.col("seg").alias("a"), F.col("n").alias("na"))
-    right = regions.select("gram", F.col("seg").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, "gram").where(fits).select("a", "b").distinct()
+def _leaf_pairs(regions: DataFrame, leaf: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of points that share regions of at most `leaf` points and can be similar.
+
+    The shingles that two similar sets share outside the rare part of one of them are fewer than percent / 100 of
+    its size, so the rest of their overlap lies in the rare parts. There it is the number of regions they share:
+    counted in the small ones, and at most `wide`, the large ones of either point.
+    """
+    wide = regions.where(F.col("size") > leaf).groupBy("seg").agg(F.count(F.lit(1)).alias("wide"))
+    small = regions.where(F.col("size") <= leaf).join(wide, "seg", "left").select("gram", "seg", "n", F.coalesce("wide", F.lit(0)).alias("wide"))
+    left, right = (small.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("seg", "n", "wide")]) for side in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    fits = (F.col("seg_a") < F.col("seg_b")) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    met = left.join(right, "gram").where(fits).groupBy("seg_a", "seg_b", "n_a", "n_b", "wide_a", "wide_b").agg(F.count(F.lit(1)).alias("common"))
+    rest = F.ceil(percent * F.greatest(na, nb) / 100) - 1
+    enough = F.ceil(percent * (na + nb) / (100 + percent))
+    return met.where(F.col("common") + F.least("wide_a", "wide_b") + rest >= enough).select(F.col("seg_a").alias("a"), F.col("seg_b").alias("b"))
 
 
 def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
@@ -234,13 +244,14 @@ def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) ->
     def settle(pairs: DataFrame) -> None:
         found.append(staged(_measured(pairs, sets).where(_reaches(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
+    leaf = LEAF
     while True:
         sizes = regions.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = staged(regions.join(sizes, "gram"))
         if sized.isEmpty():
             break
-        settle(_leaf_pairs(sized.where(F.col("size") <= LEAF), percent))
-        large = sized.where(F.col("size") > LEAF)
+        settle(_leaf_pairs(sized, leaf, percent))
+        large = sized.where(F.col("size") > leaf)
         if large.isEmpty():
             break
         best = F.max(F.struct("central", "seg"))
@@ -267,6 +278,7 @@ def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) ->
         done = core.select(F.col("point").alias("seg")).distinct()
         regions = staged(large.select("gram", "seg", "n", "central").join(done, "seg", "left_anti"))
         unstage(choice, sized)
+        leaf *= 4
     out = found[0] if found else spark.createDataFrame([], "u long, v long")
     for more in found[1:]:
         out = out.unionByName(more)
