@@ -19,7 +19,6 @@ NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
 ADJECTIVES = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
 ALTERNATIVE_NOUNS = ["anvil", "widget"]
 QUERY_FLOOR = 20.0
-PATH_STEPS, PATH_SPLIT = 50, 1000000000
 
 
 def _index(words: list[str], c):
@@ -161,12 +160,10 @@ class _Domain:
 
     @cached_property
     def raw_journeys(self) -> DataFrame:
-        # a customer with very many orders becomes several journeys, so that no group is unbounded
-        order = [F.col("odate"), F.col("l_orderkey")]
-        placed = rank.positions(self.leads.select("run_id", "custkey", "odate", "l_orderkey", "keyword"), ["run_id", "custkey"], order, "pos")
-        path_id = F.col("custkey") + PATH_SPLIT * F.floor((F.col("pos") - 1) / PATH_STEPS)
-        return placed.groupBy("run_id", path_id.alias("path_id")).agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("pos", "keyword"))), lambda s: s["keyword"]).alias("seq"))
+        """One journey per customer: the leads of their orders in time."""
+        step = F.struct("odate", "l_orderkey", "keyword")
+        return self.leads.groupBy("run_id", F.col("custkey").alias("path_id")).agg(
+            F.transform(F.array_sort(F.collect_list(step)), lambda s: s["keyword"]).alias("seq"))
 
     @cached_property
     def journeys(self) -> DataFrame:
@@ -256,9 +253,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
 piece("q_edges", """
 SELECT DISTINCT x.run_id, least(x.keyword, y.keyword) AS a, greatest(x.keyword, y.keyword) AS b
 FROM q_lines x JOIN q_leads y ON x.l_orderkey = y.l_orderkey WHERE x.keyword <> y.keyword""")
-piece("q_steps_raw", f"""
-SELECT run_id, custkey + {PATH_SPLIT}*((row_number() OVER (PARTITION BY run_id, custkey ORDER BY odate, l_orderkey)-1)//{PATH_STEPS}) AS path_id,
-  odate, l_orderkey, keyword AS node FROM q_leads""")
+piece("q_steps_raw", "SELECT run_id, custkey AS path_id, odate, l_orderkey, keyword AS node FROM q_leads")
 piece("q_steps", """
 SELECT run_id, path_id, row_number() OVER (PARTITION BY run_id, path_id ORDER BY odate, l_orderkey) - 1 AS pos, node FROM (
   SELECT *, lag(node) OVER (PARTITION BY run_id, path_id ORDER BY odate, l_orderkey) AS prev FROM q_steps_raw)

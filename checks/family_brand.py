@@ -324,7 +324,7 @@ SELECT run_id, 'facet journeys missing', facet_query FROM q_facets f {DEEP} AND
 check("I16_emerging_upgrade", on(lambda b: b.judged.select("run_id", "category", "verdict", "axis", "status")), "SELECT run_id, category, verdict, axis, status FROM q_judged")
 piece("q_bcols", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY watch DESC, volume DESC, brand) AS pos FROM (
-  SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume, brand IN ({', '.join(repr(w) for w in WATCH)}) AS watch FROM q_rivals GROUP BY ALL) WHERE watch OR categories>=2) WHERE pos<=3""")
+  SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume, brand IN ({', '.join(repr(w) for w in WATCH)}) AS watch FROM q_rivals GROUP BY ALL) WHERE watch OR categories>=2) WHERE watch OR pos<=3""")
 check("I17_brand_matrix", on(lambda b: op.brand_matrix(b.shares, OWN).select("run_id", "category", "brand", "volume", "share", "rank")),
       "SELECT run_id, category, brand, volume, share, (rank() OVER (PARTITION BY run_id, category ORDER BY volume DESC))::int AS rank FROM q_shares")
 

@@ -100,15 +100,12 @@ def quadrant(volume, competition, median_volume, median_competition) -> Column:
 
 
 def cluster_letter(index) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA, the way sheet columns are named (up to three letters)."""
-    n = col(index).cast("int")
-    a = F.lit(65)
-    one = F.chr(a + n % 26)
-    m = F.floor(n / 26).cast("int") - 1
-    two = F.chr(a + m % 26)
-    k = F.floor(m / 26).cast("int") - 1
-    three = F.chr(a + k % 26)
-    return F.when(n < 26, one).when(m < 26, F.concat(two, one)).otherwise(F.concat(three, two, one))
+    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA: the way sheet columns are named, for any index below 2**31."""
+    n, letters = col(index).cast("bigint"), []
+    for _ in range(7):  # 26**7 is above 2**31
+        letters.insert(0, F.when(n >= 0, F.chr(F.lit(65) + n % 26)).otherwise(""))
+        n = F.floor(n / 26) - 1
+    return F.when(col(index).isNotNull(), F.concat(*letters))
 
 
 def circular_distance(a, b) -> Column:

@@ -213,11 +213,15 @@ def brand_matrix(shares: DataFrame, own: str) -> DataFrame:
 
 
 def brand_columns(shares: DataFrame, own: str, watch: list[str], n: int = MATRIX_BRANDS) -> DataFrame:
-    """Brands of the matrix: watched ones first, then those in at least two categories by volume; own brand apart."""
+    """Brands of the matrix: all watched ones first, then those in at least two categories by volume; own brand apart.
+
+    The cut after n + 1 brands leaves out others only, never a watched one.
+    """
     rivals = competitors(shares, own).groupBy("run_id", "brand").agg(F.count(F.lit(1)).alias("categories"), F.sum("volume").alias("volume"))
     watched = F.col("brand").isin(watch) if watch else F.lit(False)
     rows = rivals.withColumn("watch", watched).where(F.col("watch") | (F.col("categories") >= 2))
-    return rank.top_n(rows, RUN, [F.when(F.col("watch"), 0).otherwise(1), -F.col("volume"), F.col("brand")], n + 1, "pos")
+    order = [F.when(F.col("watch"), 0).otherwise(1), -F.col("volume"), F.col("brand")]
+    return rank.top_n(rows, RUN, order, n + 1 + len(watch), "pos").where(F.col("watch") | (F.col("pos") <= n + 1))
 
 
 def outside_top(matrix: DataFrame, columns: DataFrame, own: str) -> DataFrame:

@@ -87,11 +87,15 @@ def dedupe_seed_records(records: DataFrame) -> DataFrame:
 def multi_seed_quota(lists: DataFrame, cap: int = LOOKUP_CAP) -> DataFrame:
     """Every seed takes its quota of new queries in seed order, leftover slots fill list by list.
 
-    No list can contribute beyond its first `cap` rows, so the greedy passes see at most
-    MAX_SEEDS * cap rows of a run; that bound is what lets them be windows over the run.
+    Seeds may be numbered in any way. No list can contribute beyond its first `cap` rows, so the greedy
+    passes see at most MAX_SEEDS * cap rows of a run; that bound is what lets them be windows over the
+    run. A run with more seeds fails with a message: it is rejected, never cut.
     """
+    seeds = lists.groupBy("run_id").agg(F.array_sort(F.collect_set("seed_ord")).alias("_seeds")).withColumn("_n", F.size("_seeds"))
+    refused = F.raise_error(F.concat(F.lit(f"more than {MAX_SEEDS} seeds in run "), F.col("run_id").cast("string")))
+    seeds = seeds.withColumn("_n", F.when(F.col("_n") > MAX_SEEDS, refused.cast("int")).otherwise(F.col("_n")))
     heads = rank.top_n(lists, ["run_id", "seed_ord"], [F.col("rank"), F.col("keyword")], cap)
-    seeds = lists.groupBy("run_id").agg(F.count_distinct("seed_ord").alias("_n"))
+    heads = heads.join(seeds.select("run_id", "_seeds"), "run_id").withColumn("seed_ord", F.array_position("_seeds", F.col("seed_ord")) - 1)
     picked = heads.groupBy("run_id", "keyword").agg(
         *[F.min(F.when(F.col("seed_ord") == s, F.col("rank"))).alias(f"_r{s}") for s in range(MAX_SEEDS)]
     )
@@ -113,7 +117,8 @@ def multi_seed_quota(lists: DataFrame, cap: int = LOOKUP_CAP) -> DataFrame:
     at = F.coalesce(*[F.when(F.col("seed_ord") == s, F.col(f"_r{s}")) for s in range(MAX_SEEDS)])
     picked = picked.withColumn("rank", at)
     order = [F.col("fill"), F.col("seed_ord"), F.col("rank"), F.col("keyword")]
-    return rank.top_n(picked, RUN, order, cap, "pos").select("run_id", "pos", "keyword", "seed_ord", "fill")
+    out = rank.top_n(picked, RUN, order, cap, "pos")
+    return out.withColumn("seed_ord", F.get("_seeds", F.col("seed_ord"))).select("run_id", "pos", "keyword", "seed_ord", "fill")
 
 
 def finder_union(query: DataFrame, journey_nodes: DataFrame, cluster_pick: DataFrame, cap: int = LOOKUP_CAP) -> DataFrame:

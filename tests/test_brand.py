@@ -1,14 +1,13 @@
 from querytide.operators import brand
 
 CASES = [  # query, brand, held
-    ("가쿠빈 하이볼", "산토리", True), ("산토리니 여행", "산토리", False), ("일품진로 가격", "진로", False), ("진로 소주", "진로", True),
-    ("려 샴푸", "려", True), ("배려 깊은", "려", False), ("웨이더 단백질 보충제", "더단백", False), ("더단백 프로틴", "더단백", True),
-    ("단백질 보충제 신타6", "신타", True), ("골드스탠다드 웨이", "골드 스탠다드", True), ("홋카이도 하이볼", "이도", False),
+    ("별담 신발", "별담", True), ("별담이 산책", "별담", False), ("큰한울 후기", "한울", False), ("한울 후기", "한울", True),
+    ("솔 비누", "솔", True), ("해솔 마을", "솔", False), ("가을보리 차", "을보리", False), ("을보리 차", "을보리", True),
+    ("국산 녹차 누리7", "누리", True), ("푸른숲길 지도", "푸른 숲길", True), ("북마루길 걷기", "마루", False),
     ("brand#20 ring", "brand#2", False), ("brand#2 ring", "brand#2", True), ("brand#2x ring", "brand#2", True),
 ]
-NAMES = [("산토리", "산토리"), ("산토리", "가쿠"), ("진로", "진로"), ("려", "려"), ("려", "배"), ("더단백", "더단백"), ("신타", "신타"),
-         ("골드 스탠다드", "골드 스탠다드"), ("이도", "이도"), ("brand#2", "brand#2")]
-EXCLUDES = [("산토리", "산토리니"), ("진로", "일품진로"), ("brand#2", "brand#20")]
+NAMES = [("별담", "별담"), ("한울", "한울"), ("솔", "솔"), ("을보리", "을보리"), ("누리", "누리"), ("푸른 숲길", "푸른 숲길"), ("마루", "마루"), ("brand#2", "brand#2")]
+EXCLUDES = [("별담", "별담이"), ("한울", "큰한울"), ("brand#2", "brand#20")]
 
 
 def tables(spark):

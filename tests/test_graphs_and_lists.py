@@ -103,3 +103,47 @@ def test_batches_leave_out_measured_queries(spark):
     done = spark.createDataFrame([("a", "K2")], "run_id string, keyword string")
     got = {(r.keyword, r.batch_no) for r in records.enrichment_batches(want, done, 3).collect()}
     assert got == {("k 0", 0), ("k 1", 0), ("k 3", 0), ("k 4", 1), ("k 5", 1), ("k 6", 1)}
+
+
+def test_seeds_of_any_number_take_their_quota_and_too_many_fail(spark):
+    from pyspark.errors import PySparkException
+
+    from querytide.operators import records
+
+    lists = spark.createDataFrame([("a", s, r, f"k{s}_{r}") for s in (5, 70, 71) for r in range(1, 6)], "run_id string, seed_ord int, rank int, keyword string")
+    got = records.multi_seed_quota(lists, 6).collect()
+    assert [(r.seed_ord, r.fill) for r in sorted(got, key=lambda r: r.pos)] == [(5, 0), (5, 0), (70, 0), (70, 0), (71, 0), (71, 0)]
+    many = spark.createDataFrame([("a", s, 1, f"k{s}") for s in range(12)], "run_id string, seed_ord int, rank int, keyword string")
+    try:
+        records.multi_seed_quota(many, 60).collect()
+        raise AssertionError("twelve seeds were taken")
+    except PySparkException as e:
+        assert "more than 10 seeds" in str(e)
+
+
+def test_letters_never_repeat(spark):
+    from querytide.functions import cols
+
+    rows = spark.range(20_000).select("id", cols.cluster_letter("id").alias("l"))
+    assert rows.select("l").distinct().count() == 20_000
+    named = {r.id: r.l for r in rows.where("id in (0, 25, 26, 701, 702, 18277, 18278)").collect()}
+    assert named == {0: "A", 25: "Z", 26: "AA", 701: "ZZ", 702: "AAA", 18277: "ZZZ", 18278: "AAAA"}
+
+
+def test_names_are_found_where_they_first_count(spark):
+    from querytide.operators import classify
+
+    texts = ["red ring redbrand#7", "predate redbrand#7", "redbrand#7 brand#7", "zzbrand#7 x", "red date", "ring brand#7"]
+    q = spark.createDataFrame([("a", x) for x in texts], "run_id string, query string")
+    got = {r.query: r.at for r in classify.bound_match(q, ["brand#7"], "at").collect()}
+    assert got == {"red ring redbrand#7": 13, "predate redbrand#7": 12, "redbrand#7 brand#7": 4, "zzbrand#7 x": 0, "red date": 0, "ring brand#7": 6}
+    both = spark.createDataFrame([("a", "redbrand#7 brand#7")], "run_id string, query string")
+    assert classify.bound_match(both, ["brand#7"], "at").first().at == 12  # red is no word of its own there
+
+
+def test_watched_brands_are_never_cut(spark):
+    from querytide.operators import brand
+
+    rows = [("a", c, b, float(v), 0.1) for c in ("x", "y") for v, b in enumerate(["own", "w1", "w2", "w3", "big", "bigger"])]
+    shares = spark.createDataFrame(rows, "run_id string, category string, brand string, volume double, share double")
+    assert {r.brand for r in brand.brand_columns(shares, "own", ["w1", "w2", "w3"], 1).collect()} == {"w1", "w2", "w3"}

@@ -4,46 +4,32 @@ import pytest
 from querytide.operators import demand, season
 
 
-def phases_by_hand(values):
-    """Restatement: walk the circle month by month."""
-    ix = [max(v, 0.01) for v in values]
-    if max(ix) / min(ix) < 1.4:
-        return ["all-year"] * 12
-    bar = 1 + 0.7 * (max(ix) - 1)
-    first = ["peak" if v >= bar else "off" if v < 0.9 else None for v in ix]
-
-    def look(i, step):
-        for d in range(1, 13):
-            p = first[(i + d * step) % 12]
-            if p:
-                return p, d
-        return None, 99
-
-    out = list(first)
-    for i in range(12):
-        if first[i] is None:
-            ahead, far = look(i, 1)
-            behind = look(i, -1)[0]
-            local = ix[i] >= ix[i - 1] and ix[i] >= ix[(i + 1) % 12] and ix[i] >= 1.1
-            out[i] = ("rebound" if ahead == "off" and local else "leaving" if ahead == "off" and far <= 2
-                      else "rising" if behind == "off" and ahead == "peak" else "hold")
-    done = list(out)
-    for i in range(12):
-        if out[i] == "off" and out[(i + 1) % 12] in ("rising", "peak"):
-            run = [j % 12 for j in range(i, i - 12, -1)]
-            length = next((k for k, j in enumerate(run) if out[j] != "off"), 12)
-            for j in run[: min(2, length - 1)]:
-                done[j] = "prepare"
-    return done
-
-
-def test_phases_match_a_restatement(spark):
+LITERAL_PHASES = [  # indices of twelve months and their phases, worked out on paper
+    ([1.0] * 12, ["all-year"] * 12),
+    ([0.0] * 12, ["all-year"] * 12),
+    ([0.2] * 11 + [5.0], ["off"] * 9 + ["prepare", "prepare", "peak"]),
+    # one peak in July, climbed from May, left at once; the two months before the climb are for preparing
+    ([0.5, 0.5, 0.5, 0.5, 0.95, 1.0, 2.0, 0.5, 0.5, 0.5, 0.5, 0.5], ["off", "off", "prepare", "prepare", "rising", "rising", "peak"] + ["off"] * 5),
+    # after the peak two months fade out
+    ([0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 2.0, 1.0, 0.95, 0.5, 0.5, 0.5], ["off"] * 4 + ["prepare", "prepare", "peak", "leaving", "leaving", "off", "off", "off"]),
+]
+
+
+def phases_of(spark, rows):
+    df = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows)], "k int, index array<double>")
+    return [r.phases for r in season.with_phases(df).orderBy("k").collect()]
+
+
+def test_phases_of_literal_years(spark):
+    assert phases_of(spark, [x for x, _ in LITERAL_PHASES]) == [p for _, p in LITERAL_PHASES]
+
+
+def test_phases_turn_with_the_year(spark):
     r = random.Random(3)
-    rows = [[round(r.choice([0.0, 0.5, 0.8, 0.95, 1.0, 1.1, 1.2, 2.0, 3.0]) * r.choice([1, 1, 0.7]), 3) for _ in range(12)] for _ in range(400)]
-    rows += [[1.0] * 12, [0.0] * 12, [0.2] * 11 + [5.0]]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, index array<double>")
-    got = {r.k: r.phases for r in season.with_phases(df).collect()}
-    assert got == {k: phases_by_hand(x) for k, x in enumerate(rows)}
+    rows = [[r.choice([0.3, 0.6, 0.95, 1.0, 1.15, 1.6, 2.5]) for _ in range(12)] for _ in range(60)]
+    turns = [r.randrange(12) for _ in rows]
+    turned = [x[k:] + x[:k] for x, k in zip(rows, turns)]
+    assert phases_of(spark, turned) == [p[k:] + p[:k] for p, k in zip(phases_of(spark, rows), turns)]
 
 
 def months(n):
