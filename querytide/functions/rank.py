@@ -11,7 +11,7 @@ from .stage import staged
 
 GROUP_LIMIT = 1000  # Spark cuts row_number() <= k before the shuffle up to this k
 SALTS = 64
-SPLITTERS = 48
+BROADCAST_ROWS = 100_000  # runs (or bundles) whose bounds may go to every task
 
 
 def _salt(cols) -> Column:
@@ -29,7 +29,7 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None
     """First n rows per key, with their position when `rank` names a column.
 
     Each task keeps at most n rows per key before the final ranking sees them: Spark's own group
-    limit does this up to GROUP_LIMIT, a salted first pass does it beyond.
+    limit does this before the shuffle up to GROUP_LIMIT, a salted first pass after one shuffle beyond.
     """
     out = rank or "_rn"
     w = W.partitionBy(*keys).orderBy(*order)
@@ -41,32 +41,35 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None
     return ranked if rank else ranked.drop(out)
 
 
-def with_stats(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """Attach per-key aggregates: partial aggregation plus an equi-join that AQE may broadcast or split."""
-    return df.join(df.groupBy(*keys).agg(*aggs), keys)
+def attached(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row with the one row its key has in `stats`.
+
+    The stats are staged, so they are computed once however many are chained; up to BROADCAST_ROWS of them
+    go to every task and the rows of `df` stay where they are. More are joined by a shuffle that adaptive
+    execution splits.
+    """
+    small = staged(stats)
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys)
 
 
 def running_total(df: DataFrame, keys: list[str], order: list, weight: Column, out: str) -> DataFrame:
     """Exclusive running sum of `weight` in `order` within each key.
 
-    The rows of a key are cut into ordered blocks at splitters: the order values with the smallest
-    hashes, so the cut is the same whenever it is recomputed. Block sums are small; the ordered
-    window then runs per block instead of per key. The rows are read three times, so they are
-    written to the shared folder first instead of being computed three times.
+    Rows are range-partitioned over (keys, order) and staged with the number of their partition. Sums per key and
+    partition give the offsets; the ordered window then runs per partition instead of per key, so a key of any
+    size is spread over as many tasks as its rows need.
     """
-    t = staged(df.withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
-    picks = top_n(t.select(*keys, "_o").distinct(), keys, [F.xxhash64("_o"), F.col("_o")], SPLITTERS)
-    cuts = picks.groupBy(*keys).agg(F.sort_array(F.collect_list("_o")).alias("_cuts"))
-    block = F.size(F.filter("_cuts", lambda s: s <= F.col("_o")))
-    blocked = t.join(cuts, keys).withColumn("_b", block).drop("_cuts")
-    sums = blocked.groupBy(*keys, "_b").agg(F.sum(weight).alias("_w"))
+    names = [f"_o{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(names, order))).repartitionByRange(*keys, *names)
+    t = staged(ranged.withColumn("_b", F.spark_partition_id()))
+    sums = t.groupBy(*keys, "_b").agg(F.sum(weight).alias("_w"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, "_b").orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
     return (
-        blocked.join(sums, [*keys, "_b"])
+        attached(t, sums, [*keys, "_b"])
         .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .drop("_o", "_b", "_off")
+        .drop(*names, "_b", "_off")
     )
 
 
@@ -142,4 +145,4 @@ def with_min_max(df: DataFrame, keys: list[str], value: str, out: str, where: Co
     """Min-max norm of `value` over the rows of a key (over those matching `where`, if given)."""
     seen = F.col(value) if where is None else F.when(where, F.col(value))
     stats = df.groupBy(*keys).agg(F.min(seen).alias("_lo"), F.max(seen).alias("_hi"))
-    return df.join(stats, keys).withColumn(out, min_max(value, "_lo", "_hi")).drop("_lo", "_hi")
+    return attached(df, stats, keys).withColumn(out, min_max(value, "_lo", "_hi")).drop("_lo", "_hi")

@@ -63,9 +63,10 @@ def align_months(monthly: DataFrame) -> DataFrame:
     """One row per keyword with nv, gg and total on the grid; missing cells are 0."""
     grid = month_grid(monthly)
     cell = F.struct("month", F.struct("nv", "gg", "total").alias("v"))
-    inside = monthly.join(grid.select("run_id", F.explode("months").alias("month")), ["run_id", "month"], "left_semi")
-    rows = inside.groupBy("run_id", "keyword").agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    every = monthly.select("run_id", "keyword").distinct().join(rows, ["run_id", "keyword"], "left").join(grid, "run_id")
+    # one pass: a month off the grid stays in the map of its keyword and is read by nobody
+    cells = F.collect_list(F.when(F.col("month").isNotNull(), cell))
+    rows = monthly.groupBy("run_id", "keyword").agg(F.map_from_entries(cells).alias("_m"))
+    every = rank.attached(rows, grid, ["run_id"])
 
     def vector(name):
         return F.transform("months", lambda m: F.coalesce(F.try_element_at("_m", m)[name], F.lit(0.0))).alias(name)

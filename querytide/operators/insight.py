@@ -219,7 +219,7 @@ def value_leak(master: DataFrame, concentration: DataFrame, brand_members: DataF
 
 def safe_points(leaks: DataFrame, n: int = 8) -> DataFrame:
     medians = rank.exact_medians(leaks, RUN, {"_med": "opp"})
-    safe = leaks.join(medians, RUN).where(
+    safe = rank.attached(leaks, medians, RUN).where(
         (F.col("opp") >= F.col("_med")) & (F.col("leak_factor") <= 0.34) & (F.col("in_degree") >= 1))
     order = [-F.col("opp"), -F.col("volume"), -F.col("leak_score"), F.col("keyword")]
     return rank.top_n(safe, RUN, order, n, "pos").select("run_id", "pos", "keyword", "opp", "volume", "leak_factor", "in_degree", "persona")
@@ -296,7 +296,7 @@ def priority_score(master: DataFrame, leaks: DataFrame, gaps: DataFrame) -> Data
                  F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("trend") / TREND_CLIP))).otherwise(0.0)
     gap = gaps.select(*KEY).distinct().withColumn("in_gap", F.lit(True))
     items = (
-        rows.join(bounds, RUN).where(F.col("volume") > 0)
+        rank.attached(rows, bounds, RUN).where(F.col("volume") > 0)
         .join(leaks.select(*KEY, "leak_score", F.lit(True).alias("in_leak"), "is_brand"), KEY, "left").join(gap, KEY, "left")
         .withColumn("structure", structure).withColumn("momentum", mom).withColumn("leak", F.coalesce("leak_score", F.lit(0.0)))
     )
@@ -312,7 +312,7 @@ def priority_score(master: DataFrame, leaks: DataFrame, gaps: DataFrame) -> Data
 
 def bucketed(items: DataFrame) -> DataFrame:
     """Each scored keyword in now, next or later; the order of the tests decides."""
-    ranked = rank.pct_rank_mid(items, RUN, {"_r": "structure"}).join(rank.exact_medians(items, RUN, {"_med": "num_norm"}), RUN)
+    ranked = rank.attached(rank.pct_rank_mid(items, RUN, {"_r": "structure"}), rank.exact_medians(items, RUN, {"_med": "num_norm"}), RUN)
     tier = F.when(F.col("_r") >= 0.66, "high").when(F.col("_r") >= 0.33, "mid").otherwise("low")
     value, liked = F.col("num_norm") >= F.col("_med"), F.col("score") >= 0.5
     orphan = (F.col("structure") < 0.05) & (F.col("m") > 0)
@@ -337,7 +337,7 @@ def backlog_breakdown(shown: DataFrame, items: DataFrame, divergent: DataFrame,
     signals = F.array_sort(F.array_compact(F.array(
         F.when(F.col("in_gap"), "coverage-gap"), F.when(F.col("_div"), "hub-divergence"), F.when(F.col("in_leak"), "value-leak"),
         F.when(F.col("_bridge"), "corridor-bridge"), F.when(F.col("is_brand"), "brand-defense"), F.when(F.col("trend") > 0, "momentum"))))
-    return shown.join(bounds, RUN).join(div, KEY, "left").join(bridge, KEY, "left").select(
+    return rank.attached(shown, bounds, RUN).join(div, KEY, "left").join(bridge, KEY, "left").select(
         "run_id", "bucket", "rank", "keyword", "strand", F.coalesce(F.nullif("persona", F.lit("")), "keyword").alias("target"), "score",
         half_up(rank.min_max("volume", "_lo", "_hi"), 4).alias("volume_share"), half_up("m", 4).alias("intent_share"),
         half_up(F.greatest(F.lit(0.0), F.col("momentum")), 4).alias("momentum_share"),

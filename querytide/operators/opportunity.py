@@ -14,7 +14,7 @@ def scored(records: DataFrame) -> DataFrame:
     top = F.max(F.when(F.col("volume_avg") > 0, F.col("volume_avg")))
     max_log = F.coalesce(F.log10(top + 1), F.lit(1.0)).alias("max_log")
     medians = rank.exact_medians(records, RUN, {"med_volume": "volume_avg", "med_comp": "competition_index"})
-    out = records.join(records.groupBy(*RUN).agg(max_log).join(medians, RUN), RUN)
+    out = rank.attached(records, records.groupBy(*RUN).agg(max_log).join(medians, RUN), RUN)
     weight = cols.intent_weight()
     return out.select(
         *records.columns,
