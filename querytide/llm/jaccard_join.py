@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.stage import staged, unstage
+from ..functions.stage import staged
 from . import texthash
 from .adjacent import neighbours
 from .components import components
@@ -50,9 +50,10 @@ def _distinct(rows: np.ndarray, hashes: np.ndarray, n: int) -> Iterator[np.ndarr
     return np.split(hashes, cuts)
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+def _sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The sets of the rows of a chunk at a time, with the place of its first row."""
     for c in texthash.chunks(column):
-        yield from _distinct(*texthash.shingles(texthash.words(c, ~texthash.SPACES), SHINGLE), len(c.bounds) - 1)
+        yield c.first, list(_distinct(*texthash.shingles(texthash.words(c, ~texthash.SPACES), SHINGLE), len(c.bounds) - 1))
 
 
 def _point(x: np.ndarray) -> int:
@@ -69,15 +70,15 @@ def documents(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
         names = ["doc_id", "n", "point", "bucket", "times"]
+        doc_type = pa.null()
         for batch in batches:
-            n, point = [], []
-            for x in _sets(batch.column(1)):
-                n.append(len(x))
-                point.append(_point(x) if len(x) else None)
-                seen += np.bincount((x % texthash.U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(point, pa.int64()), none, none], names=names)
             doc_type = batch.column(0).type
+            for first, sets in _sets(batch.column(1)):
+                every = np.concatenate(sets)
+                seen += np.bincount((every % texthash.U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                none = pa.nulls(len(sets), pa.int64())
+                points = pa.array([_point(x) if len(x) else None for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), points, none, none], names=names)
         if seen.any():
             at = np.flatnonzero(seen)
             none = pa.nulls(len(at), pa.int64())
@@ -96,23 +97,21 @@ def _rare_parts(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, points, sizes, parts = [], [], [], []
-            for x in _sets(batch.column(0)):
-                n = len(x)
-                if n:
-                    keep = n - -(-percent * n // 100) + 1
-                    order = np.lexsort((x, send.value[(x % texthash.U(BUCKETS)).astype(np.int64)]))[:keep]
-                    grams.append(x[order].view(np.int64))
-                    points.append(_point(x))
-                    sizes.append(n)
-                    parts.append(keep)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(points, np.int64), parts)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), parts)), pa.array(np.repeat(np.array(parts, np.int32), parts)),
-                ],
-                names=["gram", "seg", "n", "part_size"],
-            )
+            for _, sets in _sets(batch.column(0)):
+                grams, points, sizes, parts = [np.zeros(0, np.int64)], [], [], []
+                for x in sets:
+                    n = len(x)
+                    if n:
+                        keep = n - -(-percent * n // 100) + 1
+                        order = np.lexsort((x, send.value[(x % texthash.U(BUCKETS)).astype(np.int64)]))[:keep]
+                        grams.append(x[order].view(np.int64))
+                        points.append(_point(x))
+                        sizes.append(n)
+                        parts.append(keep)
+                each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), np.array(parts, np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(grams)), each(points, np.int64), each(sizes, np.int32), each(parts, np.int32)], names=["gram", "seg", "n", "part_size"]
+                )
 
     return docs.select("text").mapInArrow(run, "gram long, seg long, n int, part_size int")
 
@@ -143,14 +142,12 @@ def _members(docs: DataFrame, wanted: DataFrame, spark) -> DataFrame:
         for batch in batches:
             at = _spread(batch.column(0).to_numpy())
             batch = batch.filter(pa.array((send.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            points, items = [], []
-            for x in _sets(batch.column(1)):
-                if len(x):
-                    points.append(_point(x))
-                    items.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(points, pa.int64()), pa.array([len(x) for x in items], pa.int32()), pa.array(items, pa.list_(pa.int64()))], names=["point", "n", "items"]
-            )
+            for _, sets in _sets(batch.column(1)):
+                items = [x.view(np.int64) for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_point(x) for x in sets if len(x)], pa.int64()), pa.array([len(x) for x in items], pa.int32()), pa.array(items, pa.list_(pa.int64()))],
+                    names=["point", "n", "items"],
+                )
 
     found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "point long, n int, items array<long>")
     found = found.join(wanted.select("point"), "point", "left_semi")
@@ -233,25 +230,29 @@ def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = neighbours(_rare_parts(docs, table, percent), ["gram", "seg"], parts).where("near")
     regions = staged(shared.select("gram", "seg", "n", "part_size").distinct())
-    points = regions.groupBy(F.col("seg").alias("point")).agg(F.count(F.lit(1)).alias("held"), F.min("part_size").alias("part_size"))
-    wanted = staged(named.groupBy("point").agg(F.min("doc_id").alias("doc_id")).join(points.select("point"), "point", "left_semi"))
-    sets = _members(docs, wanted, spark)
     sizes = regions.groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
     weights = regions.join(sizes, "gram").groupBy("seg").agg((F.sum(F.log2("size")) / F.min("part_size")).alias("central"))
     regions = staged(regions.select("gram", "seg", "n").join(weights, "seg"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        return staged(rows.join(counts, "gram"))
+
+    leaf = LEAF
+    current = sized(regions)
+    pairs = staged(_leaf_pairs(current, leaf, percent))
+    # only points that still can be similar to another need their whole sets
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("point")).unionByName(current.where(F.col("size") > leaf).select(F.col("seg").alias("point")))
+    wanted = staged(named.groupBy("point").agg(F.min("doc_id").alias("doc_id")).join(asked.distinct(), "point", "left_semi"))
+    sets = _members(docs, wanted, spark)
     found = []
 
     def settle(pairs: DataFrame) -> None:
         found.append(staged(_measured(pairs, sets).where(_reaches(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    leaf = LEAF
     while True:
-        sizes = regions.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = staged(regions.join(sizes, "gram"))
-        if sized.isEmpty():
-            break
-        settle(_leaf_pairs(sized, leaf, percent))
-        large = sized.where(F.col("size") > leaf)
+        settle(pairs)
+        large = current.where(F.col("size") > leaf)
         if large.isEmpty():
             break
         best = F.max(F.struct("central", "seg"))
@@ -276,9 +277,9 @@ def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) ->
         found.append(ring.where("linked").select(F.col("point").alias("u"), F.col("pivot").alias("v")))
         found.append(staged(_tiles(core, ring.drop("linked"), sets, percent)))
         done = core.select(F.col("point").alias("seg")).distinct()
-        regions = staged(large.select("gram", "seg", "n", "central").join(done, "seg", "left_anti"))
-        unstage(choice, sized)
+        current = sized(large.select("gram", "seg", "n", "central").join(done, "seg", "left_anti"))
         leaf *= 4
+        pairs = staged(_leaf_pairs(current, leaf, percent))
     out = found[0] if found else spark.createDataFrame([], "u long, v long")
     for more in found[1:]:
         out = out.unionByName(more)

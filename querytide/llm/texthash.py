@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1_000_000
+CHUNK = 250_000
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
