@@ -55,9 +55,14 @@ def unstage(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Remove every table that this application staged; call it when its results are written."""
-    for path in list(_written.get(spark.sparkContext.applicationId, [])):
+def stages(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this application staged and did not remove."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stages(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove staged tables (all of the application's, if none are named); call it when the results are written."""
+    for path in stages(spark) if paths is None else paths:
         _remove(spark, path)
 
 
