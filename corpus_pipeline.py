@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querytide.functions.stage import staged
+from querytide.functions.stage import drop_stages, staged, stages
 from querytide.llm import decontaminate, jaccard_join, line_dedup, mixing, queries, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_working: dict[str, list[str]] = {}
+
+
+def stage(work):
+    """A stage whose working tables are removed when the next one begins, for by then its result is written."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        drop_stages(spark, _working.pop(app, []))
+        before = set(stages(spark))
+        out = work(spark, docs, sf_dir)
+        if work.__name__ != "mixed":  # no stage follows
+            _working[app] = [p for p in stages(spark) if p not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled ones among them, scores below its threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -18,6 +40,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+@stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that come earlier; those of which no word is left go. n_chars is counted anew."""
     cut = line_dedup.deduplicated(docs.select(*COLUMNS))
@@ -26,6 +49,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cut.where(left).select("doc_id", "text", "lang", "source", chars.alias("n_chars"))
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of every group of near-duplicates; rows that repeat it count once."""
     groups = staged(jaccard_join.classes(docs))
@@ -38,6 +62,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.join(small(several), "doc_id", "left_anti").unionByName(again).select(*COLUMNS)
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item (nor a shorter item as a whole)."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -46,6 +71,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.select(*COLUMNS).join(line_dedup.small_side(hit), "doc_id", "left_anti").select(*COLUMNS)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents in the target proportions, with epoch and n_tokens."""
     return mixing.mix(docs.select(*COLUMNS), queries.source_domain(), queries.MIX)
@@ -65,8 +91,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for place, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, work) in enumerate(STAGES, 1):
+        docs = work(spark, docs, sf_dir)
         if place < len(STAGES):
             docs = staged(docs)
     return docs
