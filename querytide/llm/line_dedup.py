@@ -32,16 +32,23 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def tokens(line: Column) -> Column:
-    """Distinct shingles of a line as 64-bit hashes; empty without words, one shingle below five words."""
-    words = F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return words, lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, SHINGLE))))
+    """Distinct shingles of a line as 64-bit hashes; empty without words, one shingle below five words.
+
+    The words are the variable of an outer lambda, so that each shingle reads them instead of splitting anew.
+    """
+    words = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+    runs = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+    shingled = lambda w: F.array_distinct(F.transform(runs(w), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
+    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), shingled))
 
 
 def _tokenised(rows: DataFrame) -> DataFrame:
-    """Rows with `items`, the tokens of their line; lines without words go."""
-    words, shingled = tokens(F.col("line"))
-    hashed = rows.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w))).where(F.size("_h") > 0)
-    return hashed.withColumn("items", shingled(F.col("_h"))).drop("line", "_h")
+    """Rows with `items`, the tokens of their line; lines without words go.
+
+    The generator makes the tokens once; a plain column would be made for each use of it.
+    """
+    kept = [c for c in rows.columns if c != "line"]
+    return rows.select(*kept, F.explode(F.filter(F.array(tokens(F.col("line"))), lambda x: F.size(x) > 0)).alias("items"))
 
 
 def _rarity(items: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def _signature(items: str) -> list[Column]:
 
 
 def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Links (a, b) between different line sets, each at least 0.8 similar."""
+    """(b_seg, a_first): for every line set that is similar to one that comes first earlier, where such a one comes first."""
     posted = prefixes.select("seg", F.explode("prefix").alias("token"))
     often = posted.groupBy("token").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo <> hi").select("token")
     often = staged(often)
@@ -81,29 +88,37 @@ def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFram
     few = small_side(wanted)
     in_docs = docs.join(few.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = _tokenised(lines(in_docs).join(few, ["doc_id", "line_no"]))
-    sets = rows.dropDuplicates(["seg"]).select("seg", F.array_sort("items").alias("items"), F.size("items").alias("n"))
+    sets = rows.dropDuplicates(["seg"]).select("seg", F.sort_array("items").alias("items"), F.size("items").alias("n"))
     sets = staged(sets.select("seg", "items", "n", *_signature("items")))
     order = prefixes.select("seg", "n", F.posexplode("prefix").alias("at", "token")).join(shared, ["seg", "token"], "left_semi").distinct()
-    side = order.join(sets.select("seg", *[f"s{k}" for k in range(4)]), "seg")
-    side = staged(side)
-    a = side.select("token", *[F.col(c).alias(f"a_{c}") for c in side.columns if c != "token"])
-    b = side.select("token", *[F.col(c).alias(f"b_{c}") for c in side.columns if c != "token"])
+    first = wanted.select("seg", F.struct("doc_id", "line_no").alias("first"))
+    side = staged(order.join(sets.select("seg", *[f"s{k}" for k in range(4)]), "seg").join(first, "seg"))
+    fields = ["seg", "n", "at", "s0", "s1", "s2", "s3", "first"]
+    named = lambda df, who: df.select("token", *[F.col(c).alias(f"{who}_{c}") for c in fields])
     both = F.col("a_n") + F.col("b_n")
     overlap = F.ceil(both * PERCENT / (100 + PERCENT))  # least overlap of two such sets
-    rest = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
+    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)])
     passes = (
-        (F.col("a_seg") < F.col("b_seg"))
+        (F.col("a_first") < F.col("b_first"))
         & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
         & (rest >= overlap)
         & (both - differing >= 2 * overlap)
     )
-    pairs = a.join(b, (a["token"] == b["token"]) & passes).select("a_seg", "b_seg").distinct()
     left = sets.select(F.col("seg").alias("a_seg"), F.col("items").alias("ia"))
     right = sets.select(F.col("seg").alias("b_seg"), F.col("items").alias("ib"))
     common = F.size(F.array_intersect("ia", "ib"))
-    full = pairs.join(left, "a_seg").join(right, "b_seg")
-    return full.where(100 * common >= PERCENT * (F.size("ia") + F.size("ib") - common)).select("a_seg", "b_seg")
+    alike = 100 * common >= PERCENT * (F.size("ia") + F.size("ib") - common)
+
+    def verified(earlier: DataFrame, later: DataFrame) -> DataFrame:
+        pairs = named(earlier, "a").join(named(later, "b"), "token").where(passes).select("a_seg", "b_seg", "a_first").distinct()
+        return staged(pairs.join(left, "a_seg").join(right, "b_seg").where(alike).select("b_seg", "a_first"))
+
+    # most lines of a group are like its first one: they need no other partner
+    leaders = side.groupBy("token").agg(F.min_by(F.struct(*fields), "first").alias("l")).select("token", "l.*")
+    led = verified(leaders, side)
+    rest_of = side.join(led.select(F.col("b_seg").alias("seg")).distinct(), "seg", "left_anti")
+    return led.unionByName(verified(side, rest_of))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -113,16 +128,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     key = lambda x: F.get(F.col("_classes"), F.pmod(x, F.lit(BUCKETS)).cast("int")).bitwiseOR(x.bitwiseAND(LOW_BITS))
     n = F.size("items")
     marked = items.withColumn("_classes", classes).select(
-        "doc_id", "line_no", n.alias("n"), F.xxhash64(F.array_sort("items")).alias("seg"),
-        F.slice(F.array_sort(F.transform("items", key)), F.lit(1), n - _least(n) + 1).alias("prefix"),
+        "doc_id", "line_no", n.alias("n"), F.xxhash64(F.sort_array("items")).alias("seg"),
+        F.slice(F.sort_array(F.transform("items", key)), F.lit(1), n - _least(n) + 1).alias("prefix"),
     )
     marked = staged(marked)
     place = F.struct("doc_id", "line_no")
     firsts = staged(marked.groupBy("seg").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")))
     links = staged(similar(docs, marked.select("seg", "n", "prefix"), firsts))
-    ends = links.unionByName(links.select(F.col("b_seg").alias("a_seg"), F.col("a_seg").alias("b_seg")))
-    other = firsts.select(F.col("seg").alias("b_seg"), "first")
-    linked = ends.join(other, "b_seg").groupBy(F.col("a_seg").alias("seg")).agg(F.min("first").alias("near"))
+    linked = links.groupBy(F.col("b_seg").alias("seg")).agg(F.min("a_first").alias("near"))
     bounds = firsts.join(linked, "seg", "left").where("rows > 1 or near is not null")
     bounds = staged(bounds.select("seg", F.least("first", F.coalesce("near", "first")).alias("bound")))
     gone = marked.select("doc_id", "line_no", "seg").join(small_side(bounds), "seg").where(place > F.col("bound"))
