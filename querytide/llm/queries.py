@@ -25,6 +25,19 @@ def op2(spark, sf_dir):
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, j, j + 4), ' ') AS t
+  FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(j) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN link ON a = other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, low.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) AS low ON low.doc_id = d.doc_id
+"""
+
+
 # 3 mixing ---------------------------------------------------------------------------------------
 
 MIX = mixing.Plan(
@@ -214,4 +227,4 @@ QUERIES = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
+    return {"op2_jaccard_join": JACCARD_SQL, "op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
