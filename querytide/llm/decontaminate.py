@@ -23,7 +23,7 @@ from . import texthash
 from .toxicity import WORD_BYTES
 
 WINDOW = 10
-BLOCK = 1_000_000
+BLOCK = 400_000
 WINDOWS = 50_000
 GAP = 64  # more than a window and its slack
 
