@@ -15,11 +15,13 @@ plain words, unrelated texts are at distance 1 from every pivot, and no pivot co
   by pair, after a count of the rare shingles that a pair shares.
 
 Every pair of points that share a region is thus compared, linked through a pivot, or ruled out by the window.
-Groups of any size come down to one comparison per point with its pivot.
+Groups of any size come down to one comparison per point with its pivot. That is enough for the classes; for the number of
+links of every row (`linked_classes`) the points around a pivot are compared with each other as well, in the same blocks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +123,7 @@ def _spread(h: np.ndarray) -> np.ndarray:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, spark) -> DataFrame:
-    """Staged (point, n, items) of the wanted points (columns doc_id of one row each, point).
+    """Staged (point, n, items, copies) of the wanted points (columns doc_id of one row each, point, copies).
 
     A filter of FILTER_BITS bits over the ids goes to all tasks; it lets all wanted rows pass and some others, which
     the join drops.
@@ -150,8 +152,8 @@ def _members(docs: DataFrame, wanted: DataFrame, spark) -> DataFrame:
                 )
 
     found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "point long, n int, items array<long>")
-    found = found.join(wanted.select("point"), "point", "left_semi")
-    return staged(found.dropDuplicates(["point"]))
+    found = found.join(wanted.select("point"), "point", "left_semi").dropDuplicates(["point"])
+    return staged(found.join(wanted.select("point", "copies"), "point"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,28 +167,35 @@ def _reaches(percent: int, na="na", nb="nb", shared="shared"):
     return 100 * F.col(shared) >= percent * (F.col(na) + F.col(nb) - F.col(shared))
 
 
-def _tiles(core: DataFrame, ring: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between the points of `core` (pivot, point, far) and of `ring` of the same pivot.
+def _tiles(core: DataFrame, other: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (u, v, n) from the points of `core` (pivot, point, far) and of `other` (also `counts`) of the same pivot.
 
     Both sides are cut into tiles of about TILE points; each tile meets each of the other side in a
-    group of its own. One link a ring point and tile is enough: the core is linked already.
+    group of its own; without `other` the core meets itself. n = 0: a link, one for each point of `other` and tile, for
+    the core is linked already. n > 0: u has links to n rows of the tile on the other side; only rows of `other` with
+    `counts` enter here. Numbers instead of pairs keep the rows of a large group few.
     """
-    sizes = core.groupBy("pivot").agg(F.count(F.lit(1)).alias("cores")).join(ring.groupBy("pivot").agg(F.count(F.lit(1)).alias("rings")), "pivot")
+    own_pairs = other is None
+    if other is None:
+        other = core.withColumn("counts", F.lit(True))
+    sizes = core.groupBy("pivot").agg(F.count(F.lit(1)).alias("cores")).join(other.groupBy("pivot").agg(F.count(F.lit(1)).alias("rings")), "pivot")
     tiles = sizes.select("pivot", F.ceil(F.col("cores") / TILE).cast("int").alias("ct"), F.ceil(F.col("rings") / TILE).cast("int").alias("rt"))
 
     def placed(points: DataFrame, own: str, other: str, is_core: bool) -> DataFrame:
         t = points.join(tiles, "pivot").withColumn("_own", F.pmod(F.xxhash64("point"), F.col(own)).cast("int"))
         t = t.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         ct, rt = ("_own", "_other") if is_core else ("_other", "_own")
-        return t.select("pivot", "point", "far", F.col(ct).alias("ct"), F.col(rt).alias("rt"), F.lit(is_core).alias("is_core"))
+        if own_pairs:
+            t = t.where(F.col(ct) <= F.col(rt))
+        return t.select("pivot", "point", "far", "counts", F.col(ct).alias("ct"), F.col(rt).alias("rt"), F.lit(is_core).alias("is_core"))
 
-    rows = placed(core, "ct", "rt", True).unionByName(placed(ring, "rt", "ct", False)).join(sets.select("point", "items"), "point")
+    both = placed(core.withColumn("counts", F.lit(True)), "ct", "rt", True).unionByName(placed(other, "rt", "ct", False))
+    rows = both.join(sets.select("point", "items", "copies"), "point")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         c, r = pdf[pdf.is_core], pdf[~pdf.is_core]
-        none = pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
         if not len(c) or not len(r):
-            return none
+            return pd.DataFrame({name: pd.Series(dtype="int64") for name in "uvn"})
         flat = np.concatenate([*c["items"], *r["items"]])
         sizes = np.array([len(x) for x in (*c["items"], *r["items"])])
         words, at = np.unique(flat, return_inverse=True)
@@ -200,10 +209,21 @@ def _tiles(core: DataFrame, ring: DataFrame, sets: DataFrame, percent: int) -> D
         union = sizes[: len(c), None] + sizes[None, len(c) :] - shared
         window = np.abs(c["far"].to_numpy()[:, None] - r["far"].to_numpy()[None, :]) <= 1 - percent / 100 + 1e-9
         links = (100 * shared >= percent * union) & window
-        hit = np.flatnonzero(links.any(0))
-        return pd.DataFrame({"u": r["point"].to_numpy()[hit], "v": c["point"].to_numpy()[links.argmax(0)[hit]]}) if len(hit) else none
-
-    return rows.groupBy("pivot", "ct", "rt").applyInPandas(compare, "u long, v long")
+        u, v = c["point"].to_numpy(), r["point"].to_numpy()
+        out = []
+        if own_pairs:
+            if c["ct"].iloc[0] == c["rt"].iloc[0]:  # a tile with itself: every pair once
+                links &= u[:, None] < v[None, :]
+        else:
+            hit = np.flatnonzero(links.any(0))
+            out.append((v[hit], u[links.argmax(0)[hit]], np.zeros(len(hit), np.int64)))
+            links &= r["counts"].to_numpy(bool)[None, :]
+        for points, n in ((u, links @ r["copies"].to_numpy()), (v, c["copies"].to_numpy() @ links)):
+            hit = np.flatnonzero(n)
+            out.append((points[hit], points[hit], n[hit]))
+        return pd.DataFrame({name: np.concatenate(x).astype(np.int64) for name, x in zip("uvn", zip(*out))})
+
+    return rows.groupBy("pivot", "ct", "rt").applyInPandas(compare, "u long, v long, n long")
 
 
 def _leaf_pairs(regions: DataFrame, leaf: int, percent: int) -> DataFrame:
@@ -224,8 +244,14 @@ def _leaf_pairs(regions: DataFrame, leaf: int, percent: int) -> DataFrame:
     return met.where(F.col("common") + F.least("wide_a", "wide_b") + rest >= enough).select(F.col("seg_a").alias("a"), F.col("seg_b").alias("b"))
 
 
-def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
-    """Links (u, v) between points, enough to connect all points that a chain of similar pairs connects."""
+def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int, count: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Links (u, v) between points, enough to connect all points that a chain of similar pairs connects.
+
+    With `count` also (point, others): rows of other points that a point is similar to, every pair counted once. A
+    point that leaves is in the core of one pivot, its home. A pair is counted in the tiles of the home that
+    came first (of two in one round, the lesser), if the other point is in its core or ring; a pair of a small
+    region is counted on its own unless tiles count it.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = neighbours(_rare_parts(docs, table, percent), ["gram", "seg"], parts).where("near")
@@ -243,12 +269,13 @@ def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) ->
     pairs = staged(_leaf_pairs(current, leaf, percent))
     # only points that still can be similar to another need their whole sets
     asked = pairs.select(F.explode(F.array("a", "b")).alias("point")).unionByName(current.where(F.col("size") > leaf).select(F.col("seg").alias("point")))
-    wanted = staged(named.groupBy("point").agg(F.min("doc_id").alias("doc_id")).join(asked.distinct(), "point", "left_semi"))
+    wanted = staged(named.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).join(asked.distinct(), "point", "left_semi"))
     sets = _members(docs, wanted, spark)
-    found = []
+    found, apart, reached, homes, counted = [], [], [], [], []
 
     def settle(pairs: DataFrame) -> None:
-        found.append(staged(_measured(pairs, sets).where(_reaches(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        apart.append(staged(_measured(pairs, sets).where(_reaches(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        found.append(apart[-1])
 
     while True:
         settle(pairs)
@@ -264,26 +291,46 @@ def links(docs: DataFrame, named: DataFrame, table: np.ndarray, percent: int) ->
         own = near.where(_reaches(percent))
         found.append(own.select(F.col("a").alias("u"), F.col("b").alias("v")))
         chosen = choice.select(F.col("b").alias("point")).distinct()
-        core = own.select(F.col("b").alias("pivot"), F.col("a").alias("point"), far)
+        # a pivot that chose another pivot is in its own core only
+        core = own.join(chosen.withColumnRenamed("point", "a"), "a", "left_anti").select(F.col("b").alias("pivot"), F.col("a").alias("point"), far)
         core = staged(core.unionByName(chosen.select(F.col("point").alias("pivot"), "point", F.lit(0.0).alias("far"))))
         # all that share a region with a core point, but are no core points of its pivot
         seen = large.join(core.withColumnRenamed("point", "seg"), "seg").select("gram", "pivot").distinct()
         around = large.select("gram", F.col("seg").alias("a"), "n").join(seen, "gram").select("a", F.col("pivot").alias("b")).where("a <> b").distinct()
-        around = around.join(core.select(F.col("point").alias("a"), F.col("pivot").alias("b")), ["a", "b"], "left_anti")
+        in_core = core.select(F.col("point").alias("a"), F.col("pivot").alias("b"))
+        around = around.join(in_core, ["a", "b"], "left_anti")
         around = around.join(near.select("a", "b"), ["a", "b"], "left_anti")
         window = max(0, 2 * percent - 100)
-        ring = _measured(around, sets).unionByName(near.where(~_reaches(percent))).where(_reaches(window))
-        ring = staged(ring.select(F.col("b").alias("pivot"), F.col("a").alias("point"), far, _reaches(percent).alias("linked")))
+        ring = _measured(around, sets).unionByName(near.join(in_core, ["a", "b"], "left_anti").select(*near.columns)).where(_reaches(window))
+        ring = ring.select(F.col("b").alias("pivot"), F.col("a").alias("point"), far, _reaches(percent).alias("linked"))
+        home = core.select("point", F.col("pivot").alias("home"))
+        ring = staged(ring.join(home, "point", "left").withColumn("counts", F.coalesce(F.col("home") > F.col("pivot"), F.lit(True))).drop("home"))
         found.append(ring.where("linked").select(F.col("point").alias("u"), F.col("pivot").alias("v")))
-        found.append(staged(_tiles(core, ring.drop("linked"), sets, percent)))
+        met = staged(_tiles(core, ring.drop("linked"), sets, percent))
+        found.append(met.where("n = 0").select("u", "v"))
+        if count:
+            counted += [met.where("n > 0").select(F.col("u").alias("point"), "n"), staged(_tiles(core, None, sets, percent).select(F.col("u").alias("point"), "n"))]
+            homes.append(home)
+            reached.append(core.select("pivot", "point").unionByName(ring.where("counts").select("pivot", "point")))
         done = core.select(F.col("point").alias("seg")).distinct()
         current = sized(large.select("gram", "seg", "n", "central").join(done, "seg", "left_anti"))
         leaf *= 4
         pairs = staged(_leaf_pairs(current, leaf, percent))
-    out = found[0] if found else spark.createDataFrame([], "u long, v long")
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+    if not count:
+        return union(found), None
+    pairs = staged(union(apart).distinct())
+    if homes:
+        home, reach = union(homes), union(reached)
+        in_tiles = [
+            pairs.join(home.withColumnRenamed("point", x), x).join(reach.select(F.col("pivot").alias("home"), F.col("point").alias(y)), ["home", y]).select("u", "v")
+            for x, y in ("uv", "vu")
+        ]
+        pairs = pairs.join(union(in_tiles), ["u", "v"], "left_anti")
+    copies = sets.select(F.col("point").alias("v"), F.col("copies").alias("n"))
+    ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    counted.append(ways.join(copies, "v").select(F.col("u").alias("point"), "n"))
+    return union(found), union(counted).groupBy("point").agg(F.sum("n").alias("others"))
 
 
 def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -295,14 +342,31 @@ def classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     nothing and keep their own id; repeated rows and equal texts link; an empty table gives no rows;
     further columns are ignored.
     """
+    return _classes(docs, percent, False)
+
+
+def linked_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row (see `classes`).
+
+    n_links is the number of other rows that link with the row itself, not only through others: equal texts and
+    repeated rows count, each of them once; rows without words have none.
+    """
+    return _classes(docs, percent, True)
+
+
+def _classes(docs: DataFrame, percent: int, count: bool) -> DataFrame:
     named, table = documents(docs)
     full = named.where("point is not null")
-    roots = components(links(docs, full, table, percent))
-    low = full.groupBy("point").agg(F.min("doc_id").alias("low"))
-    placed = low.join(roots.withColumnRenamed("node", "point"), "point", "left").select("point", "low", F.coalesce("root", "point").alias("root"))
+    connecting, others = links(docs, full, table, percent, count)
+    roots = components(connecting)
+    low = full.groupBy("point").agg(F.min("doc_id").alias("low"), (F.count(F.lit(1)) - 1).alias("n_links"))
+    if others is not None:
+        low = low.join(others, "point", "left").select("point", "low", (F.col("n_links") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    placed = low.join(roots.withColumnRenamed("node", "point"), "point", "left").select("point", "low", "n_links", F.coalesce("root", "point").alias("root"))
     placed = staged(placed)
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_point = placed.join(least, "root").select("point", "component_id")
-    return named.join(by_point, "point", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    by_point = placed.join(least, "root").select("point", "component_id", "n_links")
+    out = named.join(by_point, "point", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    return out if count else out.drop("n_links")

@@ -38,6 +38,17 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(oth
 """
 
 
+def op2_links(spark, sf_dir):
+    return jaccard_join.linked_classes(table(spark, sf_dir, "documents"))
+
+
+#: The classes again, with the links of every document counted.
+LINKS_SQL = JACCARD_SQL.rpartition("SELECT d.doc_id")[0] + """
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, low.component_id, (SELECT count(*) FROM link WHERE link.a = d.doc_id) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) AS low ON low.doc_id = d.doc_id
+"""
+
+
 # 3 mixing ---------------------------------------------------------------------------------------
 
 MIX = mixing.Plan(
@@ -215,6 +226,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 QUERIES = {
     "op1_token_counts": op1,
     "op2_jaccard_join": op2,
+    "op2_jaccard_links": op2_links,
     "op3_mixing": op3,
     "op4_toxicity": op4,
     "op5_chat_formatting": op5,
@@ -227,4 +239,4 @@ QUERIES = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_jaccard_join": JACCARD_SQL, "op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
+    return {"op2_jaccard_join": JACCARD_SQL, "op2_jaccard_links": LINKS_SQL, "op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}

@@ -78,6 +78,31 @@ def test_classes_of_hard_rows(spark):
     assert jaccard_join.classes(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def brute_links(rows):
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    return collections.Counter((d, len(s), sum(near(s, t) for j, (_, t) in enumerate(sets) if i != j)) for i, (d, s) in enumerate(sets))
+
+
+def chain(n):
+    base = sentence(5, 100).split()
+    return [(k, " ".join(base[: 100 - k] + [f"x{k}_{i}" for i in range(k)]), "en", "s", 0) for k in range(0, n, 2)]
+
+
+@pytest.mark.parametrize(
+    "rows, leaf, tile",
+    [(varied(1), 64, 256), (varied(6, groups=2, size=100) + varied(1, groups=1), 8, 16), (chain(60) * 2, 2, 4), (hard_texts(), 2, 4)],
+    ids=["groups", "large", "chain", "hard"],
+)
+def test_links_equal_brute_force(spark, monkeypatch, rows, leaf, tile):
+    """Every link of every row, whether it was found by leaves, around one pivot or between two."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    got = jaccard_join.linked_classes(documents(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == brute_links(rows)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
