@@ -23,6 +23,12 @@ PREFIXES = (4, 5, 6)
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False  # after lower-casing: 0-9, a-z, non-ASCII
 THRESHOLD = 0.3
+ROUNDS = 25
+BATCH = 1000
+RATE = 0.05
+EPS = 1e-4
+L2_FACTORS = 1e-4
+CHANCE = 5.0  # weights shrink by as many standard deviations of their gradient as chance alone gives
 
 
 def term_rows(c: texthash.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -65,47 +71,57 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, keep: int = 4096, factors: int = 8, rounds: int = 200, seed: int = 5) -> Model:
-    """Adam on the log loss over all rows; `row`, `term` are the distinct terms of each of the rows of `y`.
+def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int = 8, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """Adam on the log loss in batches of BATCH rows; `row` (rising), `term` are the distinct terms of each of the rows of `y`.
 
-    Only the `keep` terms whose frequency differs most between the labels (chi-square, in 4 rows at least)
-    get weights. Without rows of both labels the model is a constant.
+    Every term of 4 rows at least gets a weight and factors, whatever it says by itself: a term that is neutral alone
+    may count next to another. Weights shrink towards zero together with the fit (CHANCE), factors by their square. Without rows of both labels the model is a constant.
     """
     n, hits = len(y), float(y.sum())
     bias = float(np.log((hits + 0.05) / (n - hits + 1.0)))
     if not n or hits in (0.0, float(n)):
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
-    all_n = np.bincount(term, minlength=TERMS).astype(float)
-    hit_n = np.bincount(term, y[row], TERMS)
-    expected = all_n * hits / n
-    chi = np.where(all_n >= 4, (hit_n - expected) ** 2 / np.maximum(expected * (1 - hits / n) * (1 - all_n / (n + 1)), 1e-9), 0)
-    terms = np.sort(np.argsort(-chi, kind="stable")[:keep])
-    terms = terms[chi[terms] > 28.0]  # beyond chance for the best of a million terms
+    terms = np.flatnonzero(np.bincount(term, minlength=TERMS) >= 4)
     place = np.full(TERMS, -1)
     place[terms] = np.arange(len(terms))
     known = place[term] >= 0
     row, at = row[known], place[term[known]]
+    order = np.argsort(row, kind="stable")
+    at = at[order]
+    bounds = np.searchsorted(row[order], np.arange(n + 1))
     size = len(terms)
     rng = np.random.default_rng(seed)
-    p = {"b": np.array([bias]), "w": np.zeros(size), "v": rng.normal(0, 0.01, (size, factors))}
-    m, s = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for t in range(1, rounds + 1):
-        v = p["v"][at]
-        sums = np.stack([np.bincount(row, v[:, f], n) for f in range(factors)], 1)
-        squares = np.bincount(row, (v * v).sum(1), n)
-        margin = p["b"][0] + np.bincount(row, p["w"][at], n) + 0.5 * ((sums**2).sum(1) - squares)
-        error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y) / n
-        step = error[row][:, None] * (sums[row] - v)
-        g = {
-            "b": np.array([error.sum()]),
-            "w": np.bincount(at, error[row], size) + 1e-5 * p["w"],
-            "v": np.stack([np.bincount(at, step[:, f], size) for f in range(factors)], 1) + 1e-3 * p["v"],
-        }
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
-    return Model(float(p["b"][0]), terms, p["w"], p["v"])
+    p = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.01, (size, factors))], 1)  # weight, factors
+    m, s = np.zeros_like(p), np.zeros_like(p)
+    b, mb, sb, t = bias, 0.0, 0.0, 0
+    share = hits / n
+    chance = CHANCE * np.sqrt(np.bincount(at, minlength=size) * share * (1 - share)) / n
+    decay = np.array([0.0] + [L2_FACTORS] * factors)
+    for _ in range(rounds):
+        shuffled = rng.permutation(n)
+        for part in np.array_split(shuffled, -(-n // BATCH)):
+            t += 1
+            counts = bounds[part + 1] - bounds[part]
+            here = np.repeat(np.arange(len(part)), counts)
+            flat = at[np.arange(len(here)) + np.repeat(bounds[part] - (np.cumsum(counts) - counts), counts)]
+            own = p[flat]
+            over = lambda a, k: np.bincount(here, a[:, k], len(part))
+            sums = np.stack([over(own, k) for k in range(1, factors + 1)], 1)
+            squares = np.bincount(here, (own[:, 1:] ** 2).sum(1), len(part))
+            margin = b + over(own, 0) + 0.5 * ((sums**2).sum(1) - squares)
+            error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y[part]) / len(part)
+            step = np.concatenate([np.ones((len(flat), 1)), sums[here] - own[:, 1:]], 1) * error[here][:, None]
+            back = np.stack([np.bincount(flat, step[:, k], size) for k in range(factors + 1)], 1)
+            g = back + decay * p
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            rate = RATE / (np.sqrt(s / (1 - 0.99**t)) + EPS)
+            p -= rate * (m / (1 - 0.9**t))
+            p[:, 0] -= np.clip(p[:, 0], -rate[:, 0] * chance, rate[:, 0] * chance)
+            gb = float(error.sum())
+            mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
+            b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + EPS)
+    return Model(b, terms, p[:, 0], p[:, 1:].astype(np.float32))
 
 
 def fold(id_column: str, of: int, which: int) -> Column:
@@ -149,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 16
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """The rows of `docs`, all columns kept, with the score of the whole text (null: empty)."""
-    send = docs.sparkSession.sparkContext.broadcast(model)  # at most 4,096 terms
+    send = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
     fields = [f for f in docs.schema if f.name != out]
     names = [f.name for f in fields]
 

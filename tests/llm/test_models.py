@@ -55,6 +55,20 @@ def test_pairs_of_terms_are_learned():
     assert x([5, 6]) > 0 > max(x([5]), x([6]), x([])) and y.size == 2000
 
 
+def test_pairs_of_neutral_terms_are_learned():
+    """Exclusive or: neither term says anything by itself."""
+    a, b = (x.ravel() for x in np.meshgrid(np.repeat([0, 1], 40), np.repeat([0, 1], 40)))
+    row = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)])
+    term = np.repeat([5, 6], len(row) // 2)
+    y = (a != b).astype(float)
+    assert y[a == 1].mean() == y[b == 1].mean() == y.mean() == 0.5
+    order = np.argsort(row, kind="stable")
+    m = toxicity.fit(row[order], term[order], y)
+    assert m.terms.tolist() == [5, 6]
+    x = lambda *t: m.bias + m.weights[list(t)].sum() + (float(m.factors[0] @ m.factors[1]) if len(t) == 2 else 0)
+    assert min(x(0), x(1)) > 0 > max(m.bias, x(0, 1))
+
+
 def test_gradients_of_the_attention_model():
     rng = np.random.default_rng(1)
     row = np.repeat(np.arange(30), 3)
