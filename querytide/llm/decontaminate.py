@@ -173,17 +173,19 @@ def matches(postings: DataFrame, items: DataFrame, slack: int = 0) -> DataFrame:
 def contamination(postings: DataFrame, exact: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document of the index.
 
-    Word counts and hits of rows with the same doc_id are those of the longest row and of all their matches.
+    Word counts and hits of rows with the same doc_id are those of the longest row and of all their matches; rows
+    without doc_id are one such document.
     """
     all_docs = postings.select(F.explode(F.arrays_zip("ids", "counts")).alias("d")).groupBy(F.col("d.ids").alias("doc_id")).agg(F.max("d.counts").cast("long").alias("n_words"))
     hit = F.explode(F.sequence(F.col("first_word"), F.col("first_word") + F.col("n_words") - 1))
     places = exact.select("doc_id", hit.alias("at")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
     names = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
     items = exact.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(names.alias("names"))
-    found = places.join(items, "doc_id")
+    both = places.join(items.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = both.select("_id", "n_hit", "names")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     listed = F.coalesce("names", F.array().cast("array<string>"))
-    return all_docs.join(found, "doc_id", "left").select(
+    return all_docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id", "n_words", zero("n_hit").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (zero("n_hit") > 0).alias("contaminated"),
     )

@@ -50,6 +50,14 @@ def test_blocks_and_groups_of_any_size_agree(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in got) == brute(rows, items)
 
 
+def test_hits_of_a_row_without_id(spark):
+    rows = [(None, "so " + sentence(1, 12), "", "", 0), (1, sentence(2, 12), "", "", 0)]
+    items = [(5, sentence(1, 12), "")]
+    got = decontaminate.decontaminate(documents(spark, rows), spark.createDataFrame(items, ITEMS)).collect()
+    assert {r.doc_id: (r.n_hit, r.contaminated) for r in got} == {None: (12, True), 1: (0, False)}
+    assert collections.Counter(tuple(r) for r in got) == brute(rows, items)
+
+
 def test_proximity(spark):
     docs = documents(spark, [(1, "a b c d e f g", "", "", 0), (2, "a x b c d", "", "", 0), (3, "d c b a", "", "", 0)])
     items = spark.createDataFrame([(1, "b c d", ""), (2, "a b c", "")], ITEMS)
