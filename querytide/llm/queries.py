@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard_join, line_dedup, mixing, quality, suffix_dedup, token_counts, topk, toxicity
+from . import (
+    chat, decontaminate, hard_negatives, jaccard_join, line_dedup, mixing, quality, simhash, suffix_dedup, token_counts, topk, toxicity, vector_codes,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,6 +225,70 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+# 11 vector code compression -----------------------------------------------------------------------
+
+
+def op11(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    out = vector_codes.label_errors(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit("" if books is None else vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def codes_sql() -> str:
+    """Two rounds of assignment and update and a last assignment, spelled out."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""
+near{k} AS (SELECT vec_id, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (
+  SELECT vec_id, part, entry, list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS far FROM p JOIN book{k} USING (part)) GROUP BY ALL)""")
+        if k < 2:
+            steps.append(f"""
+mean{k} AS (SELECT part, entry, list(m ORDER BY i) AS y FROM (SELECT part, entry, i, floor(sum(x[i]) / count(*)) AS m
+  FROM near{k} JOIN p USING (vec_id, part), unnest(range(1, len(x) + 1)) AS r(i) GROUP BY ALL) GROUP BY ALL),
+book{k + 1} AS (SELECT part, entry, coalesce(m.y, b.y) AS y FROM book{k} b LEFT JOIN mean{k} m USING (part, entry))""")
+    return f"""
+WITH e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, list_slice(v, CAST(part * len(v) / 16 AS BIGINT) + 1, CAST((part + 1) * len(v) / 16 AS BIGINT)) AS x FROM e, range(16) AS r(part)),
+book0 AS (SELECT part, entry, x AS y FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e QUALIFY entry < 64) USING (vec_id)),{','.join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM near2 GROUP BY vec_id),
+s AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN e USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(CAST(CAST(y[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) FROM book2, unnest(range(1, len(y) + 1)) AS r(i)) AS codebooks_sha256
+FROM c JOIN e USING (vec_id) JOIN s ON s.label IS NOT DISTINCT FROM e.label
+"""
+
+
+# 12 hard-negative mining --------------------------------------------------------------------------
+
+
+def op12(spark, sf_dir):
+    own = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (own + 1) % 10).otherwise(own)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+NEGATIVES_SQL = """
+WITH e AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+  FROM e a JOIN e o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM s JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+# 13 SimHash near-duplicates -----------------------------------------------------------------------
+
+
+def op13(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1,
     "op2_jaccard_join": op2,
@@ -235,8 +301,14 @@ QUERIES = {
     "op8_line_dedup": op8,
     "op9_decontamination": op9,
     "op10_top_k": op10,
+    "op11_vector_codes": op11,
+    "op12_hard_negatives": op12,
+    "op13_simhash": op13,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_jaccard_join": JACCARD_SQL, "op2_jaccard_links": LINKS_SQL, "op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL}
+    return {
+        "op2_jaccard_join": JACCARD_SQL, "op2_jaccard_links": LINKS_SQL, "op3_mixing": mixing_sql(), "op5_chat_formatting": chat_sql(), "op8_line_dedup": LINES_SQL,
+        "op9_decontamination": DECONTAMINATION_SQL, "op10_top_k": TOPK_SQL, "op11_vector_codes": codes_sql(), "op12_hard_negatives": NEGATIVES_SQL,
+    }
