@@ -4,13 +4,13 @@ A fingerprint of 64 bits becomes SEGMENTS counts, the bits set in each stretch o
 count by one, so the Manhattan distance of two count vectors is at most the Hamming distance of the fingerprints: what lies apart in the
 grid need not be compared. Pairs within the radius (4) are found by a range join on that grid:
 
-* of the two halves of the dimensions one has a distance of at most 2, for both together have at most 4;
-* in that half the two points meet in the cell of a point that lies at most one step from each. So every point goes to
-  its own cell and to those one step away, about 25 for each half, and pairs meet by equal cells.
+* of the three thirds of the dimensions some two have a distance of at most 2 together, for all three have at most 4;
+* in these two the points meet in the cell of a point that lies at most one step from each. So every point goes to
+  its own cell and to those one step away, about 33 for each choice of two thirds, and pairs meet by equal cells.
 
-A cell of two points is a pair as it stands; one of up to CELL points is joined with itself; of larger ones the points are
-placed again by the two quarters of the other half, where the same rule holds, and what is still large is compared in
-tiles, each of which hands on a spanning forest and not its pairs. Every candidate is verified on the bits
+A cell of two points is a pair as it stands; those of up to CELL points are compared in the task that holds them; the points of larger
+ones are placed again by the two halves of the open third, where the same rule holds, and what is still large is compared in
+tiles. Cells and tiles hand on a spanning forest and not their pairs. Every candidate is verified on the bits
 themselves. Equal fingerprints are one point, whatever the number of their documents.
 """
 
@@ -30,7 +30,7 @@ from .components import components
 
 SHINGLE = 4
 SEED = 42
-RADIUS = 4  # the halving argument above rests on it
+RADIUS = 4  # the argument above rests on it
 PIECE = 250_000  # bytes of a text taken at a time
 SEGMENTS = 32
 CELL = 128
@@ -93,7 +93,7 @@ def counts(points: np.ndarray) -> np.ndarray:
     return np.bitwise_count((points.view(np.uint64)[:, None] >> shifts) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
-def cells(count: np.ndarray, dims: range) -> tuple[np.ndarray, np.ndarray]:
+def cells(count: np.ndarray, dims: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) for the own cell of every row in these dimensions and all cells one step away."""
     top = 64 // SEGMENTS
     own = count[:, dims]
@@ -117,45 +117,53 @@ def _key(*numbers: np.ndarray | int) -> np.ndarray:
     return key.view(np.int64)
 
 
-HALF = SEGMENTS // 2
+THIRDS = [list(range(SEGMENTS * k // 3, SEGMENTS * (k + 1) // 3)) for k in range(3)]
+
+
+def _placed(cell: np.ndarray, rest: int, points: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), rest, np.int32)), pa.array(points)], names=["cell", "rest", "point"])
 
 
 def in_grid(points: DataFrame) -> DataFrame:
-    """cell, other (the half that the cell says nothing about), point."""
+    """cell, rest (the third that the cell says nothing about), point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(0).to_numpy()
             count = counts(p)
-            for half in (0, 1):
-                row, cell = cells(count, range(half * HALF, (half + 1) * HALF))
-                yield pa.RecordBatch.from_arrays([pa.array(_key(cell, half)), pa.array(np.full(len(row), 1 - half, np.int32)), pa.array(p[row])], names=["cell", "other", "point"])
+            for rest in range(3):
+                row, cell = cells(count, sum(THIRDS[:rest] + THIRDS[rest + 1 :], []))
+                yield _placed(_key(cell, rest), rest, p[row])
 
-    return points.select("point").mapInArrow(run, "cell long, other int, point long")
+    return points.select("point").mapInArrow(run, "cell long, rest int, point long")
 
 
 def finer(placed: DataFrame) -> DataFrame:
-    """The same points in the cells of both quarters of the half that their cell left open."""
+    """The same points in the cells of both halves of the third that their cell left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, other, p = (batch.column(c).to_numpy() for c in ("cell", "other", "point"))
+            cell, open_third, p = (batch.column(c).to_numpy() for c in ("cell", "rest", "point"))
             count = counts(p)
-            for half in (0, 1):
-                at = np.flatnonzero(other == half)
-                for quarter in (0, 1):
-                    begin = half * HALF + quarter * HALF // 2
-                    row, inner = cells(count[at], range(begin, begin + HALF // 2))
-                    row = at[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(_key(cell[row], inner, quarter)), pa.array(other[row]), pa.array(p[row])], names=["cell", "other", "point"])
+            for rest in range(3):
+                at = np.flatnonzero(open_third == rest)
+                middle = len(THIRDS[rest]) // 2
+                for half, dims in enumerate((THIRDS[rest][:middle], THIRDS[rest][middle:])):
+                    row, inner = cells(count[at], dims)
+                    yield _placed(_key(cell[at[row]], inner, half), rest, p[at[row]])
 
-    return placed.select("cell", "other", "point").mapInArrow(run, "cell long, other int, point long")
+    return placed.select("cell", "rest", "point").mapInArrow(run, "cell long, rest int, point long")
 
 
 def close(a: str = "u", b: str = "v"):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; numpy would count those of the absolute value of a signed number."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(points: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what chains of close points connect: a breadth-first tree of each class."""
     left, out = np.unique(points), []
@@ -164,13 +172,54 @@ def forest(points: np.ndarray) -> list[tuple[int, int]]:
         for p in found:
             if not len(left):
                 break
-            near = np.bitwise_count(left ^ p) <= RADIUS
+            near = apart(left, p) <= RADIUS
             out += [(int(p), int(q)) for q in left[near]]
             found.extend(left[near])
             left = left[~near]
     return out
 
 
+FEW = 8  # points of a cell whose pairs are looked at all at once
+
+
+def run_links(cell: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the runs of equal cells: all of a run of at most FEW points, a forest of a longer one."""
+    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    sizes = np.diff(np.append(starts, len(cell)))
+    size = np.repeat(sizes, sizes)
+    u, v = [], []
+    for k in range(1, FEW):
+        at = np.flatnonzero((cell[k:] == cell[:-k]) & (size[k:] <= FEW))
+        at = at[apart(point[at], point[at + k]) <= RADIUS]
+        u.append(point[at])
+        v.append(point[at + k])
+    for a, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+        tree = np.array(forest(point[a : a + n]), np.int64).reshape(-1, 2)
+        u.append(tree[:, 0])
+        v.append(tree[:, 1])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _small_cells(placed: DataFrame) -> DataFrame:
+    """Links (u, v) within cells of at most CELL points, which a task reads one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, point = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            cell = np.concatenate((cell, batch.column(0).to_numpy()))
+            point = np.concatenate((point, batch.column(1).to_numpy()))
+            if not len(cell):
+                continue
+            last = int(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[-1])  # the last cell may go on
+            u, v = run_links(cell[:last], point[:last])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            cell, point = cell[last:], point[last:]
+        u, v = run_links(cell, point)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return placed.select("cell", "point").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+
+
 def _tiles(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (u, v) within large cells, from tiles of about TILE points that meet two by two."""
     n = F.ceil(F.col("n") / TILE).cast("int")
@@ -192,9 +241,7 @@ def links(points: DataFrame) -> DataFrame:
     while True:
         met = staged(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("u"), F.max("point").alias("v")).where("n > 1"))
         out.append(met.where("n = 2").where(close()).select("u", "v"))
-        some = placed.join(met.where(f"n > 2 and n <= {CELL}").select("cell"), "cell", "left_semi")
-        pairs = some.select("cell", F.col("point").alias("u")).join(some.select("cell", F.col("point").alias("v")), "cell")
-        out.append(pairs.where(F.col("u") < F.col("v")).where(close()).select("u", "v"))
+        out.append(_small_cells(placed.join(met.where(f"n > 2 and n <= {CELL}").select("cell"), "cell", "left_semi")))
         large = staged(met.where(f"n > {CELL}").select("cell", "n"))
         if large.isEmpty():
             break

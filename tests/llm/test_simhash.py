@@ -75,7 +75,8 @@ def test_counts_bound_the_distance():
     rng = np.random.default_rng(0)
     a = rng.integers(-(2**63), 2**63 - 1, 200)
     b = a ^ (np.int64(1) << rng.integers(0, 63, 200)) ^ (np.int64(1) << rng.integers(0, 63, 200))
-    assert (np.abs(simhash.counts(a) - simhash.counts(b)).sum(1) <= np.bitwise_count(a ^ b)).all()
+    assert (np.abs(simhash.counts(a) - simhash.counts(b)).sum(1) <= simhash.apart(a, b)).all()
+    assert simhash.apart(np.array([-1]), np.array([0])).tolist() == [64]
 
 
 def ball(seed, n, flips, centres):
@@ -115,6 +116,29 @@ def test_links_of_dense_groups_at_every_level(spark, monkeypatch):
         assert classes_of(points, found) == classes_of(points, every)
 
 
+def test_links_of_runs(monkeypatch):
+    rng = np.random.default_rng(7)
+    cell = np.sort(rng.integers(0, 60, 400))
+    point = np.array([int(p) for p in rng.choice(ball(5, 900, 4, 2), 400, replace=False)], np.int64)
+    every = [(int(point[i]), int(point[j])) for i in range(400) for j in range(i) if cell[i] == cell[j] and int(point[i] ^ point[j]) & (2**64 - 1) in bits_of(4)]
+    for few in (2, 8, 400):
+        monkeypatch.setattr(simhash, "FEW", few)
+        found = [(int(u), int(v)) for u, v in zip(*simhash.run_links(cell, point))]
+        assert set(map(frozenset, found)) <= set(map(frozenset, every))
+        for c in range(60):
+            own = point[cell == c].tolist()
+            inside = lambda links: [x for x in links if x[0] in own and x[1] in own]
+            assert classes_of(own, inside(found)) == classes_of(own, inside(every))
+
+
+class bits_of:
+    def __init__(self, most):
+        self.most = most
+
+    def __contains__(self, x):
+        return x.bit_count() <= self.most
+
+
 def test_unlike_points_of_one_cell(spark, monkeypatch):
     """Points whose first halves agree and whose others differ: the finer grid parts them without a pair."""
     monkeypatch.setattr(simhash, "CELL", 16)
@@ -123,7 +147,7 @@ def test_unlike_points_of_one_cell(spark, monkeypatch):
     df = spark.createDataFrame([(p,) for p in points], "point long")
     found = [tuple(r) for r in simhash.links(df).collect()]
     a = np.array(points)
-    every = [(points[i], points[j]) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= 4)]
+    every = [(points[i], points[j]) for i in range(len(a)) for j in np.flatnonzero(simhash.apart(a[:i], a[i]) <= 4)]
     assert classes_of(points, found) == classes_of(points, every)
 
 
