@@ -8,7 +8,8 @@ grid need not be compared. Pairs within the radius (4) are found by a range join
 * in these two the points meet in the cell of a point that lies at most one step from each. So every point goes to
   its own cell and to those one step away, about 33 for each choice of two thirds, and pairs meet by equal cells.
 
-A cell of two points is a pair as it stands; those of up to CELL points are compared in the task that holds them; the points of larger
+Cells are counted first, with sums before the shuffle; a bitmap of those that hold two points or more tells the tasks what to send for
+comparison. Cells of up to CELL points are compared in the task that holds them; the points of larger
 ones are placed again by the two halves of the open third, where the same rule holds, and what is still large is compared in
 tiles. Cells and tiles hand on a spanning forest and not their pairs. Every candidate is verified on the bits
 themselves. Equal fingerprints are one point, whatever the number of their documents.
@@ -35,6 +36,7 @@ PIECE = 250_000  # bytes of a text taken at a time
 SEGMENTS = 32
 CELL = 128
 TILE = 1024
+FILTER_BITS = 1 << 26
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -120,12 +122,34 @@ def _key(*numbers: np.ndarray | int) -> np.ndarray:
 THIRDS = [list(range(SEGMENTS * k // 3, SEGMENTS * (k + 1) // 3)) for k in range(3)]
 
 
-def _placed(cell: np.ndarray, rest: int, points: np.ndarray) -> pa.RecordBatch:
+def _spread(cell: np.ndarray) -> np.ndarray:
+    return (texthash.mix(cell.view(np.uint64)) % texthash.U(FILTER_BITS)).astype(np.int64)
+
+
+def bitmap(met: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set for every cell of `met`; some others share a bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_spread(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 3).astype(np.int32)), pa.array((1 << (at & 7)).astype(np.int32))], names=["byte", "v"])
+
+    bits = met.select("cell").mapInArrow(run, "byte int, v int").groupBy("byte").agg(F.bit_or("v").cast("int").alias("v")).toArrow()  # at most FILTER_BITS / 8 rows
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
+    return out
+
+
+def _placed(cell: np.ndarray, rest: int, points: np.ndarray, only) -> pa.RecordBatch:
+    if only is not None:
+        at = _spread(cell)
+        hit = (only.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        cell, points = cell[hit], points[hit]
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), rest, np.int32)), pa.array(points)], names=["cell", "rest", "point"])
 
 
-def in_grid(points: DataFrame) -> DataFrame:
-    """cell, rest (the third that the cell says nothing about), point."""
+def in_grid(points: DataFrame, only=None) -> DataFrame:
+    """cell, rest (the third that the cell says nothing about), point; only cells in the bitmap `only` (a broadcast), if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +157,12 @@ def in_grid(points: DataFrame) -> DataFrame:
             count = counts(p)
             for rest in range(3):
                 row, cell = cells(count, sum(THIRDS[:rest] + THIRDS[rest + 1 :], []))
-                yield _placed(_key(cell, rest), rest, p[row])
+                yield _placed(_key(cell, rest), rest, p[row], only)
 
     return points.select("point").mapInArrow(run, "cell long, rest int, point long")
 
 
-def finer(placed: DataFrame) -> DataFrame:
+def finer(placed: DataFrame, only=None) -> DataFrame:
     """The same points in the cells of both halves of the third that their cell left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +174,7 @@ def finer(placed: DataFrame) -> DataFrame:
                 middle = len(THIRDS[rest]) // 2
                 for half, dims in enumerate((THIRDS[rest][:middle], THIRDS[rest][middle:])):
                     row, inner = cells(count[at], dims)
-                    yield _placed(_key(cell[at[row]], inner, half), rest, p[at[row]])
+                    yield _placed(_key(cell[at[row]], inner, half), rest, p[at[row]], only)
 
     return placed.select("cell", "rest", "point").mapInArrow(run, "cell long, rest int, point long")
 
@@ -236,19 +260,21 @@ def _tiles(placed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def links(points: DataFrame) -> DataFrame:
     """Links (u, v) between distinct points, enough to connect all that chains of close points connect."""
-    out = []
-    placed, last = in_grid(points), False
+    spark, out = points.sparkSession, []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source, place, last = points.select("point").repartition(parts), in_grid, False  # a short row here makes about a hundred
     while True:
-        met = staged(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("u"), F.max("point").alias("v")).where("n > 1"))
-        out.append(met.where("n = 2").where(close()).select("u", "v"))
-        out.append(_small_cells(placed.join(met.where(f"n > 2 and n <= {CELL}").select("cell"), "cell", "left_semi")))
-        large = staged(met.where(f"n > {CELL}").select("cell", "n"))
+        met = staged(place(source).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        placed = place(source, spark.sparkContext.broadcast(bitmap(met)))
+        large = staged(met.where(f"n > {CELL}"))
+        out.append(_small_cells(placed.join(large, "cell", "left_anti")))
         if large.isEmpty():
             break
+        rest = staged(placed.join(large.select("cell"), "cell", "left_semi"))
         if last:
-            out.append(_tiles(placed, large))
+            out.append(_tiles(rest, large))
             break
-        placed, last = finer(staged(placed.join(large.select("cell"), "cell", "left_semi"))), True
+        source, place, last = rest, finer, True
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
