@@ -41,15 +41,18 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None
     return ranked if rank else ranked.drop(out)
 
 
-def attached(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row with the one row its key has in `stats`.
+def attached(df: DataFrame, stats: DataFrame, keys: list[str], *columns) -> DataFrame:
+    """Every row with the one row its key has in `stats` (with the keys and `columns` of it, if named).
 
-    The stats are staged, so they are computed once however many are chained; up to BROADCAST_ROWS of them
+    The stats are staged (those that are already stay as they are, and are counted once), so they are computed once however many are chained; up to BROADCAST_ROWS of them
     go to every task and the rows of `df` stay where they are. More are joined by a shuffle that adaptive
     execution splits.
     """
-    small = staged(stats)
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys)
+    small = stats if hasattr(stats, "_stage_path") else staged(stats)
+    if not hasattr(small, "_stage_rows"):
+        small._stage_rows = small.count()
+    side = small.select(*keys, *columns) if columns else small
+    return df.join(F.broadcast(side) if small._stage_rows <= BROADCAST_ROWS else side, keys)
 
 
 def running_total(df: DataFrame, keys: list[str], order: list, weight: Column, out: str) -> DataFrame:

@@ -8,7 +8,7 @@ ordinary input tables.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stage import staged
-from ..operators import brand, clusters, demand, insight, journeys, opportunity, season
+from ..operators import brand, classify, clusters, demand, insight, journeys, opportunity, season
 
 Facts = dict[str, DataFrame]
 
@@ -137,3 +137,29 @@ def brand_report(categories: DataFrame, lists: DataFrame, volumes: DataFrame, na
         "watch": brand.watch_span(rivals, watch), "priority": brand.presence_priority(judged), "deep_candidates": brand.deep_candidates(judged),
         "unmeasured": brand.unmeasured_list(judged, deep),
     }
+
+
+def classification_report(index: DataFrame, nodes: DataFrame, seeds: DataFrame, terms: DataFrame, dictionary: DataFrame) -> Facts:
+    """Candidates and checks for many runs at once, each with its own market, seed and names (see operators.classify).
+
+    index: classify.source_index; nodes: run_id, query of the seed's own graph. The related queries of a run are those of a source intent:*.
+    """
+    spec = staged(classify.run_spec(seeds, terms))
+    parsed = staged(classify.parse(index, spec, terms, dictionary))
+    brands = staged(classify.brand_candidates(parsed))
+    synonyms = staged(classify.synonym_candidates(parsed, brands, spec))
+    peers = staged(classify.sibling_candidates(parsed, nodes, brands, spec))
+    pool = staged(classify.name_pool(parsed, brands, synonyms, peers, terms, spec))
+    own = parsed.where((F.col("item_at") > 0) & F.exists("srcs", lambda s: s.startswith("intent:")))
+    modes = classify.composition(own, spec)
+    items = terms.where("role = 'item'").select("run_id", "name")
+    shares = classify.head_token_share(index, items)
+    gate = classify.broad_gate(shares, spec)
+    return {
+        "parsed": parsed, "targets": classify.target_queries(parsed, spec), "brands": brands, "synonyms": synonyms,
+        "expressions": classify.intent_expressions(parsed), "products": classify.product_candidates(parsed, brands), "peers": peers,
+        "closeness": classify.closeness(peers, parsed, spec), "topics": classify.topic_candidates(parsed, brands),
+        "spellings": classify.peer_spellings(peers.select("run_id", "name").unionByName(brands.select("run_id", "name")).distinct(), pool),
+        "latin": classify.latin_pool(pool, spec), "modes": modes, "gate": gate, "fit": classify.seed_fit(own, gate, modes, spec),
+        "lines": classify.product_lines(parsed, terms, "cluster"), "bundles": classify.intent_parts(parsed, terms, spec),
+    }

@@ -135,10 +135,11 @@ def test_names_are_found_where_they_first_count(spark):
 
     texts = ["red ring redbrand#7", "predate redbrand#7", "redbrand#7 brand#7", "zzbrand#7 x", "red date", "ring brand#7"]
     q = spark.createDataFrame([("a", x) for x in texts], "run_id string, query string")
-    got = {r.query: r.at for r in classify.bound_match(q, ["brand#7"], "at").collect()}
+    names = spark.createDataFrame([("a", "brand#7"), ("b", "red")], "run_id string, name string")
+    got = {r.query: r.at for r in classify.bound_match(q, names, "at").collect()}
     assert got == {"red ring redbrand#7": 13, "predate redbrand#7": 12, "redbrand#7 brand#7": 4, "zzbrand#7 x": 0, "red date": 0, "ring brand#7": 6}
     both = spark.createDataFrame([("a", "redbrand#7 brand#7")], "run_id string, query string")
-    assert classify.bound_match(both, ["brand#7"], "at").first().at == 12  # red is no word of its own there
+    assert classify.bound_match(both, names, "at").first().at == 12  # red is no word of its own there
 
 
 def test_watched_brands_are_never_cut(spark):
