@@ -8,16 +8,39 @@ from .family_records import nodes, with_pos
 from .sqlkit import R, check, piece
 from querytide.operators import records
 
-REL, EXC, SEED, FLOOR = "(ring|rod|GEAR|bolt)", "(cold|brand#1 )", "ring", 600
-THEMES = [("blue", "blue"), ("warm", "hot|red"), ("red", "RED"), ("size", "small|large"), ("nine", "brand#9 ")]
+# Every run has its own seed, filters, floor, skipped names and themes: run, seed, rel, exc, min_total, skip.
+SETUP = [
+    ("automobile", "ring", "(ring|rod|GEAR|bolt)", "(cold|brand#1 )", 600.0, None),
+    ("building", "plate", "(plate|gizmo|widget|anvil)", None, 300.0, ["Brand#2 redplate", "plate"]),
+    ("furniture", "gear", None, "(OLD|brand#25 )", 600.0, []),
+    ("household", "Brand#8 smallring", "ring|gear|ROD", "hot", 600.0, None),
+    ("machinery", "bolt", ".", None, None, None),
+]
+THEMES = {
+    "automobile": [("blue", "blue"), ("warm", "hot|red"), ("red", "RED"), ("size", "small|large"), ("nine", "brand#9 ")],
+    "building": [("size", "small|large"), ("new", " NEW "), ("two", "brand#2")],
+    "furniture": [],
+    "household": [("blue", "blue"), ("red", "RED"), ("cold", "cold")],
+    "machinery": [("warm", "hot|red"), ("rest", ".")],
+}
+
+
+def spec(dom):
+    setup = dom.spark.createDataFrame(SETUP, "run_id string, seed string, rel string, exc string, min_total double, skip array<string>")
+    return dom.stage("season spec", lambda: op.season_spec(setup, themes_of(dom)))
+
+
+def themes_of(dom):
+    rows = [(run, k, name, p) for run, rules in THEMES.items() for k, (name, p) in enumerate(rules)]
+    return dom.spark.createDataFrame(rows, "run_id string, tord int, theme string, pattern string")
 
 
 def filtered(dom):
-    return op.relevance_filter(fd.series(dom), REL, EXC, FLOOR)
+    return op.relevance_filter(fd.series(dom), spec(dom))
 
 
 def rows(dom):
-    return dom.stage("season rows", lambda: op.classified(filtered(dom), THEMES))
+    return dom.stage("season rows", lambda: op.classified(filtered(dom), spec(dom)))
 
 
 def indexed(dom):
@@ -29,7 +52,7 @@ def themes(dom):
 
 
 def monthly(dom):
-    return dom.stage("season monthly", lambda: op.monthly_keywords(indexed(dom), [SEED]))
+    return dom.stage("season monthly", lambda: op.monthly_keywords(indexed(dom), spec(dom)))
 
 
 def pool(dom):
@@ -40,10 +63,17 @@ def on(f):
     return lambda s, d: f(Domain(s, d))
 
 
-piece("q_filtered", f"""
-SELECT *, CASE WHEN NOT (regexp_matches(keyword, '(?i){REL}') AND NOT regexp_matches(keyword, '(?i){EXC}')) THEN 'off'
-  WHEN total4<{FLOOR} THEN 'low' ELSE 'kept' END AS status FROM (SELECT run_id, keyword, sum(v) AS total4 FROM q_own GROUP BY ALL) WHERE total4>0""")
-THEME_CASE = "CASE " + " ".join(f"WHEN regexp_matches(keyword, '(?i){p}') THEN '{n}'" for n, p in THEMES) + " END"
+def text(x):
+    return "NULL" if x is None else f"'{x}'"
+
+
+piece("q_setup", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{run}', '{seed.lower()}', {text(rel)}, {text(exc)}, {1000.0 if floor is None else floor}, [{', '.join(text(n.replace(' ', '').lower()) for n in ([seed] if skip is None else skip))}]::varchar[])"
+    for run, seed, rel, exc, floor, skip in SETUP) + ") v(run_id, seed, rel, exc, floor, skip)")
+piece("q_filtered", """
+SELECT run_id, keyword, total4, CASE WHEN NOT (coalesce(regexp_matches(keyword, '(?i)' || rel), true) AND NOT coalesce(regexp_matches(keyword, '(?i)' || exc), false)) THEN 'off'
+  WHEN total4<floor THEN 'low' ELSE 'kept' END AS status FROM (SELECT run_id, keyword, sum(v) AS total4 FROM q_own GROUP BY ALL) JOIN q_setup USING (run_id) WHERE total4>0""")
+THEME_CASE = "CASE " + " ".join(f"WHEN run_id='{run}' AND regexp_matches(keyword, '(?i){p}') THEN '{n}'" for run, rules in THEMES.items() for n, p in rules) + " END"
 piece("q_season", f"""
 SELECT *, {THEME_CASE} AS theme, CASE WHEN regexp_matches(keyword, '{op.YEAR_TOKEN}') THEN NULL WHEN first>=24 AND e4>=600 AND e4>e3 THEN 'new'
   WHEN e3>0 AND e4>=1200 AND e4/nullif(e3,0)>=2 THEN 'surge' END AS signal, CASE WHEN p3>0 THEN n3/p3-1 END AS yoy3
@@ -153,17 +183,17 @@ SELECT run_id, keyword, theme, month, hits, years, span_from, span_to, {R('ix',
     WHERE ia.run_id=s.run_id AND ia.keyword=s.keyword AND ib.run_id=s.run_id AND ib.keyword=s.keyword AND e34>=500 AND years>=2 GROUP BY ALL)
   WHERE hits>=CASE WHEN years>=4 THEN 3 ELSE years END AND ix>=1.4)
 JOIN (SELECT run_id, keyword, substr(month,6,2)::int AS month, coalesce({R('avg(v) FILTER (v>0)', 0)}, 0.0) AS volume FROM q_own GROUP BY ALL) USING (run_id, keyword, month)
-WHERE k=1""")
+JOIN q_setup USING (run_id) WHERE k=1 AND NOT list_contains(skip, replace(keyword,' ',''))""")
 check("H10_monthly_season_keywords", on(monthly), """
 SELECT run_id, keyword, theme, month, hits::int AS hits, years::int AS years, span_from, span_to, "index", volume FROM q_monthkw""")
 check("H11_signal_lists", on(lambda m: op.signal_lists(rows(m))), """
 SELECT run_id, keyword, signal, first_month, e3, e4, yoy3, theme, CASE WHEN signal='new' THEN e4 ELSE e4-e3 END AS sort_value FROM q_season WHERE signal IS NOT NULL""")
-check("H12_untagged_review", on(lambda m: op.untagged_review(rows(m), SEED, REL)), f"""
+check("H12_untagged_review", on(lambda m: op.untagged_review(rows(m), spec(m))), f"""
 SELECT run_id, untagged, {R('u/coalesce(nullif(a,0),1.0)', 4)} AS untagged_share, core, {R('c/coalesce(nullif(a,0),1.0)', 4)} AS core_share,
   {R('c/coalesce(nullif(a,0),1.0)', 4)}>0.1 OR core/n>0.2 AS warn FROM (
   SELECT run_id, count(*) AS n, sum(e4) AS a, count(*) FILTER (theme IS NULL) AS untagged, coalesce(sum(e4) FILTER (theme IS NULL),0.0) AS u,
     count(*) FILTER (theme IS NULL AND rest<>'') AS core, coalesce(sum(e4) FILTER (theme IS NULL AND rest<>''),0.0) AS c
-  FROM (SELECT *, trim(regexp_replace(replace(lower(keyword),'{SEED}',' '), '(?i){REL}', ' ', 'g')) AS rest FROM q_season) GROUP BY 1)""")
+  FROM (SELECT *, trim(CASE WHEN rel IS NULL THEN replace(lower(keyword),seed,' ') ELSE regexp_replace(replace(lower(keyword),seed,' '), '(?i)' || rel, ' ', 'g') END) AS rest FROM q_season JOIN q_setup USING (run_id)) GROUP BY 1)""")
 piece("q_pool", "SELECT *, CASE WHEN e4>e3 THEN 'up' ELSE 'down' END AS side FROM q_season WHERE e4<>e3")
 check("H13_theme_up_down", on(lambda m: pool(m).select("run_id", "keyword", "theme", "side", "e3", "e4")), "SELECT run_id, keyword, theme, side, e3, e4 FROM q_pool")
 TREND = 400
@@ -220,8 +250,9 @@ piece("q_src", """
 SELECT run_id, keyword, keyword IN (SELECT keyword FROM q_query q WHERE q.run_id=a.run_id) AS q FROM (SELECT run_id, keyword FROM q_nodes UNION SELECT run_id, keyword FROM q_query) a""")
 
 
-check("H18_seed_series", on(lambda m: op.seed_series(filtered(m), "Brand#8 smallring")),
-      "SELECT run_id, idx, month, v AS volume FROM q_own SEMI JOIN q_filtered USING (run_id, keyword) WHERE keyword='brand#8 small ring'")
+check("H18_seed_series", on(lambda m: op.seed_series(filtered(m).withColumn("keyword", F.regexp_replace("keyword", "^brand#8 cold ", "")), spec(m))), """
+SELECT run_id, idx, month, v AS volume FROM (SELECT * REPLACE (regexp_replace(keyword, '^brand#8 cold ', '') AS keyword) FROM q_own SEMI JOIN q_filtered USING (run_id, keyword)) JOIN q_setup USING (run_id)
+WHERE replace(keyword,' ','')=replace(seed,' ','')""")
 
 
 def _chosen(m):

@@ -41,7 +41,7 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None
     return ranked if rank else ranked.drop(out)
 
 
-def attached(df: DataFrame, stats: DataFrame, keys: list[str], *columns) -> DataFrame:
+def attached(df: DataFrame, stats: DataFrame, keys: list[str], *columns, how: str = "inner") -> DataFrame:
     """Every row with the one row its key has in `stats` (with the keys and `columns` of it, if named).
 
     The stats are staged (those that are already stay as they are, and are counted once), so they are computed once however many are chained; up to BROADCAST_ROWS of them
@@ -52,7 +52,7 @@ def attached(df: DataFrame, stats: DataFrame, keys: list[str], *columns) -> Data
     if not hasattr(small, "_stage_rows"):
         small._stage_rows = small.count()
     side = small.select(*keys, *columns) if columns else small
-    return df.join(F.broadcast(side) if small._stage_rows <= BROADCAST_ROWS else side, keys)
+    return df.join(F.broadcast(side) if small._stage_rows <= BROADCAST_ROWS else side, keys, how)
 
 
 def running_total(df: DataFrame, keys: list[str], order: list, weight: Column, out: str) -> DataFrame:

@@ -1,6 +1,12 @@
 """Season and trend: relevance, themes, seasonal indices and phases, monthly keywords, trend lists.
 
-Works on the aligned four-year series of operators.demand (months, nv, gg per keyword row).
+Works on the aligned four-year series of operators.demand (months, nv, gg per keyword row). What a run is about comes in tables,
+so one job serves runs with other seeds, filters and themes:
+
+* setup: run_id, seed, rel, exc (patterns, null: none), min_total (null: MIN_TOTAL), skip (names, null: the seed); one row a run;
+* themes: run_id, tord, theme, pattern; a query has the first theme whose pattern it holds.
+
+`season_spec` puts both together. Patterns ignore case. A run without a row in setup has no filters, the usual floor and no themes.
 """
 
 import numpy as np
@@ -28,26 +34,40 @@ def own_series(series: DataFrame) -> DataFrame:
     return series.withColumn("own", F.zip_with("nv", "gg", lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
 
 
-def relevance_filter(series: DataFrame, rel: str | None, exc: str | None, min_total: float = MIN_TOTAL) -> DataFrame:
-    """Queries with a status: kept, off (not relevant) or low (below the floor). Empty series go first."""
-    def matches(pattern):
-        return F.col("keyword").rlike("(?i)" + pattern)
+def season_spec(setup: DataFrame, themes: DataFrame) -> DataFrame:
+    """One row a run: s_seed, s_rel, s_exc, s_floor, s_skip (keys) and s_rules, the themes in their order."""
+    rules = themes.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("tord", "theme", "pattern"))).alias("s_rules"))
+    skip = F.transform(F.coalesce("skip", F.array("seed")), lambda x: cols.norm_kw(x))
+    return setup.select("run_id", F.col("seed").alias("s_seed"), F.col("rel").alias("s_rel"), F.col("exc").alias("s_exc"),
+                        F.coalesce("min_total", F.lit(float(MIN_TOTAL))).cast("double").alias("s_floor"), skip.alias("s_skip")).join(rules, "run_id", "full_outer")
+
 
-    ok = (matches(rel) if rel else F.lit(True)) & ~(matches(exc) if exc else F.lit(False))
+def holds(text, pattern) -> Column:
+    """A text has a place that fits the pattern of its row, whatever the case; null without a pattern."""
+    return F.regexp_like(cols.col(text), F.concat(F.lit("(?i)"), cols.col(pattern)))
+
+
+def relevance_filter(series: DataFrame, spec: DataFrame) -> DataFrame:
+    """Queries with a status: kept, off (not relevant) or low (below the floor). Empty series go first."""
+    ok = F.coalesce(holds("keyword", "s_rel"), F.lit(True)) & ~F.coalesce(holds("keyword", "s_exc"), F.lit(False))
+    floor = F.coalesce("s_floor", F.lit(float(MIN_TOTAL)))
     rows = own_series(series).withColumn("total4", total_of(F.col("own"))).where(F.col("total4") > 0)
-    return rows.withColumn("status", F.when(~ok, "off").when(F.col("total4") < min_total, "low").otherwise("kept"))
+    rows = rank.attached(rows, spec, RUN, "s_rel", "s_exc", "s_floor", how="left")
+    return rows.withColumn("status", F.when(~ok, "off").when(F.col("total4") < floor, "low").otherwise("kept")).drop("s_rel", "s_exc", "s_floor")
 
 
 def sum_between(v: Column, first: int, n: int) -> Column:
     return total_of(F.slice(v, first + 1, n))
 
 
-def theme_of(keyword, themes: list[tuple[str, str]]) -> Column:
-    """First theme whose pattern matches, in the order of the rules."""
-    return F.coalesce(*[F.when(cols.col(keyword).rlike("(?i)" + pattern), F.lit(name)) for name, pattern in themes], F.lit(None))
+def themed_by(rows: DataFrame, spec: DataFrame) -> DataFrame:
+    """Adds `theme`, the first theme of the run whose pattern matches. The rules of a run are a short list; rows stay where they are."""
+    rows = rank.attached(rows, spec, RUN, "s_rules", how="left")
+    fits = F.filter("s_rules", lambda r: holds(F.col("keyword"), r["pattern"]))
+    return rows.withColumn("theme", F.get(fits, F.lit(0))["theme"]).drop("s_rules")
 
 
-def classified(rows: DataFrame, themes: list[tuple[str, str]]) -> DataFrame:
+def classified(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """Year totals, first month, three-month change, new/surge signal and theme of kept queries."""
     own = F.col("own")
     df = rows.where(F.col("status") == "kept").withColumn("t", blocks(own)).withColumn("e3", F.get("t", F.lit(2))).withColumn(
@@ -56,8 +76,8 @@ def classified(rows: DataFrame, themes: list[tuple[str, str]]) -> DataFrame:
     new = (F.col("first") >= NEW_MONTH) & (F.col("e4") >= NEW_MIN) & (F.col("e4") > F.col("e3"))
     surge = (F.col("e3") > 0) & (F.col("e4") >= SURGE_MIN) & (F.try_divide("e4", cols.nz("e3")) >= SURGE_RATIO)
     signal = F.when(F.col("keyword").rlike(YEAR_TOKEN), None).when(new, "new").when(surge, "surge")
-    return df.withColumn("yoy3", F.when(then3 > 0, F.try_divide(now3, then3) - 1)).withColumn("signal", signal).withColumn(
-        "theme", theme_of("keyword", themes))
+    df = df.withColumn("yoy3", F.when(then3 > 0, F.try_divide(now3, then3) - 1)).withColumn("signal", signal)
+    return themed_by(df, spec)
 
 
 def calendar_start() -> Column:
@@ -187,8 +207,8 @@ def next_month() -> Column:
     return F.substring(F.element_at("months", -1), 6, 2).cast("int") % 12 + 1
 
 
-def monthly_keywords(indexed_rows: DataFrame, skip: list[str]) -> DataFrame:
-    """Queries that reliably peak in two adjacent months; the best window decides, the first one on ties."""
+def monthly_keywords(indexed_rows: DataFrame, spec: DataFrame) -> DataFrame:
+    """Queries that reliably peak in two adjacent months; the best window decides, the first one on ties. Names of `skip` are left out."""
     rows = indexed_rows.where((sum_between(F.col("own"), 24, 24) >= 500) & (F.col("years") >= 2))
     need = F.when(F.col("years") >= 4, 3).otherwise(F.col("years"))
 
@@ -206,7 +226,8 @@ def monthly_keywords(indexed_rows: DataFrame, skip: list[str]) -> DataFrame:
     at = F.pmod(F.col("w.month") - calendar_start(), F.lit(12))
     values = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get("own", at + 12 * k)), lambda v: v > 0)
     volume = F.coalesce(half_up(F.try_divide(total_of(values), F.size(values)), 0), F.lit(0.0))
-    return best.where(~cols.norm_kw("keyword").isin([s.replace(" ", "").lower() for s in skip])).select(
+    skipped = F.coalesce(F.array_contains("s_skip", cols.norm_kw("keyword")), F.lit(False))
+    return rank.attached(best, spec, RUN, "s_skip", how="left").where(~skipped).select(
         *KEY, "theme", F.col("w.month").alias("month"), F.col("w.n").alias("hits"), "years", F.col("w.span_from").alias("span_from"),
         F.col("w.span_to").alias("span_to"), half_up("w.ix", 2).alias("index"), volume.alias("volume"))
 
@@ -217,11 +238,12 @@ def signal_lists(rows: DataFrame) -> DataFrame:
         *KEY, "signal", F.get("months", F.col("first").cast("int")).alias("first_month"), "e3", "e4", "yoy3", "theme", gain.alias("sort_value"))
 
 
-def untagged_review(rows: DataFrame, seed: str, rel: str | None) -> DataFrame:
+def untagged_review(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """Queries without a theme: only the seed, or something the rules miss. Warns above 10% of volume or 20% of queries."""
-    rest = F.replace(F.lower("keyword"), F.lit(seed.lower()), F.lit(" "))
-    if rel:
-        rest = F.regexp_replace(rest, "(?i)" + rel, " ")
+    rows = rank.attached(rows, spec, RUN, "s_seed", "s_rel", how="left")
+    low = F.lower("keyword")
+    rest = F.when(F.length("s_seed") > 0, F.replace(low, F.lower("s_seed"), F.lit(" "))).otherwise(low)
+    rest = F.when(F.col("s_rel").isNotNull(), F.regexp_replace(rest, F.concat(F.lit("(?i)"), "s_rel"), F.lit(" "))).otherwise(rest)
     bare = F.col("theme").isNull()
     core = bare & (F.trim(rest) != "")
     agg = rows.groupBy("run_id").agg(
@@ -298,9 +320,10 @@ def collection_meta(listed: DataFrame, series: DataFrame, filtered: DataFrame, r
         "queried", "from_related", "from_cluster", "returned", "kept", "off", "low", "cluster_kept", "cluster_signals")])
 
 
-def seed_series(filtered: DataFrame, seed: str) -> DataFrame:
-    """Monthly volumes of the seed itself, whatever the filters made of it."""
-    own = filtered.where(cols.norm_kw("keyword") == "".join(seed.lower().split()))
+def seed_series(filtered: DataFrame, spec: DataFrame) -> DataFrame:
+    """Monthly volumes of each run's seed itself, whatever the filters made of it."""
+    rows = rank.attached(filtered, spec, RUN, "s_seed")
+    own = rows.where(cols.norm_kw("keyword") == cols.norm_kw("s_seed"))
     return own.select("run_id", F.posexplode(F.arrays_zip("months", "own")).alias("idx", "c")).select(
         "run_id", "idx", F.col("c.months").alias("month"), F.col("c.own").alias("volume"))
 

@@ -94,17 +94,19 @@ def demand_report(monthly: DataFrame, bundles: DataFrame) -> Facts:
     }
 
 
-def season_report(monthly: DataFrame, rel: str | None, exc: str | None, themes: list[tuple[str, str]], seed: str, min_total: float = season.MIN_TOTAL) -> Facts:
-    filtered = season.relevance_filter(demand.align_months(monthly), rel, exc, min_total)
-    rows = staged(season.with_index(season.classified(filtered, themes)))
+def season_report(monthly: DataFrame, setup: DataFrame, themes: DataFrame) -> Facts:
+    """Season facts of many runs, each with its own seed, filters and themes (see operators.season)."""
+    spec = staged(season.season_spec(setup, themes))
+    filtered = season.relevance_filter(demand.align_months(monthly), spec)
+    rows = staged(season.with_index(season.classified(filtered, spec)))
     groups = staged(season.theme_rollup(rows))
-    keywords = staged(season.monthly_keywords(rows, [seed]))
+    keywords = staged(season.monthly_keywords(rows, spec))
     pool = staged(season.change_pool(rows))
     return {
         "status": filtered.select("run_id", "keyword", "status", "total4"), "queries": season.with_phases(rows), "themes": groups,
         "theme_top": season.theme_top(rows), "theme_odd": season.theme_odd(rows, groups), "theme_order": season.theme_order(groups, season.next_month()),
-        "monthly": keywords, "calendar": season.season_calendar(keywords), "signals": season.signal_lists(rows),
-        "untagged": season.untagged_review(rows, seed, rel), "trends": season.trend_pool(pool), "co_spikes": season.co_spike_months(pool),
+        "monthly": keywords, "calendar": season.season_calendar(keywords), "signals": season.signal_lists(rows), "seed": season.seed_series(filtered, spec),
+        "untagged": season.untagged_review(rows, spec), "trends": season.trend_pool(pool), "co_spikes": season.co_spike_months(pool),
         "quarter": season.quarter_direction(pool),
     }
 

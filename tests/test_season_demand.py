@@ -123,7 +123,29 @@ def test_numbers_in_text(spark):
 def test_theme_is_the_first_match_and_year_tokens_cancel_signals(spark):
     late = [0.0] * 30 + [500.0] * 18
     s = series(spark, [("red hot ring", late, Z), ("ring 2024", late, Z), ("RED ring", [100.0] * 48, Z), ("cold rod", [100.0] * 48, Z)])
-    kept = season.relevance_filter(s, "ring", None, 1000)
+    spec = season_spec(spark, [("a", "ring", "ring", None, 1000.0, None)], [("a", 0, "hot", "hot"), ("a", 1, "red", "red")])
+    kept = season.relevance_filter(s, spec)
     assert {r.keyword: r.status for r in kept.collect()}["cold rod"] == "off"
-    got = {r.keyword: (r.theme, r.signal) for r in season.classified(kept, [("hot", "hot"), ("red", "red")]).collect()}
+    got = {r.keyword: (r.theme, r.signal) for r in season.classified(kept, spec).collect()}
     assert got == {"red hot ring": ("hot", "new"), "ring 2024": (None, None), "RED ring": ("red", None)}
+
+
+def season_spec(spark, setup, themes):
+    return season.season_spec(spark.createDataFrame(setup, "run_id string, seed string, rel string, exc string, min_total double, skip array<string>"),
+                              spark.createDataFrame(themes, "run_id string, tord int, theme string, pattern string"))
+
+
+def test_every_run_has_its_own_filters_and_themes(spark):
+    from pyspark.sql import functions as F
+
+    one = series(spark, [("hot ring", [30.0] * 48, Z), ("cold ring", [30.0] * 48, Z), ("hot rod", [10.0] * 48, Z)]).drop("run_id")
+    s = one.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in "abc"])))
+    spec = season_spec(spark, [("a", "Ring", "RING", None, None, None), ("b", "rod", None, "cold", 100.0, [])], [("a", 5, "late", "ring"), ("a", 2, "early", "HOT"), ("b", 0, "all", ".")])
+    filtered = season.relevance_filter(s, spec)
+    status = {(r.run_id, r.keyword): r.status for r in filtered.collect()}
+    assert status == {("a", "hot ring"): "kept", ("a", "cold ring"): "kept", ("a", "hot rod"): "off", ("b", "hot ring"): "kept", ("b", "cold ring"): "off", ("b", "hot rod"): "kept",
+                      ("c", "hot ring"): "kept", ("c", "cold ring"): "kept", ("c", "hot rod"): "low"}
+    themes = {(r.run_id, r.keyword): r.theme for r in season.classified(filtered, spec).collect()}
+    assert themes == {("a", "hot ring"): "early", ("a", "cold ring"): "late", ("b", "hot ring"): "all", ("b", "hot rod"): "all", ("c", "hot ring"): None, ("c", "cold ring"): None}
+    review = {r.run_id: (r.untagged, r.core) for r in season.untagged_review(season.classified(filtered, spec), spec).collect()}
+    assert review == {"a": (0, 0), "b": (0, 0), "c": (2, 2)}
