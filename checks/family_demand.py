@@ -6,7 +6,7 @@ from .domain import ADJECTIVES, NOUNS, Domain, _index, sql_index
 from .sqlkit import R, check, piece
 
 TARGET = "ring"
-VARIANTS = ["ring", "rings", "small ring"]
+VARIANTS = {"automobile": ["ring", "rings", "small ring"], "building": ["plate", "red plate", "blueplate"], "household": ["Gear", "new gear"], "machinery": ["bolt"]}
 BANNED = ["thanedble", "reaux", "onesen", "Nicht"]
 
 
@@ -252,14 +252,27 @@ WHERE broad>0 AND role IN ('market','peer')""")
 check("F15_flow_type", on(lambda m: rows(m).select("run_id", "bundle_id", "dir", op.flow_type().alias("flow"))), """
 SELECT run_id, bundle_id, dir, CASE WHEN dir='↑↑↑' THEN 'rising' WHEN dir='↓↓↓' THEN 'falling' WHEN dir LIKE '%↑' AND contains(dir,'↓') THEN 'fall_then_rise'
   WHEN dir LIKE '%↓' AND contains(dir,'↑') THEN 'rise_then_fall' ELSE 'flat' END AS flow FROM q_rows""")
-check("F16_merge_spellings_top", on(lambda m: op.merged_top_queries(members(m), VARIANTS)), """
+def spellings_of(m):
+    rows = [(run, k, n) for run, names in VARIANTS.items() for k, n in enumerate(names)]
+    return m.spark.createDataFrame(rows, "run_id string, ord int, name string")
+
+
+def one_spelling(run):
+    names = [n.replace(" ", "").lower() for n in VARIANTS[run]]
+    out = "replace(keyword,' ','')"
+    for n in sorted(set(names[1:]), key=lambda x: (-len(x), x)):
+        out = f"replace({out},'{n}','{names[0]}')"
+    return f"WHEN '{run}' THEN {out}"
+
+
+check("F16_merge_spellings_top", on(lambda m: op.merged_top_queries(members(m), spellings_of(m))), f"""
 SELECT run_id, bundle_id, pos::int AS pos, keyword, spellings, last, CASE WHEN prev>0 THEN last/prev-1 END AS yoy FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, bundle_id ORDER BY last DESC, seen_avg DESC, seen_ord) AS pos FROM (
     SELECT run_id, bundle_id, key, sum(t3) AS last, sum(t2) AS prev, count(*) AS spellings, max(avg) AS seen_avg,
       min(ord) FILTER (r=1) AS seen_ord, max(keyword) FILTER (r2=1) AS keyword FROM (
       SELECT *, row_number() OVER (PARTITION BY run_id, bundle_id, key ORDER BY avg DESC, ord) AS r,
         row_number() OVER (PARTITION BY run_id, bundle_id, key ORDER BY t3 DESC, avg DESC, ord) AS r2 FROM (
-        SELECT *, replace(replace(replace(keyword,' ',''),'smallring','ring'),'rings','ring') AS key FROM q_mstats)) GROUP BY ALL)) WHERE pos<=5""")
+        SELECT *, CASE run_id {' '.join(map(one_spelling, VARIANTS))} ELSE replace(keyword,' ','') END AS key FROM q_mstats)) GROUP BY ALL)) WHERE pos<=5""")
 piece("q_parts", """
 SELECT p.*, row_number() OVER (PARTITION BY run_id, k ORDER BY value DESC, avg DESC, bord) AS rank, value/nullif(sum(value) OVER (PARTITION BY run_id, k),0) AS share FROM (
   SELECT run_id, bundle_id, bord, avg, unnest([0,1,2,3]) AS k, unnest([t0,t1,t2,t3]) AS value FROM q_rows WHERE role='part') p""")

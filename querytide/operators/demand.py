@@ -4,10 +4,13 @@ A keyword's months are one row with arrays on its run's month grid, so every per
 row expression without a shuffle; only bundle sums and comparisons shuffle.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cols, rank
 from ..functions.cols import half_up
+from ..functions.stage import staged
 from .records import ordered_list
 
 GRID_MONTHS = 48
@@ -209,38 +212,122 @@ def bundle_rollup(members: DataFrame) -> DataFrame:
     return with_stats(bundle_series(members), "own")
 
 
+NEAREST = 8  # gains kept for each loss, month and size class
+SLOT_ROWS = 200_000
+
+
+def _moves(members: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Members that lose or gain a level somewhere: `lost` and `won` hold (m, p, q), the means before and after month m."""
+    stats = with_stats(members, "own").select(*BUNDLE, "keyword", F.struct((-F.col("avg")).alias("o1"), F.col("ord").cast("long").alias("o2")).alias("_o"), "months", "own")
+    floor = bundles.select(*BUNDLE, F.greatest(F.lit(100.0), 0.05 * total_of(F.col("own")) / F.size("own")).alias("_floor"))
+    own = F.col("own")
+    cells = F.transform(between(3, F.size("own") - 3), lambda m: F.struct(m.alias("m"), mean_of(own, m - 3, 3).alias("p"), mean_of(own, m, 3).alias("q")))
+    rows = rank.attached(stats, floor, BUNDLE).withColumn("_c", cells)
+    lost = F.filter("_c", lambda c: (c["p"] >= F.col("_floor")) & (c["q"] < 0.5 * c["p"]))
+    won = F.filter("_c", lambda c: (c["q"] > 1.5 * F.greatest(c["p"], F.lit(1.0))) & (c["q"] > c["p"]))
+    rows = rows.select(*BUNDLE, "keyword", "_o", "months", lost.alias("lost"), won.alias("won"))
+    return rows.where((F.size("lost") > 0) | (F.size("won") > 0))
+
+
+def _nearest(moves: DataFrame, keep: int | None) -> DataFrame:
+    """Pairs (from, to, m, fit) of a loss and a gain of 0.6 to 1.6 times its size in the same month.
+
+    Losses and gains meet in classes of size (doublings), a loss in its own and the two beside it. In each class a loss keeps the
+    `keep` gains that fit best, ties by the gainer's order, before any pair is made; None keeps all. A row without `to` says that some were
+    left out, none of them better than its fit and order.
+    """
+    lost = moves.select(*BUNDLE, F.col("keyword").alias("from"), F.explode("lost").alias("c")).select(*BUNDLE, "from", F.col("c.m").alias("m"), (F.col("c.p") - F.col("c.q")).alias("size"))
+    won = moves.select(*BUNDLE, F.col("keyword").alias("to"), "_o.o1", "_o.o2", F.explode("won").alias("c")).select(
+        *BUNDLE, "to", "o1", "o2", F.col("c.m").alias("m"), (F.col("c.q") - F.col("c.p")).alias("size"))
+    own = F.floor(F.log2("size"))
+    lost = lost.withColumn("class", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: own + d)))
+    key = [*BUNDLE, "m", "class"]
+    won = won.withColumn("class", own)
+    own_names = lambda rows: rows.select(*[F.col(c).alias(c) for c in rows.columns])  # noqa: E731  # both sides come from one table
+    lost, won = own_names(lost.join(won.select(*key).distinct(), key, "left_semi")), own_names(won.join(lost.select(*key).distinct(), key, "left_semi"))
+    schema = "run_id string, bundle_id string, `from` string, `to` string, m int, fit double, o1 double, o2 long"
+    sizes = moves.agg(F.sum(3 * F.size("lost") + F.size("won")).alias("n")).first().n or 0
+    slot = F.pmod(F.xxhash64(*key), F.lit(max(1, -(-sizes // SLOT_ROWS))))  # many small classes share a task
+
+    def pick(lost: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
+        names = ["run_id", "bundle_id", "from", "to", "m", "fit", "o1", "o2"]
+        if not len(lost) or not len(won):
+            return pd.DataFrame({c: pd.Series(dtype="object" if c in names[:4] else "float64") for c in names}).astype({"m": "int32", "o2": "int64"})
+        groups = pd.concat([lost[key], won[key]]).groupby(key, sort=False).ngroup().to_numpy()
+        mine, theirs = groups[: len(lost)], groups[len(lost) :]
+        size, o1, o2 = (won[c].to_numpy() for c in ("size", "o1", "o2"))
+        up, down = np.lexsort((o2, o1, size, theirs)), np.lexsort((-o2, -o1, size, theirs))  # `down` is read backwards, so that ties come in order there too
+        want, n = lost["size"].to_numpy(), len(won) if keep is None else keep
+
+        def place(values, after):
+            """Where each value stands among the gains of its class, before or after equal ones."""
+            turn = np.repeat([0, 1] if after else [1, 0], [len(up), len(values)])
+            order = np.lexsort((turn, np.concatenate([size[up], values]), np.concatenate([theirs[up], mine])))
+            gain = order < len(up)
+            out = np.empty(len(values), np.int64)
+            out[order[~gain] - len(up)] = np.cumsum(gain)[~gain]
+            return out
+
+        def spans(a, b):
+            counts = np.maximum(b - a, 0)
+            return np.repeat(np.arange(len(a)), counts), np.arange(counts.sum()) + np.repeat(a - (np.cumsum(counts) - counts), counts)
+
+        first, middle, last = place(want * 0.6, False), place(want, False), place(want * 1.6, True)
+        over, at = spans(middle, np.minimum(last, middle + n))
+        under, below = spans(np.maximum(first, middle - n), middle)
+        row, col = np.concatenate([over, under]), np.concatenate([up[at], down[below]])
+        fit = np.abs(size[col] / want[row] - 1)
+        order = np.lexsort((o2[col], o1[col], fit, row))
+        row, col, fit = row[order], col[order], fit[order]
+        rank_in = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, fit, rank_in = (x[rank_in < n] for x in (row, col, fit, rank_in))
+        worst = np.flatnonzero((rank_in == n - 1) & ((last - first)[row] > n))
+        row, fit, to = np.concatenate([row, row[worst]]), np.concatenate([fit, fit[worst]]), [*won["to"].to_numpy()[col], *[None] * len(worst)]
+        col = np.concatenate([col, col[worst]])
+        got = lost[["run_id", "bundle_id", "from", "m"]].iloc[row].reset_index(drop=True)
+        return got.assign(to=pd.Series(to, dtype="object"), fit=fit, o1=o1[col], o2=o2[col])[names]
+
+    return lost.withColumn("slot", slot).groupBy("slot").cogroup(won.withColumn("slot", slot).groupBy("slot")).applyInPandas(pick, schema)
+
+
+def _picks(moves: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best and the second best shift of each bundle, and the bundles for which pairs that were left out might be better."""
+    side = lambda role: moves.select(*BUNDLE, F.col("keyword").alias(role), F.col("_o").alias(f"_{role}"), F.col("lost" if role == "from" else "won").alias(f"c_{role}"), *(["months"] if role == "from" else []))
+    rows = near.join(side("from"), [*BUNDLE, "from"])
+    pairs = rows.where(F.col("to").isNotNull() & (F.col("from") != F.col("to"))).drop("o1", "o2").join(side("to"), [*BUNDLE, "to"])
+    ratio = lambda x, y: (y["q"] - y["p"] >= 0.6 * (x["p"] - x["q"])) & (y["q"] - y["p"] <= 1.6 * (x["p"] - x["q"]))
+    earlier = F.exists("c_from", lambda x: (x["m"] < F.col("m")) & F.exists("c_to", lambda y: (y["m"] == x["m"]) & ratio(x, y)))
+    at = lambda role: F.get(F.filter(f"c_{role}", lambda c: c["m"] == F.col("m")), F.lit(0))
+    order = F.struct("fit", F.col("_from").alias("f"), F.col("_to").alias("t"))
+    events = staged(pairs.where(~earlier).select(*BUNDLE, "from", "to", F.get("months", "m").alias("month"), order.alias("order"), at("from").alias("_x"), at("to").alias("_y")))
+    left = rows.where(F.col("to").isNull()).select(*BUNDLE, "from", F.struct("fit", F.col("_from").alias("f"), F.struct("o1", "o2").alias("t")).alias("bound"))
+    best = staged(rank.first_wins(events, BUNDLE, [F.col("order")]))
+    used = best.select(*BUNDLE, F.col("from").alias("_a"), F.col("to").alias("_b"), F.col("order").alias("_best"))
+    free = events.join(used, BUNDLE).where(~F.col("from").isin(F.col("_a"), F.col("_b")) & ~F.col("to").isin(F.col("_a"), F.col("_b")))
+    second = staged(rank.first_wins(free.drop("_a", "_b", "_best"), BUNDLE, [F.col("order")]))
+    known = left.join(used, BUNDLE, "left").join(second.select(*BUNDLE, F.col("order").alias("_second")), BUNDLE, "left")
+    above = lambda c: F.col(c).isNull() | (F.col(c) > F.col("bound"))
+    other = ~F.coalesce(F.col("from").isin(F.col("_a"), F.col("_b")), F.lit(False))
+    unsure = known.where(above("_best") | (other & above("_second"))).select(*BUNDLE).distinct()
+    return best.withColumn("pick", F.lit(1)).unionByName(second.withColumn("pick", F.lit(2))), unsure
+
+
 def notation_shifts(members: DataFrame, bundles: DataFrame) -> DataFrame:
     """Up to two spelling shifts per bundle: one member loses what another gains in the same month.
 
-    Losers and gainers meet on month and magnitude class, so no pair of unrelated members is formed.
+    Of two months in which a pair fits, the first counts; the best fitting pair is picked, then the best without its members. Only the nearest
+    gains of each loss are paired; bundles where that may not be enough (pairs that fitted in an earlier month can stand in the way) are
+    paired in full.
     """
-    stats = with_stats(members, "own").select(*members.columns, "avg")
-    floor = bundles.select(*BUNDLE, F.greatest(F.lit(100.0), 0.05 * total_of(F.col("own")) / F.size("own")).alias("floor"))
-    at = F.explode(between(3, F.size("own") - 3)).alias("m")
-    own = F.col("own")
-    cells = stats.select(*BUNDLE, "keyword", "avg", "ord", "months", "own", at).withColumn(
-        "p", mean_of(own, F.col("m") - 3, 3)).withColumn("q", mean_of(own, F.col("m"), 3))
-    losers = cells.join(floor, BUNDLE).where((F.col("p") >= F.col("floor")) & (F.col("q") < 0.5 * F.col("p"))).withColumn(
-        "loss", F.col("p") - F.col("q")).select(
-        *BUNDLE, "m", F.get("months", "m").alias("month"), F.col("keyword").alias("from"), F.struct(-F.col("avg"), F.col("ord")).alias("_fo"),
-        F.col("p").alias("_pa"), F.col("q").alias("_qa"), "loss",
-        F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.log2("loss")) + d)).alias("_class"))
-    gainers = cells.where((F.col("q") > 1.5 * F.greatest("p", F.lit(1.0))) & (F.col("q") > F.col("p"))).withColumn(
-        "gain", F.col("q") - F.col("p")).select(
-        *BUNDLE, "m", F.col("keyword").alias("to"), F.struct(-F.col("avg"), F.col("ord")).alias("_to"),
-        F.col("p").alias("_pb"), F.col("q").alias("_qb"), "gain", F.floor(F.log2("gain")).alias("_class"))
-    pairs = losers.join(gainers, [*BUNDLE, "m", "_class"]).where(
-        (F.col("gain") >= 0.6 * F.col("loss")) & (F.col("gain") <= 1.6 * F.col("loss")) & (F.col("from") != F.col("to")))
-    pairs = pairs.withColumn("fit", F.abs(F.col("gain") / F.col("loss") - 1))
-    events = rank.first_wins(pairs, [*BUNDLE, "from", "to"], [F.col("m")])
-    order = [F.col("fit"), F.col("_fo"), F.col("_to")]
-    best = rank.first_wins(events, BUNDLE, order)
-    used = best.select(*BUNDLE, F.col("from").alias("_a"), F.col("to").alias("_b"))
-    free = events.join(used, BUNDLE).where(~F.col("from").isin(F.col("_a"), F.col("_b")) & ~F.col("to").isin(F.col("_a"), F.col("_b")))
-    second = rank.first_wins(free.drop("_a", "_b"), BUNDLE, order)
-    return best.withColumn("pick", F.lit(1)).unionByName(second.withColumn("pick", F.lit(2))).select(
-        *BUNDLE, "pick", "month", "from", "to", half_up("_pa", 0).alias("from_before"), half_up("_qa", 0).alias("from_after"),
-        half_up("_pb", 0).alias("to_before"), half_up("_qb", 0).alias("to_after"))
+    moves = staged(_moves(members, bundles))
+    picks, unsure = _picks(moves, staged(_nearest(moves, NEAREST)))
+    unsure = staged(unsure)
+    if not unsure.isEmpty():
+        rest = staged(moves.join(unsure, BUNDLE, "left_semi"))
+        whole, _ = _picks(rest, staged(_nearest(rest, None)))
+        picks = picks.join(unsure, BUNDLE, "left_anti").unionByName(whole)
+    half = lambda c, name: half_up(F.col(c), 0).alias(name)
+    return picks.select(*BUNDLE, "pick", "month", "from", "to", half("_x.p", "from_before"), half("_x.q", "from_after"), half("_y.p", "to_before"), half("_y.q", "to_after"))
 
 
 def level_jumps(members: DataFrame, bundles: DataFrame) -> DataFrame:
@@ -328,20 +415,23 @@ def flow_type(d="dir") -> Column:
             .otherwise("flat"))
 
 
-def canonical_spelling(keyword, variants: list[str]) -> Column:
-    """Space-free text with every variant replaced by the first one, longest variant first."""
-    flat = ["".join(v.lower().split()) for v in variants]
-    out = cols.norm_kw(keyword)
-    for v in sorted(set(flat), key=lambda x: (-len(x), x)):
-        if v and v != flat[0]:
-            out = F.replace(out, F.lit(v), F.lit(flat[0]))
-    return out
+def canonical_spelling(keyword, variants) -> Column:
+    """Space-free text with every variant (an array of names) replaced by the first one, longest variant first."""
+    flat = F.transform(variants, lambda v: cols.norm_kw(v))
+    lead = F.get(flat, F.lit(0))
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(flat), lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
+    others = F.filter(ordered, lambda v: (v != "") & (v != lead))
+    return F.aggregate(F.coalesce(others, F.array().cast("array<string>")), cols.norm_kw(keyword), lambda text, v: F.replace(text, v, lead))
+
 
+def merged_top_queries(members: DataFrame, variants: DataFrame, n: int = TOP_QUERIES) -> DataFrame:
+    """Largest queries of a bundle after spellings are merged; named after the largest spelling.
 
-def merged_top_queries(members: DataFrame, variants: list[str], n: int = TOP_QUERIES) -> DataFrame:
-    """Largest queries of a bundle after spellings are merged; named after the largest spelling."""
-    rows = with_stats(members, "own").select(
-        *BUNDLE, "keyword", "avg", "ord", canonical_spelling("keyword", variants).alias("key"),
+    variants: run_id, ord, name, the spellings of what the run is about; the first stands for all. A run without any keeps its texts.
+    """
+    lists = variants.groupBy("run_id").agg(ordered_list([F.col("ord")], F.col("name")).alias("_names"))
+    rows = rank.attached(with_stats(members, "own"), lists, ["run_id"], how="left").select(
+        *BUNDLE, "keyword", "avg", "ord", canonical_spelling("keyword", F.col("_names")).alias("key"),
         last_total().alias("last"), F.element_at("t", -2).alias("prev"))
     merged = rows.groupBy(*BUNDLE, "key").agg(
         F.sum("last").alias("last"), F.sum("prev").alias("prev"), F.count(F.lit(1)).alias("spellings"),

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from querytide.operators import demand, season
 
 
@@ -94,6 +96,77 @@ def test_spelling_shift_and_level_jump(spark):
     assert [(r.keyword, r.share) for r in jumps] == [("big", 1.0)]
 
 
+def plain_shifts(rows, floor):
+    """All pairs of a bundle, month by month; rows: name, average, order, series."""
+    mean = lambda s, a: sum(s[a : a + 3]) / 3
+    events = []
+    for a, fa, oa, s in rows:
+        for b, fb, ob, t in rows:
+            for m in range(3, len(s) - 2):
+                p, q, r, u = mean(s, m - 3), mean(s, m), mean(t, m - 3), mean(t, m)
+                if a != b and p >= floor and q < 0.5 * p and u > 1.5 * max(r, 1.0) and u > r and 0.6 * (p - q) <= u - r <= 1.6 * (p - q):
+                    events.append((abs((u - r) / (p - q) - 1), (-fa, oa), (-fb, ob), a, b, m))
+                    break
+    best = min(events, default=None)
+    second = min((e for e in events if not {e[3], e[4]} & {best[3], best[4]}), default=None)
+    return [e[3:] for e in (best, second) if e]
+
+
+@pytest.mark.parametrize("keep", [2, 8])
+def test_spelling_shifts_equal_all_pairs(spark, monkeypatch, keep):
+    import random
+
+    monkeypatch.setattr(demand, "NEAREST", keep)
+    rng = random.Random(keep)
+    rows, want = [], {}
+    for k in range(12):
+        names = []
+        for i in range(30):
+            jump, step = rng.choice([12, 12, 20, 30]), float(rng.choice([300, 300, 301, 400, 600, 900]))
+            kind = rng.choice(["down", "up", "both"])
+            v = [float(rng.randint(0, 20)) for _ in range(48)]
+            v = [x + (step if (kind == "down" and m < jump) or (kind == "up" and m >= jump) or (kind == "both" and jump <= m < jump + 9) else 0.0) for m, x in enumerate(v)]
+            names.append((f"n{i}", v))
+        rows += [(f"b{k}", i, n, v) for i, (n, v) in enumerate(names)]
+    months = [f"{2020 + m // 12}-{m % 12 + 1:02d}" for m in range(48)]
+    members = spark.createDataFrame([("a", b, i, n, months, v) for b, i, n, v in rows], "run_id string, bundle_id string, ord long, keyword string, months array<string>, own array<double>")
+    whole = demand.bundle_series(members)
+    stats = {(r.bundle_id, r.keyword): r.avg for r in demand.with_stats(members, "own").collect()}
+    for b in {r[0] for r in rows}:
+        mine = [(n, stats[(b, n)], i, v) for x, i, n, v in rows if x == b]
+        floor = max(100.0, 0.05 * sum(sum(v) for *_, v in mine) / 48)
+        want[b] = [(a, c, months[m]) for a, c, m in plain_shifts(mine, floor)]
+    got = {}
+    for r in demand.notation_shifts(members, whole).orderBy("pick").collect():
+        got.setdefault(r.bundle_id, []).append((r["from"], r.to, r.month))
+    assert got == {b: e for b, e in want.items() if e}
+
+
+def test_a_bundle_that_breaks_in_one_month_makes_few_pairs(spark):
+    months = [f"{2020 + m // 12}-{m % 12 + 1:02d}" for m in range(48)]
+    rows = [("a", "b", i, f"n{i}", months, [500.0 + i] * 20 + [10.0] * 28 if i % 2 else [10.0] * 20 + [500.0 + i] * 28) for i in range(3000)]
+    members = spark.createDataFrame(rows, "run_id string, bundle_id string, ord long, keyword string, months array<string>, own array<double>")
+    small = members.withColumn("own", F.transform("own", lambda v: v / 1000))  # the floor of a bundle this size would hide its members
+    moves = demand._moves(members, demand.bundle_series(small))
+    near = demand._nearest(moves, demand.NEAREST)
+    months_hit = moves.select(F.explode("lost")).count()
+    assert 0 < near.count() <= months_hit * 3 * (demand.NEAREST + 1)
+    assert demand.notation_shifts(members, demand.bundle_series(small)).count() == 2
+
+
+def test_variants_of_each_run(spark):
+    s = series(spark, [("new ring", [1.0] * 48, Z), ("new rings", [2.0] * 48, Z), ("newcircle", [3.0] * 48, Z)])
+    members = demand.bundle_members(bundle(spark, ["new ring", "new rings", "newcircle"]), s)
+    both = members.withColumn("run_id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
+    names = spark.createDataFrame([("a", 0, "ring"), ("a", 1, "rings"), ("a", 2, "circle"), ("b", 0, "rings"), ("b", 1, "ring")], "run_id string, ord int, name string")
+    got = sorted((r.run_id, r.keyword, r.spellings) for r in demand.merged_top_queries(both, names).collect())
+    alone = [(1, k) for k in ("new ring", "new rings", "newcircle")]
+    assert [x for x in got if x[0] == "a"] == [("a", "newcircle", 3)]
+    assert [(n, k) for r, k, n in got if r == "c"] == alone
+    # a variant is replaced wherever it stands: "rings" holds "ring", whose place the first name takes
+    assert [(n, k) for r, k, n in got if r == "b"] == alone
+
+
 def verdict_rows(spark, gts):
     rows = [("a", f"p{k}", g, 100.0 - k, k, [100.0, 100.0, 100.0, 100.0]) for k, g in enumerate(gts)]
     return spark.createDataFrame(rows, "run_id string, bundle_id string, gt double, avg double, bord int, t array<double>")
@@ -136,8 +209,6 @@ def season_spec(spark, setup, themes):
 
 
 def test_every_run_has_its_own_filters_and_themes(spark):
-    from pyspark.sql import functions as F
-
     one = series(spark, [("hot ring", [30.0] * 48, Z), ("cold ring", [30.0] * 48, Z), ("hot rod", [10.0] * 48, Z)]).drop("run_id")
     s = one.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in "abc"])))
     spec = season_spec(spark, [("a", "Ring", "RING", None, None, None), ("b", "rod", None, "cold", 100.0, [])], [("a", 5, "late", "ring"), ("a", 2, "early", "HOT"), ("b", 0, "all", ".")])
