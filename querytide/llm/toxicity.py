@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.stage import staged
 from . import texthash
 
 TERMS = 1 << 20
@@ -28,7 +30,7 @@ BATCH = 1000
 RATE = 0.05
 EPS = 1e-4
 L2_FACTORS = 1e-4
-CHANCE = 5.0  # weights shrink by as many standard deviations of their gradient as chance alone gives
+CHANCE = 8.0  # weights shrink by as many standard deviations of their gradient as chance alone gives; picked by three folds inside the training rows
 
 
 def term_rows(c: texthash.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -72,56 +74,81 @@ class Model:
 
 
 def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int = 8, rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """Adam on the log loss in batches of BATCH rows; `row` (rising), `term` are the distinct terms of each of the rows of `y`.
+    """`fit_lists` for pairs: `row` (rising), `term` are the distinct terms of each of the rows of `y`."""
+    return fit_lists(np.searchsorted(row, np.arange(len(y) + 1)), term, y, factors, rounds, seed)
+
+
+def fit_lists(
+    offsets: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int = 8, rounds: int = ROUNDS, seed: int = 5, rate: float = RATE, l2: float = L2_FACTORS, chance: float = CHANCE
+) -> Model:
+    """Adam on the log loss in batches of BATCH rows; row i of `y` has the distinct terms term[offsets[i]:offsets[i + 1]].
 
     Every term of 4 rows at least gets a weight and factors, whatever it says by itself: a term that is neutral alone
-    may count next to another. Weights shrink towards zero together with the fit (CHANCE), factors by their square. Without rows of both labels the model is a constant.
+    may count next to another. Weights shrink towards zero together with the fit (`chance`), factors by their square (`l2`). Without rows of both labels the model is a constant.
+    The terms are held once, in 32 bits; a batch takes its rows' terms times factors in single precision.
     """
     n, hits = len(y), float(y.sum())
     bias = float(np.log((hits + 0.05) / (n - hits + 1.0)))
     if not n or hits in (0.0, float(n)):
         return Model(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     terms = np.flatnonzero(np.bincount(term, minlength=TERMS) >= 4)
-    place = np.full(TERMS, -1)
-    place[terms] = np.arange(len(terms))
-    known = place[term] >= 0
-    row, at = row[known], place[term[known]]
-    order = np.argsort(row, kind="stable")
-    at = at[order]
-    bounds = np.searchsorted(row[order], np.arange(n + 1))
-    size = len(terms)
+    place = np.full(TERMS, -1, np.int32)
+    place[terms] = np.arange(len(terms), dtype=np.int32)
+    at = place[term]
+    known = at >= 0
+    bounds = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))[offsets]
+    at = at[known]
+    del known, place
+    size, width = len(terms), factors + 1
+    share = hits / n
+    shrink = (chance * np.sqrt(np.bincount(at, minlength=size) * share * (1 - share)) / n).astype(np.float32)
     rng = np.random.default_rng(seed)
-    p = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.01, (size, factors))], 1)  # weight, factors
-    m, s = np.zeros_like(p), np.zeros_like(p)
+    p = np.zeros((size, width), np.float32)  # weight, factors
+    p[:, 1:] = rng.normal(0, 0.01, (size, factors))
+    m, s, step, work = (np.zeros_like(p) for _ in range(4))
     b, mb, sb, t = bias, 0.0, 0.0, 0
-    share = hits / n
-    chance = CHANCE * np.sqrt(np.bincount(at, minlength=size) * share * (1 - share)) / n
-    decay = np.array([0.0] + [L2_FACTORS] * factors)
     for _ in range(rounds):
         shuffled = rng.permutation(n)
         for part in np.array_split(shuffled, -(-n // BATCH)):
             t += 1
             counts = bounds[part + 1] - bounds[part]
-            here = np.repeat(np.arange(len(part)), counts)
-            flat = at[np.arange(len(here)) + np.repeat(bounds[part] - (np.cumsum(counts) - counts), counts)]
+            ends = np.cumsum(counts)
+            flat = at[np.arange(ends[-1]) + np.repeat(bounds[part] - (ends - counts), counts)]
+            here = np.repeat(np.arange(len(part), dtype=np.int32), counts)
             own = p[flat]
-            over = lambda a, k: np.bincount(here, a[:, k], len(part))
-            sums = np.stack([over(own, k) for k in range(1, factors + 1)], 1)
-            squares = np.bincount(here, (own[:, 1:] ** 2).sum(1), len(part))
-            margin = b + over(own, 0) + 0.5 * ((sums**2).sum(1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(margin, -60, 60))) - y[part]) / len(part)
-            step = np.concatenate([np.ones((len(flat), 1)), sums[here] - own[:, 1:]], 1) * error[here][:, None]
-            back = np.stack([np.bincount(flat, step[:, k], size) for k in range(factors + 1)], 1)
-            g = back + decay * p
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            rate = RATE / (np.sqrt(s / (1 - 0.99**t)) + EPS)
-            p -= rate * (m / (1 - 0.9**t))
-            p[:, 0] -= np.clip(p[:, 0], -rate[:, 0] * chance, rate[:, 0] * chance)
+            some = np.flatnonzero(counts)
+            sums = np.zeros((len(part), width), np.float32)
+            squares = np.zeros(len(part), np.float32)
+            if len(some):
+                starts = (ends - counts)[some]
+                sums[some] = np.add.reduceat(own, starts, axis=0)
+                squares[some] = np.add.reduceat(np.einsum("ij,ij->i", own[:, 1:], own[:, 1:]), starts)
+            margin = b + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares)
+            error = ((1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -60, 60))) - y[part]) / len(part)).astype(np.float32)
+            sums[:, 0] = 1.0
+            own[:, 0] = 0.0
+            np.subtract(sums[here], own, out=own)
+            own *= error[here][:, None]
+            for k in range(width):
+                step[:, k] = np.bincount(flat, own[:, k], size)
+            del own, here, flat
+            np.multiply(p[:, 1:], l2, out=work[:, 1:])
+            step[:, 1:] += work[:, 1:]
+            m += np.multiply(np.subtract(step, m, out=work), 0.1, out=work)
+            np.multiply(step, step, out=step)
+            s += np.multiply(np.subtract(step, s, out=work), 0.01, out=work)
+            np.sqrt(np.divide(s, 1 - 0.99**t, out=work), out=work)
+            work += EPS
+            np.divide(rate, work, out=work)
+            np.multiply(m, 1 / (1 - 0.9**t), out=step)
+            step *= work
+            p -= step
+            least = work[:, 0] * shrink
+            p[:, 0] -= np.clip(p[:, 0], -least, least)
             gb = float(error.sum())
             mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-            b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + EPS)
-    return Model(b, terms, p[:, 0], p[:, 1:].astype(np.float32))
+            b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + EPS)
+    return Model(b, terms, p[:, 0].astype(np.float64), p[:, 1:])
 
 
 def fold(id_column: str, of: int, which: int) -> Column:
@@ -154,13 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 16
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "y", "terms"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text", "y").mapInArrow(terms, f"doc_id {kind}, y double, terms array<int>").orderBy("doc_id").toArrow()
-    lists = got.column("terms").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    y = got.column("y").to_numpy()
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, int)
-    return fit(np.repeat(np.arange(len(y)), lengths), lists.flatten().to_numpy().astype(np.int64), y)
+    made = staged(rows.select("doc_id", "text", "y").mapInArrow(terms, f"doc_id {kind}, y double, terms array<int>"))
+    got = made.orderBy("doc_id").select("y", "terms").toArrow()  # at most `sample` rows
+    lengths = pc.list_value_length(got.column("terms")).to_numpy().astype(np.int64) if got.num_rows else np.zeros(0, np.int64)
+    parts = [c.flatten().to_numpy() for c in got.column("terms").chunks] or [np.zeros(0, np.int32)]
+    y, flat = got.column("y").to_numpy(), parts[0] if len(parts) == 1 else np.concatenate(parts)
+    del got, parts
+    return fit_lists(np.concatenate(([0], np.cumsum(lengths))), flat, y)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -1,5 +1,6 @@
 """Toxicity and quality: held-out accuracy, hard rows, and an interaction that linear weights miss."""
 
+import re
 import zlib
 
 import numpy as np
@@ -41,18 +42,43 @@ def test_labels_of_the_fold_do_not_matter(spark):
     assert one == two
 
 
-def test_pairs_of_terms_are_learned():
-    """Toxic only if both terms stand together: no sum of weights can say it (exclusive or)."""
-    rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
-    y = (a == b).astype(float)
-    row = np.concatenate([np.flatnonzero(a == 1), np.flatnonzero(b == 1), np.flatnonzero(a & b), np.flatnonzero((a == 1) & (b == 0)), np.arange(2000)])
-    term = np.concatenate([np.full((a == 1).sum(), 5), np.full((b == 1).sum(), 6), np.full((a & b).sum(), 7), np.full(((a == 1) & (b == 0)).sum(), 8), np.full(2000, 9)])
-    keep = term < 7
-    m = toxicity.fit(row[keep], term[keep], np.where((a == 1) & (b == 1), 1.0, 0.0))
-    assert set(m.terms) == {5, 6}
-    x = lambda t: m.bias + sum(m.weights[list(m.terms).index(k)] for k in t) + (float(m.factors[0] @ m.factors[1]) if len(t) == 2 else 0)
-    assert x([5, 6]) > 0 > max(x([5]), x([6]), x([])) and y.size == 2000
+def plain_terms(text):
+    """Words and their first bytes, hashed one by one with the library's string hash."""
+    from querytide.llm import texthash
+
+    out = set()
+    for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))):
+        for k in [None, *toxicity.PREFIXES]:
+            if k is None or len(w) > k:
+                part = np.frombuffer(w[:k], np.uint8)
+                h = texthash.Rolling(texthash.VALUES[part]).hash(np.array([0]), np.array([len(part)]))[0]
+                out.add(int((h ^ texthash.U(k) if k else h) % texthash.U(toxicity.TERMS)))
+    return out
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """Every score is the sigmoid of bias, weights and the products of all pairs of terms."""
+    rows = [(i, ("Idiot you " if i % 3 == 0 else "calm they ") + f"word{i % 7} anotherlongword{i % 5}", "en", "s", 0) for i in range(80)]
+    docs = documents(spark, rows + [(900, None, None, None, 0), (901, "", "", "", 0), (902, "IDIOT idiot calm " * 300, "", "", 0)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, toxicity.fold("doc_id", 4, 2))
+    place = {int(t): k for k, t in enumerate(model.terms)}
+    assert len(place) > 10
+    for r in toxicity.score(docs, model).collect():
+        at = [place[t] for t in plain_terms(r.text) if t in place]
+        margin = model.bias + sum(model.weights[k] for k in at)
+        margin += sum(float(model.factors[j] @ model.factors[k]) for i, j in enumerate(at) for k in at[:i])
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-5, r.doc_id
+
+
+def test_lists_and_pairs_fit_alike():
+    rng = np.random.default_rng(2)
+    lists = [np.unique(rng.integers(0, 30, rng.integers(0, 9))) for _ in range(300)]
+    y = np.array([float(3 in x and 7 in x) for x in lists])
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    one = toxicity.fit_lists(offsets, np.concatenate(lists).astype(np.int32), y)
+    two = toxicity.fit(np.repeat(np.arange(300), np.diff(offsets)), np.concatenate(lists), y)
+    assert one.bias == two.bias and (one.weights == two.weights).all() and (one.factors == two.factors).all()
 
 
 def test_pairs_of_neutral_terms_are_learned():
