@@ -1,13 +1,14 @@
 """Names from a table found in texts: many patterns at once, as data.
 
 Names and texts meet by an equi-join on pieces of the text without its spaces, of the lengths that names of the run
-have. A hit is then mapped back to its place in the spaced text, where its boundaries are tested. A run's names may be
+have. The names are staged, so the planner knows whether they can go to every task. A hit is then mapped back to its place in the spaced text, where its boundaries are tested. A run's names may be
 a handful or thousands; nothing is compared name by name.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cols, rank
+from ..functions.stage import staged
 
 LETTERS = "[a-z0-9]"
 
@@ -36,11 +37,11 @@ def holding(texts: DataFrame, names: DataFrame, text: str = "text", distinct: bo
 
     With `distinct` one row for each name of a text, its first place, else every place. Only the text and the piece go through the join.
     """
-    keys = names.select("run_id", "core").distinct()
+    keys = staged(names.select("run_id", "core").distinct())
     lengths = keys.groupBy("run_id").agg(F.array_sort(F.collect_set(F.length("core"))).alias("_lens"))
     rows = rank.attached(texts.select("run_id", F.col(text).alias("text")).distinct(), lengths, ["run_id"])
     found = rows.select("run_id", "text", F.explode(pieces(F.replace("text", F.lit(" "), F.lit("")), F.col("_lens"))).alias("p")).select("run_id", "text", "p.*")
-    found = found.join(keys, ["run_id", "core"]).select("run_id", "text", "core", "i")
+    found = rank.attached(found, keys, ["run_id", "core"]).select("run_id", "text", "core", "i")
     return found.groupBy("run_id", "text", "core").agg(F.min("i").alias("i")) if distinct else found
 
 
@@ -50,7 +51,7 @@ def occurrences(texts: DataFrame, names: DataFrame, text: str = "text") -> DataF
     names: run_id, kind, core, bound. at and size are in the spaced text; token is what stands before in the same word. A bound
     name of Latin letters and digits only counts where neither side touches another of them.
     """
-    found = holding(texts, names, text, distinct=False).join(names.select("run_id", "kind", "core", "bound").distinct(), ["run_id", "core"])
+    found = holding(texts, names, text, distinct=False).join(staged(names.select("run_id", "kind", "core", "bound").distinct()), ["run_id", "core"])
     t, n = F.col("text"), F.length("core")
     spots = places(t)
     found = found.withColumn("_spots", spots).withColumn("at", F.get("_spots", F.col("i") - 1)).withColumn("_end", F.get("_spots", F.col("i") + n - 2) + 1)
