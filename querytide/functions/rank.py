@@ -6,11 +6,14 @@ to sort it downwards, and end with a unique tie-break.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import NumericType
 
 from .stage import staged
 
 GROUP_LIMIT = 1000  # Spark cuts row_number() <= k before the shuffle up to this k
 SALTS = 64
+BLOCK_END = 1 << 30  # beyond the block of any finite number
+REACH_BLOCKS = 1024  # a block is 0.07 % wide
 BROADCAST_ROWS = 100_000  # runs (or bundles) whose bounds may go to every task
 
 
@@ -28,12 +31,14 @@ def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None) -> DataFrame:
     """First n rows per key, with their position when `rank` names a column.
 
-    Each task keeps at most n rows per key before the final ranking sees them: Spark's own group
-    limit does this before the shuffle up to GROUP_LIMIT, a salted first pass after one shuffle beyond.
+    Each task keeps at most n rows per key before the final ranking sees them: up to GROUP_LIMIT Spark's own group
+    limit does this before the shuffle. Beyond, where the order begins with a number, a histogram of it tells the block of values in which the
+    n-th row lies, and only rows up to that block go on (`within_reach`); a salted first pass after one shuffle cuts blocks that hold many ties.
     """
     out = rank or "_rn"
     w = W.partitionBy(*keys).orderBy(*order)
     if n > GROUP_LIMIT:
+        df = within_reach(df, keys, order, n)
         salted = df.withColumn("_salt", _salt(order))
         first = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_srn", F.row_number().over(first)).where(F.col("_srn") <= n).drop("_salt", "_srn")
@@ -41,6 +46,25 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None
     return ranked if rank else ranked.drop(out)
 
 
+def within_reach(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """Rows that can be among the first n of their key by the leading order value alone.
+
+    Values fall into REACH_BLOCKS ordered blocks per doubling; their counts, summed before the shuffle, give the block of the n-th row.
+    Unchanged where the order does not begin with a number.
+    """
+    lead = order[0] if isinstance(order[0], Column) else F.col(order[0])
+    if not isinstance(df.select(lead.alias("_v")).schema[0].dataType, NumericType):
+        return df
+    v = lead.cast("double")
+    endless = F.abs(v) == float("inf")
+    block = F.when(v.isNull(), -BLOCK_END - 1).when(F.isnan(v), BLOCK_END + 1).when(endless, F.signum(v) * BLOCK_END).otherwise(_value_block(v, REACH_BLOCKS)).cast("long")
+    counts = df.groupBy(*keys, block.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # blocks, not rows
+    reach = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_before") < n).groupBy(*keys).agg(F.max("_b").alias("_reach"))
+    rows = attached(df, reach, keys, how="left")  # a null key meets no reach; its rows all go on
+    return rows.where(F.col("_reach").isNull() | (block <= F.col("_reach"))).select(*df.columns)
+
+
 def attached(df: DataFrame, stats: DataFrame, keys: list[str], *columns, how: str = "inner") -> DataFrame:
     """Every row with the one row its key has in `stats` (with the keys and `columns` of it, if named).
 
@@ -81,9 +105,9 @@ def positions(df: DataFrame, keys: list[str], order: list, out: str) -> DataFram
     return running_total(df, keys, order, F.lit(1), out).withColumn(out, (F.col(out) + 1).cast("long"))
 
 
-def _value_block(v: Column) -> Column:
-    """Ordered block number of a number: 64 blocks per doubling, a pure function of the value."""
-    size = F.floor(F.log2(F.abs(v)) * 64) + 70000
+def _value_block(v: Column, per: int = 64) -> Column:
+    """Ordered block number of a number: `per` blocks per doubling, a pure function of the value."""
+    size = F.floor(F.log2(F.abs(v)) * per) + 1100 * per
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size)
 
 
@@ -127,14 +151,31 @@ def exact_medians(df: DataFrame, keys: list[str], values: dict[str, str], upper:
 def pct_rank_mid(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
     """Mid percentile ranks: half the share below plus half the share at or below; a lone value ranks 1.
 
-    NULL marks rows that are not part of a distribution; their rank is NULL.
+    NULL marks rows that are not part of a distribution; their rank is NULL. A value that a large share of a key's rows has
+    (zero, as a rule) would bring them all to one task: the ranks of such values, at most SALTS an axis, go to the rows as a list of their
+    key, and only rows with other values are joined by value.
     """
     freq = _frequencies(_stacked(df, keys, list(values.values())), [*keys, "_axis"])
     mid = F.when(F.col("_size") == 1, F.lit(1.0)).otherwise((F.col("_less") + F.col("_less") + F.col("_cnt")) / 2 / F.col("_size"))
+    freq = staged(freq.withColumn("_mid", mid))
+    often = freq.where(F.col("_cnt") * SALTS > F.col("_size")).groupBy(*keys).agg(F.collect_list(F.struct("_axis", "_v", "_mid")).alias("_often"))
+    columns = df.columns
+    df = attached(df, often, keys, how="left")
     for out, v in values.items():
-        ranks = freq.where(F.col("_axis") == v).select(*keys, F.col("_v").alias("_match"), mid.alias(out))
-        df = df.withColumn("_match", F.col(v).cast("double")).join(ranks, [*keys, "_match"], "left").drop("_match")
-    return df
+        df, ranks = spread_by_value(df, v, out), freq.where(F.col("_axis") == v).select(*keys, F.col("_v").alias("_match"), F.lit(0).alias("_salt"), F.col("_mid"))
+        df = df.join(ranks, [*keys, "_match", "_salt"], "left").withColumn(out, F.coalesce(out, "_mid")).drop("_match", "_salt", "_mid")
+    return df.select(*columns, *values)
+
+
+def spread_by_value(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds `out`, the rank of a frequent value (from `_often`), `_match`, the value where it is not frequent, and `_salt`.
+
+    Rows without `_match` are not looked up; the salt spreads them, for equal keys, null among them, go to one task.
+    """
+    v = F.col(value).cast("double")
+    hit = F.get(F.filter("_often", lambda x: (x["_axis"] == value) & (x["_v"] == v)), F.lit(0))["_mid"]
+    df = df.withColumn(out, hit).withColumn("_match", F.when(F.col(out).isNull(), v))
+    return df.withColumn("_salt", F.when(F.col("_match").isNull(), F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if c not in ("_often", "_match", out) and "map<" not in kind]), F.lit(SALTS - 1)) + 1).otherwise(0).cast("int"))
 
 
 def min_max(value, lo, hi) -> Column:

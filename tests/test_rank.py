@@ -45,6 +45,23 @@ def test_top_n_matches_a_sort_below_and_above_the_group_limit(spark):
         assert {(r.run_id, r.keyword): r.rn for r in got} == want
 
 
+def test_top_n_sends_on_only_rows_within_reach(spark):
+    """A run of 300,000 rows: below 2 n of them pass the histogram, whatever the sign and the order; ties and odd values stay right."""
+    run = spark.range(300_000).select(F.lit("a").alias("run_id"), F.concat(F.lit("k"), "id").alias("keyword"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1000 - 5e5).alias("v"), F.col("id").alias("ord"))
+    for order in ([-F.col("v"), F.col("ord")], [F.col("v"), F.col("ord")]):
+        left = rank.within_reach(run, ["run_id"], order, 2000)
+        assert 2000 <= left.count() < 4000
+        want = [r.ord for r in run.orderBy(*order).limit(2000).collect()]
+        assert [r.ord for r in rank.top_n(run, ["run_id"], order, 2000, "rn").orderBy("rn").collect()] == want
+    odd = [("a", "x", x, k) for k, x in enumerate([None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-320, -1e308, 1e308, 5.0] * 200)]
+    rows = frame(spark, odd + [(None, "y", 1.0, 1)])
+    for n in (1100, 1500):
+        want = {r.ord for r in rows.where("run_id = 'a'").orderBy("v", "ord").limit(n).collect()}
+        got = rank.top_n(rows, ["run_id"], [F.col("v"), F.col("ord")], n).collect()
+        assert {r.ord for r in got if r.run_id == "a"} == want and sum(r.run_id is None for r in got) == 1
+    assert rank.within_reach(rows, ["run_id"], [F.col("keyword")], 3) is rows
+
+
 def test_positions_are_dense_and_in_order(spark):
     rows = sample(3000)
     got = rank.positions(frame(spark, rows), ["run_id"], [-F.col("v"), F.col("ord")], "pos").collect()
@@ -73,6 +90,33 @@ def test_percentile_rank_counts_ties_half_and_a_lone_value_as_one(spark):
         assert abs(r.p - want) < 1e-12
 
 
+def test_frequent_values_do_not_go_to_one_task(spark):
+    """Nine of ten rows are zero or out of the distribution: no key of the join by value has more than a tenth of the rows."""
+    rows = [("a", f"k{k}", None if k % 3 == 0 else 0.0 if k % 10 else float(k % 700), k) for k in range(6000)]
+    df = frame(spark, rows).withColumn("w", F.col("v") + 1).withColumn("m", F.create_map(F.lit("x"), F.col("v")))
+    seen = {}
+    split = rank.spread_by_value
+
+    def watched(df, value, out):
+        got = split(df, value, out)
+        seen[value] = max(r["count"] for r in got.groupBy("run_id", "_match", "_salt").count().collect())
+        return got
+
+    rank.spread_by_value = watched
+    try:
+        got = rank.pct_rank_mid(df, ["run_id"], {"p": "v", "q": "w"}).drop("m").collect()
+    finally:
+        rank.spread_by_value = split
+    assert max(seen.values()) < 600
+    vs = sorted(x[2] for x in rows if x[2] is not None)
+    import bisect
+
+    for r in got:
+        want = None if r.v is None else (bisect.bisect_left(vs, r.v) + bisect.bisect_right(vs, r.v)) / 2 / len(vs)
+        assert (r.p is None and r.q is None) if want is None else abs(r.p - want) < 1e-12 and r.q == r.p
+    assert len(got) == 6000
+
+
 def test_percentile_rank_ignores_rows_outside_the_distribution(spark):
     rows = [("a", "x", 1.0, 1), ("a", "y", None, 2), ("a", "z", 3.0, 3)]
     got = {r.keyword: r.p for r in rank.pct_rank_mid(frame(spark, rows), ["run_id"], {"p": "v"}).collect()}
