@@ -39,7 +39,9 @@ def test_query_cluster_journey_and_total_reports(spark, tmp_path):
 def test_demand_and_season_reports(spark):
     d = Domain(spark, SF)
     filled(reports.demand_report(d.monthly, fd.bundles(d)), ("steps", "sum_check"))
-    filled(reports.season_report(d.monthly, spark.createDataFrame(fs.SETUP, "run_id string, seed string, rel string, exc string, min_total double, skip array<string>"), fs.themes_of(d)), ("co_spikes", "trends", "theme_odd"))
+    first = {r.run_id: r.k for r in d.monthly.groupBy("run_id").agg(F.max_by("keyword", "total").alias("k")).collect()}  # seeds that are there at this size
+    setup = [(run, first[run], *rest) for run, _, *rest in fs.SETUP]
+    filled(reports.season_report(d.monthly, spark.createDataFrame(setup, "run_id string, seed string, rel string, exc string, min_total double, skip array<string>"), fs.themes_of(d)), ("co_spikes", "trends", "theme_odd"))
 
 
 def test_brand_report(spark):
