@@ -187,6 +187,10 @@ def op9(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_proximity(spark, sf_dir):
+    return decontaminate.nearby(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _words_sql(text: str) -> str:
     return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -300,6 +304,7 @@ QUERIES = {
     "op7_quality": op7,
     "op8_line_dedup": op8,
     "op9_decontamination": op9,
+    "op9_proximity": op9_proximity,
     "op10_top_k": op10,
     "op11_vector_codes": op11,
     "op12_hard_negatives": op12,
