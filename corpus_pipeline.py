@@ -49,26 +49,40 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cut.where(left).select("doc_id", "text", "lang", "source", chars.alias("n_chars"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and `_key`: doc_id (rows without one last) and 128 bits of the text.
+
+    Rows of the same key have the same text, so decisions on a text reach exactly its rows, also where ids repeat or are missing.
+    """
+    bits = [F.xxhash64(F.lit(seed), "text").alias(f"bits{seed}") for seed in (1, 2)]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), *bits)
+    return docs.select(*COLUMNS, key.alias("_key"))
+
+
 @stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of every group of near-duplicates; rows that repeat it count once."""
-    groups = staged(jaccard_join.classes(docs))
-    gone = staged(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    # rows of the kept id itself: a repeated row is a copy as well
-    several = staged(groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    """The document with the least doc_id of every group of near-duplicates, one row of it.
+
+    Rows without doc_id come after all others; texts without words are no duplicates of each other.
+    """
+    rows = keyed(docs)
+    groups = staged(jaccard_join.classes(rows.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key"))
+    gone = staged(groups.where("_key <> component_id").select("_key").distinct())
+    several = staged(groups.where("n_shingles > 0 and _key = component_id").groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
     small = line_dedup.small_side
-    kept = docs.select(*COLUMNS).join(small(gone), "doc_id", "left_anti")
-    again = kept.join(small(several), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(several), "doc_id", "left_anti").unionByName(again).select(*COLUMNS)
+    kept = rows.join(small(gone), "_key", "left_anti")
+    again = kept.join(small(several), "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(small(several), "_key", "left_anti").unionByName(again).select(*COLUMNS)
 
 
 @stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item (nor a shorter item as a whole)."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.matches(staged(decontaminate.index(docs)), items)
-    hit = staged(found.select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(line_dedup.small_side(hit), "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = decontaminate.matches(staged(decontaminate.index(rows, "_key")), items)
+    hit = staged(found.select(F.col("doc_id").alias("_key")).distinct())
+    return rows.join(line_dedup.small_side(hit), "_key", "left_anti").select(*COLUMNS)
 
 
 @stage
