@@ -28,6 +28,15 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in got) == [3, 7, 8, 9]
 
 
+def test_groups_of_rows_that_share_an_id_or_have_none(spark):
+    """A row goes for its own text: not for that of another row of its id, and not because it has no id."""
+    a, b, c, d = (sentence(k, 80) for k in range(11, 15))
+    near = a.replace(a.split()[40], "changed")
+    rows = [(None, a, "en", "s", 1), (4, near, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "fr", "t", 1), (4, c, "en", "s", 1), (6, c, "en", "s", 1), (6, d, "en", "s", 1), (None, None, "en", "s", 0), (None, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    got = pipeline.one_of_each_group(spark, documents(spark, rows, extra=["_key", "component_id"]), SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(4, near), (0, b), (4, c), (6, d), (0, ""), (0, ""), (0, "")])
+
+
 def test_lines_and_counts_of_characters(spark):
     line = sentence(1, 20)
     rows = [(1, line, "en", "s", len(line)), (2, line, "en", "s", len(line)), (3, line + "\nown words here", "en", "s", 1), (4, "", "en", "s", 0), (5, None, "en", "s", 0)]
@@ -38,7 +47,9 @@ def test_lines_and_counts_of_characters(spark):
 def test_benchmark_passages_go_and_clean_documents_stay(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     rows = [(1, "before " + item + " after", "en", "s", 1), (2, "clean words only", "en", "s", 1), (3, None, "en", "s", 0)]
-    assert {r.doc_id for r in pipeline.without_benchmark(spark, documents(spark, rows), SF).collect()} == {2, 3}
+    rows += [(None, item, "en", "s", 1), (None, "no words of it", "en", "s", 1), (None, None, "en", "s", 0), (4, item, "en", "s", 1), (4, "a clean text of the same id", "en", "s", 1)]
+    got = pipeline.without_benchmark(spark, documents(spark, rows, extra=["_key", "row"]), SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "no words of it"), (2, "clean words only"), (3, ""), (4, "a clean text of the same id")]
 
 
 def test_empty_table(spark):
