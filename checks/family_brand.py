@@ -6,7 +6,10 @@ from querytide.operators import brand as op
 from .domain import NOUNS, Domain, _index, sql_index
 from .sqlkit import R, check, piece
 
-OWN, WATCH = "brand#2", ["brand#3", "brand#14"]
+SETUP = [  # run, own brand, own words, watched brands
+    ("automobile", "brand#2", ["brand#2"], ["brand#3", "brand#14"]), ("building", "brand#5", ["Brand#5", "blue"], ["brand#1"]), ("furniture", "brand#7", ["brand#7", "old"], ["brand#2", "brand#4", "brand#14"]),
+    ("household", "brand#1", [], []), ("machinery", None, ["small"], ["brand#9"]),
+]
 NAMES = [(f"brand#{k}", f"brand#{k}") for k in [*range(1, 10), 14]] + [("brand#2", "b2 co"), ("brand#5", "blue"), ("brand#7", "Old")]
 EXCLUDES = [("brand#2", f"brand#2{k}") for k in range(6)]
 CATS = [("anvil", "g1", False, "selling"), ("bolt", "g1", False, "partly"), ("gear", "g1", True, "selling"),
@@ -25,6 +28,10 @@ class Brands:
     def each_run(self, rows, schema):
         return self.dom.each_run(rows, schema)
 
+    @property
+    def setup(self):
+        return self.dom.stage("brand setup", lambda: self.dom.spark.createDataFrame(SETUP, "run_id string, own_brand string, own_words array<string>, watch array<string>"))
+
     @property
     def names(self):
         return self.each_run(NAMES, "brand string, name string")
@@ -68,7 +75,7 @@ class Brands:
 
     @property
     def mods(self):
-        return self.dom.stage("modifiers", lambda: op.category_modifiers(self.lists, [OWN]))
+        return self.dom.stage("modifiers", lambda: op.category_modifiers(self.lists, self.setup))
 
     @property
     def shares(self):
@@ -80,7 +87,7 @@ class Brands:
 
     @property
     def verdicts(self):
-        return self.dom.stage("brand verdicts", lambda: op.naming_verdict(self.ratios, self.shares, OWN))
+        return self.dom.stage("brand verdicts", lambda: op.naming_verdict(self.ratios, self.shares, self.setup))
 
     @property
     def journeys(self):
@@ -102,7 +109,7 @@ class Brands:
 
     @property
     def axes(self):
-        return op.journey_axis(self.index, ["run_id", "category"], OWN, self.journeys)
+        return op.journey_axis(self.index, ["run_id", "category"], self.setup, self.journeys)
 
     @property
     def facet_index(self):
@@ -110,13 +117,13 @@ class Brands:
 
     @property
     def facet_axes(self):
-        return op.journey_axis(self.facet_index, ["run_id", "category", "facet"], OWN, self.facet_journeys)
+        return op.journey_axis(self.facet_index, ["run_id", "category", "facet"], self.setup, self.facet_journeys)
 
     @property
     def facets(self):
         w = F.split("keyword", " ")
         cat = self.dom.metrics.select("run_id", w[2].alias("category"), w[1].alias("facet")).distinct()
-        return self.dom.stage("facets", lambda: op.facet_metrics(cat, self.volumes, OWN))
+        return self.dom.stage("facets", lambda: op.facet_metrics(cat, self.volumes, self.setup))
 
     @property
     def deep_facets(self):
@@ -126,7 +133,7 @@ class Brands:
 
     @property
     def evidence(self):
-        own = self.hits.where(F.col("brand") == OWN).select("run_id", "query")
+        own = op.with_setup(self.hits, self.setup, "own_brand").where(op.is_own()).select("run_id", "query")
         mine = self.dom.journeys.withColumn("query", F.get("seq", F.lit(0))).join(own, ["run_id", "query"], "left_semi")
         return op.category_evidence(self.categories, mine, own, self.lists, self.mods, self.verdicts)
 
@@ -144,7 +151,7 @@ class Brands:
 
     @property
     def rivals(self):
-        return op.competitors(self.shares, OWN)
+        return op.competitors(self.shares, self.setup)
 
 
 def on(f):
@@ -155,6 +162,9 @@ def values(rows):
     return "(VALUES " + ",".join("(" + ",".join("NULL" if x is None else repr(x) if not isinstance(x, bool) else str(x).lower() for x in r) + ")" for r in rows) + ")"
 
 
+piece("q_set", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {repr(o) if o else 'NULL'}, {w}::VARCHAR[], {x}::VARCHAR[])" for r, o, w, x in SETUP) + ") v(run_id, own_brand, own_words, watch)")
+MINE = "(FROM q_set z WHERE z.run_id={0}.run_id AND z.own_brand={0}.brand)"
+HOLDS = "len(list_filter(own_words, lambda w: contains({}, lower(w))))>0"
 piece("q_runs", "SELECT DISTINCT run_id FROM q_metrics")
 piece("q_names", f"SELECT * FROM {values(NAMES)} v(brand, name)")
 piece("q_cats", f"""SELECT * FROM q_runs, {values([(c, k, g, d, p) for k, (c, g, d, p) in enumerate(CATS)])} v(category, cord, "group", deep, presence)""")
@@ -173,7 +183,7 @@ SELECT run_id, split_part(keyword,' ',2) || CASE WHEN split_part(keyword,' ',2)=
 SELECT run_id, split_part(keyword,' ',3), sum(volume_total)*3*{sql_index(NOUNS, "split_part(keyword,' ',3)")} FROM q_metrics GROUP BY run_id, split_part(keyword,' ',3)""")
 piece("q_vns", "SELECT run_id, replace(keyword,' ','') AS key, max(volume) AS volume FROM q_volumes GROUP BY ALL")
 piece("q_mods", f"""
-SELECT run_id, category, rank, query, trim(left(query, length(query)-length(category))) AS modifier, contains(left(query, length(query)-length(category)), '{OWN}') AS own FROM q_lists""")
+SELECT run_id, category, rank, query, trim(left(query, length(query)-length(category))) AS modifier, {HOLDS.format("left(query, length(query)-length(category))")} AS own FROM q_lists JOIN q_set USING (run_id)""")
 check("I1_brand_match", on(lambda b: b.hits), "SELECT * FROM q_hits")
 check("I2_category_modifiers", on(lambda b: op.unique_modifiers(b.mods)),
       "SELECT run_id, category, modifier, min(rank) AS rank, bool_or(own) AS own FROM q_mods GROUP BY ALL")
@@ -181,7 +191,7 @@ check("I2_category_modifiers", on(lambda b: op.unique_modifiers(b.mods)),
 
 def _candidates(b):
     seq = F.concat(F.array(F.col("category")), F.col("tail"))
-    return op.journey_candidates(b.journeys.withColumn("seq", seq), [OWN], b.listed)
+    return op.journey_candidates(b.journeys.withColumn("seq", seq), b.setup, b.listed)
 
 
 piece("q_cj", """
@@ -189,7 +199,7 @@ SELECT run_id, path_id, split_part(any_value(node) FILTER (pos=0),' ',3) AS cate
 check("I3_journey_candidates", on(_candidates), f"""
 SELECT run_id, category, node, n, pos::int AS pos, EXISTS (FROM {values(LISTED)} l(c, b) WHERE c=category AND contains(node, b)) AS known FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id, category ORDER BY n DESC, node) AS pos FROM (
-    SELECT s.run_id, category, node, count(*) AS n FROM q_steps s JOIN q_cj USING (run_id, path_id) WHERE pos<=2 AND NOT contains(replace(node,' ',''), category) AND NOT contains(node, '{OWN}') GROUP BY ALL))
+    SELECT s.run_id, category, node, count(*) AS n FROM q_steps s JOIN q_cj USING (run_id, path_id) JOIN q_set USING (run_id) WHERE pos<=2 AND NOT contains(replace(node,' ',''), category) AND NOT {HOLDS.format("node")} GROUP BY ALL))
 WHERE pos<=22""")
 piece("q_asked", """
 SELECT run_id, query, cord, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, query ORDER BY cord, rank) AS k FROM (
@@ -228,10 +238,10 @@ def two_x(o, t, floor):
 check("I7_two_x_axis", on(lambda b: b.shares.select("run_id", "category", "brand", cols.two_x("volume", "queries", 100).alias("axis"))),
       f"SELECT run_id, category, brand, {two_x('volume', 'queries', 100)} AS axis FROM q_shares")
 piece("q_rivals", f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, category ORDER BY volume DESC, brand) AS pos FROM q_shares WHERE brand<>'{OWN}') WHERE pos<=8""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, category ORDER BY volume DESC, brand) AS pos FROM q_shares s WHERE NOT EXISTS {MINE.format("s")}) WHERE pos<=8""")
 piece("q_naming", f"""
 SELECT *, CASE WHEN branded<1000 OR name_ratio<10 THEN 'none' ELSE {two_x('coalesce(own_share,0)', 'coalesce(top_share,0)', 0)} END AS verdict FROM q_ratios
-LEFT JOIN (SELECT run_id, category, volume AS own_volume, share AS own_share, queries AS own_queries FROM q_shares WHERE brand='{OWN}') USING (run_id, category)
+LEFT JOIN (SELECT run_id, category, volume AS own_volume, share AS own_share, queries AS own_queries FROM q_shares s WHERE EXISTS {MINE.format("s")}) USING (run_id, category)
 LEFT JOIN (SELECT run_id, category, brand AS top_brand, share AS top_share FROM q_rivals WHERE pos=1) USING (run_id, category)""")
 check("I8_naming_verdict", on(lambda b: b.verdicts.withColumn("own_queries", F.coalesce("own_queries", F.lit(0)))),
       "SELECT * REPLACE (coalesce(own_queries,0) AS own_queries) FROM q_naming")
@@ -253,9 +263,9 @@ def axis_sql(index, keys, every):
     return f"""
 SELECT *, {two_x('own_n', 'top_n', 3)} AS axis FROM (SELECT {k}, coalesce(own_n,0) AS own_n, own_step, "top", coalesce(top_n,0) AS top_n, top_step, coalesce(branded,0) AS branded FROM ({every})
 LEFT JOIN (SELECT {k}, sum(n)::bigint AS branded FROM {index} GROUP BY ALL) USING ({k})
-LEFT JOIN (SELECT {k}, n AS own_n, step AS own_step FROM {index} WHERE brand='{OWN}') USING ({k})
+LEFT JOIN (SELECT {k}, n AS own_n, step AS own_step FROM {index} s WHERE EXISTS {MINE.format("s")}) USING ({k})
 LEFT JOIN (SELECT {k}, brand AS "top", n AS top_n, step AS top_step FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY n DESC, CASE WHEN step>0 THEN step ELSE 99 END, brand) AS z
-  FROM {index} WHERE brand<>'{OWN}') WHERE z=1) USING ({k}))"""
+  FROM {index} s WHERE NOT EXISTS {MINE.format("s")}) WHERE z=1) USING ({k}))"""
 
 
 piece("q_axes", axis_sql("q_bindex", "category", "SELECT DISTINCT run_id, category FROM q_cj"))
@@ -275,7 +285,7 @@ piece("q_facets", f"""
 SELECT *, {R('own_volume/nullif(facet_volume,0)*100', 1)} AS rate FROM (
   SELECT f.run_id, category, facet, facet || ' ' || category AS facet_query, n.volume AS facet_volume, o.volume AS own_volume FROM (
     SELECT DISTINCT run_id, split_part(keyword,' ',2) AS facet, split_part(keyword,' ',3) AS category FROM q_metrics) f
-  LEFT JOIN q_vns n ON n.run_id=f.run_id AND n.key=facet||category LEFT JOIN q_vns o ON o.run_id=f.run_id AND o.key='{OWN}'||facet||category)""")
+  LEFT JOIN q_vns n ON n.run_id=f.run_id AND n.key=facet||category LEFT JOIN q_vns o ON o.run_id=f.run_id AND o.key=(SELECT own_brand FROM q_set z WHERE z.run_id=f.run_id)||facet||category)""")
 check("I11_facet_metrics", on(lambda b: b.facets), "SELECT * FROM q_facets")
 check("I12_facet_deep_axis", on(lambda b: plain(b.facet_axes)), "SELECT * REPLACE (coalesce(own_step,0) AS own_step, coalesce(top_step,0) AS top_step) FROM q_faxes")
 piece("q_evidence", f"""
@@ -283,8 +293,8 @@ SELECT c.run_id, c.category, coalesce(own_queries,0) AS own_queries, coalesce(pa
   coalesce(listed,0) AS listed, coalesce(modifiers,0) AS modifiers, listed IS NOT NULL AS queried FROM q_cats c
 LEFT JOIN (SELECT run_id, category, own_queries FROM q_naming) USING (run_id, category)
 LEFT JOIN (SELECT c.run_id, c.category, count(*) AS path_mentions FROM q_cats c JOIN (SELECT s.run_id, string_agg(node, ' > ' ORDER BY pos) AS p, any_value(node) FILTER (pos=0) AS f FROM q_steps s GROUP BY s.run_id, path_id) j
-  ON j.run_id=c.run_id AND contains(p, c.category) SEMI JOIN (SELECT run_id AS r, query FROM q_hits WHERE brand='{OWN}') h ON h.r=j.run_id AND h.query=f GROUP BY ALL) USING (run_id, category)
-LEFT JOIN (SELECT c.run_id, c.category, count(*) AS query_mentions FROM q_cats c JOIN q_hits h ON h.run_id=c.run_id AND brand='{OWN}' AND contains(query, c.category) GROUP BY ALL) USING (run_id, category)
+  ON j.run_id=c.run_id AND contains(p, c.category) SEMI JOIN (SELECT run_id AS r, query FROM q_hits s WHERE EXISTS {MINE.format("s")}) h ON h.r=j.run_id AND h.query=f GROUP BY ALL) USING (run_id, category)
+LEFT JOIN (SELECT c.run_id, c.category, count(*) AS query_mentions FROM q_cats c JOIN q_hits h ON h.run_id=c.run_id AND contains(query, c.category) WHERE EXISTS {MINE.format("h")} GROUP BY ALL) USING (run_id, category)
 LEFT JOIN (SELECT run_id, category, count(*) AS listed FROM q_lists GROUP BY ALL) USING (run_id, category)
 LEFT JOIN (SELECT run_id, category, count(*) AS modifiers FROM q_mods GROUP BY ALL) USING (run_id, category)""")
 check("I13_category_evidence", on(lambda b: b.evidence), "SELECT * FROM q_evidence")
@@ -324,19 +334,24 @@ SELECT run_id, 'facet journeys missing', facet_query FROM q_facets f {DEEP} AND
 check("I16_emerging_upgrade", on(lambda b: b.judged.select("run_id", "category", "verdict", "axis", "status")), "SELECT run_id, category, verdict, axis, status FROM q_judged")
 piece("q_bcols", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY watch DESC, volume DESC, brand) AS pos FROM (
-  SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume, brand IN ({', '.join(repr(w) for w in WATCH)}) AS watch FROM q_rivals GROUP BY ALL) WHERE watch OR categories>=2) WHERE watch OR pos<=3""")
-check("I17_brand_matrix", on(lambda b: op.brand_matrix(b.shares, OWN).select("run_id", "category", "brand", "volume", "share", "rank")),
+  SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume, coalesce(bool_or(list_contains(watch, brand)), false) AS watch FROM q_rivals JOIN q_set USING (run_id) GROUP BY run_id, brand) WHERE watch OR categories>=2) WHERE watch OR pos<=3""")
+check("I17_brand_matrix", on(lambda b: op.brand_matrix(b.shares).select("run_id", "category", "brand", "volume", "share", "rank")),
       "SELECT run_id, category, brand, volume, share, (rank() OVER (PARTITION BY run_id, category ORDER BY volume DESC))::int AS rank FROM q_shares")
 
 
 def columns(b):
-    return op.brand_columns(b.shares, OWN, WATCH, 2)
+    return op.brand_columns(b.shares, b.setup, 2)
 
 
 check("I17_brand_columns", on(columns), "SELECT * REPLACE (pos::int AS pos) FROM q_bcols")
-check("I17_outside_top", on(lambda b: op.outside_top(op.brand_matrix(b.shares, OWN), columns(b), OWN)), f"""
+check("I17_matrix_columns", on(lambda b: op.matrix_columns(b.shares, b.setup, 3)), """
+WITH t AS (SELECT run_id, brand, count(*) AS categories, sum(volume) AS volume FROM q_shares GROUP BY ALL)
+SELECT run_id, brand, categories, volume, pos, pos<=3 AS shown FROM (
+  SELECT run_id, brand, categories, volume, row_number() OVER (PARTITION BY run_id ORDER BY categories DESC, volume DESC, brand) AS pos FROM t LEFT JOIN q_set USING (run_id) WHERE brand IS DISTINCT FROM own_brand
+  UNION ALL SELECT s.run_id, own_brand, coalesce(categories,0), coalesce(volume,0.0), 0 FROM q_set s LEFT JOIN t ON t.run_id=s.run_id AND t.brand=own_brand WHERE own_brand IS NOT NULL)""")
+check("I17_outside_top", on(lambda b: op.outside_top(op.brand_matrix(b.shares), columns(b), b.setup)), f"""
 SELECT run_id, category, brand, rank::int AS rank, volume FROM (SELECT *, rank() OVER (PARTITION BY run_id, category ORDER BY volume DESC) AS rank FROM q_shares) m
-WHERE rank<=2 AND brand<>'{OWN}' AND NOT EXISTS (FROM q_bcols c WHERE c.run_id=m.run_id AND c.brand=m.brand)""")
+WHERE rank<=2 AND NOT EXISTS {MINE.format("m")} AND NOT EXISTS (FROM q_bcols c WHERE c.run_id=m.run_id AND c.brand=m.brand)""")
 check("I18_position_ratio", on(lambda b: op.position_ratio(b.judged)), """
 SELECT run_id, category, status, CASE WHEN own_share IS NOT NULL THEN CASE WHEN top_share>0 THEN own_share/top_share ELSE 8.0 END
   WHEN axis IS NOT NULL THEN (own_n+1)/(top_n+1) ELSE 1.0 END AS ratio FROM q_judged""")
@@ -376,9 +391,9 @@ SELECT run_id, "group", """ + ", ".join(f"count(*) FILTER (status='{s}') AS \"{s
 check("I24_naming_journey_conflict", on(lambda b: op.naming_journey_conflict(b.mixed)), f"""
 SELECT run_id, category, pos::int AS pos, status, s AS journey_status, term_volume FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY term_volume DESC, cord) AS pos FROM (
   SELECT *, {FST} AS s FROM q_mixed) WHERE status IN ('owned','contested','trailing') AND s IS NOT NULL AND s<>status) WHERE pos<=8""")
-check("I25_watch_brand_span", on(lambda b: op.watch_span(b.rivals, WATCH)), f"""
+check("I25_watch_brand_span", on(lambda b: op.watch_span(b.rivals, b.setup)), """
 SELECT run_id, brand, categories, category AS biggest, volume, share FROM (SELECT *, count(*) OVER (PARTITION BY run_id, brand) AS categories,
-  row_number() OVER (PARTITION BY run_id, brand ORDER BY volume DESC, category) AS k FROM q_rivals WHERE brand IN ({', '.join(repr(w) for w in WATCH)}) AND volume>0) WHERE k=1""")
+  row_number() OVER (PARTITION BY run_id, brand ORDER BY volume DESC, category) AS k FROM q_rivals JOIN q_set USING (run_id) WHERE list_contains(watch, brand) AND volume>0) WHERE k=1""")
 check("I26_presence_priority", on(lambda b: op.presence_priority(b.mixed)), """
 SELECT * FROM (SELECT run_id, CASE WHEN presence='selling' THEN CASE status WHEN 'trailing' THEN 1 WHEN 'contested' THEN 2 WHEN 'unclaimed' THEN 4 ELSE 3 END
   WHEN presence='partly' THEN 5 WHEN presence IN ('not_sold','unverified') THEN 6 END AS priority, category, term_volume, status FROM q_mixed) WHERE priority IS NOT NULL""")
@@ -387,9 +402,9 @@ SELECT run_id, category, 'own_share' AS reason FROM q_judged WHERE own_share IS
 SELECT run_id, category, 'facet_journeys' FROM q_judged j WHERE deep AND NOT EXISTS (FROM q_fsum f WHERE f.run_id=j.run_id AND f.category=j.category AND axis IS NOT NULL) UNION ALL
 SELECT run_id, category, 'thin' FROM q_judged WHERE modifiers<30 AND NOT deep UNION ALL
 SELECT run_id, category, 'no_evidence' FROM q_judged WHERE own_queries=0 AND path_mentions=0""")
-check("I28_brand_detail_rows", on(lambda b: op.brand_detail_rows(b.categories, b.listed, b.shares, b.lists, b.index, OWN).withColumn(
+check("I28_brand_detail_rows", on(lambda b: op.brand_detail_rows(b.categories, b.listed, b.shares, b.lists, b.index, b.setup).withColumn(
     "top_rank", F.coalesce("top_rank", F.lit(0)))), f"""
-WITH r AS (SELECT run_id, category, brand, min(o) AS o FROM (SELECT run_id, category, '{OWN}' AS brand, 0 AS o FROM q_cats UNION ALL SELECT run_id, category, brand, pos FROM q_rivals
+WITH r AS (SELECT run_id, category, brand, min(o) AS o FROM (SELECT run_id, category, own_brand AS brand, 0 AS o FROM q_cats JOIN q_set USING (run_id) WHERE own_brand IS NOT NULL UNION ALL SELECT run_id, category, brand, pos FROM q_rivals
   UNION ALL SELECT run_id, c, b, 100 FROM q_runs, {values(LISTED)} l(c, b)) GROUP BY ALL)
 SELECT *, coalesce({R('volume/nullif(sum(volume) OVER (PARTITION BY run_id, category),0)*100', 1)}, 0.0) AS table_share FROM (
   SELECT r.run_id, r.category, r.brand, CASE WHEN o<100 THEN s.volume END AS volume, CASE WHEN o<100 THEN s.share END AS share, coalesce(queries,0) AS queries,

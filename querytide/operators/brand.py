@@ -1,7 +1,9 @@
 """Brand competition: branded queries, share of search, journeys, facets, verdicts and the lists drawn from them.
 
 Tables are keyed by run_id. Brands come as names (run_id, brand, name): the brand itself and its
-aliases; excludes (run_id, brand, text) are other words that merely contain a brand.
+aliases; excludes (run_id, brand, text) are other words that merely contain a brand. The set-up has a row for
+a run: own_brand, own_words (words that mark the own brand's queries) and watch (brands that are always
+shown), so one job serves runs of different brands; a run without a row has none of them.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -18,6 +20,19 @@ VERDICT_PRIORITY = ["even", "behind", "none", "ahead"]
 CAT = ["run_id", "category"]
 
 
+def with_setup(df: DataFrame, setup: DataFrame, *columns: str) -> DataFrame:
+    return rank.attached(df, setup, RUN, *columns, how="left")
+
+
+def is_own(brand: str = "brand") -> Column:
+    return F.col(brand).eqNullSafe(F.col("own_brand"))
+
+
+def holds_own_word(text: str) -> Column:
+    """Whether the text holds one of the run's own words, whatever their case."""
+    return F.coalesce(F.exists("own_words", lambda w: F.contains(F.lower(text), F.lower(w))), F.lit(False))
+
+
 def brand_hits(queries: DataFrame, names: DataFrame, excludes: DataFrame) -> DataFrame:
     """Which brand a query holds: some word start of the space-free query begins with a name.
 
@@ -28,7 +43,7 @@ def brand_hits(queries: DataFrame, names: DataFrame, excludes: DataFrame) -> Dat
     keyed = n.where((F.col("_len") > 1) | (F.col("name") == F.col("brand"))).select(
         "run_id", "brand", F.when(F.col("_len") == 1, "word").otherwise("start").alias("kind"), "text").distinct()
     lengths = keyed.groupBy("run_id").agg(F.array_sort(F.collect_set(F.length("text"))).alias("_lens"))
-    words = queries.select("run_id", "query").distinct().join(lengths, "run_id").withColumn(
+    words = rank.attached(queries.select("run_id", "query").distinct(), lengths, RUN).withColumn(
         "_w", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != "")).where(F.size("_w") > 0)
     tails = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.array_join(F.slice("_w", i, F.size("_w")), ""))
     starts = F.flatten(F.transform(tails, lambda t: F.transform(
@@ -41,31 +56,27 @@ def brand_hits(queries: DataFrame, names: DataFrame, excludes: DataFrame) -> Dat
     return hits.where(~F.coalesce(F.exists("_x", lambda z: F.contains(cols.ns("query"), z)), F.lit(False))).drop("_x")
 
 
-def category_modifiers(lists: DataFrame, own_words: list[str]) -> DataFrame:
+def category_modifiers(lists: DataFrame, setup: DataFrame) -> DataFrame:
     """Text before the category in queries that end with it (lists: run_id, category, rank, query)."""
     q, c = F.col("query"), F.col("category")
     flat_q, flat_c = F.replace(q, F.lit(" "), F.lit("")), F.replace(c, F.lit(" "), F.lit(""))
     cut = F.when(F.endswith(q, c), F.length(q) - F.length(c)).otherwise(F.length(flat_q) - F.length(flat_c))
     rows = lists.where(F.endswith(flat_q, flat_c)).withColumn("modifier", F.trim(F.substr(q, F.lit(1), cut)))
     rows = rows.where((F.col("modifier") != "") & (F.replace("modifier", F.lit(" "), F.lit("")) != flat_c))
-    own = F.lit(False)
-    for w in own_words:
-        own = own | F.contains(F.lower("modifier"), F.lit(w.lower()))
-    return rows.select(*CAT, "rank", "query", "modifier", own.alias("own"))
+    rows = with_setup(rows.select(*CAT, "rank", "query", "modifier"), setup, "own_words")
+    return rows.withColumn("own", holds_own_word("modifier")).drop("own_words")
 
 
 def unique_modifiers(modifiers: DataFrame) -> DataFrame:
     return rank.first_wins(modifiers.select(*CAT, "modifier", "rank", "own"), [*CAT, "modifier"], [F.col("rank")])
 
 
-def journey_candidates(journeys: DataFrame, own_words: list[str], known: DataFrame, n: int = 22) -> DataFrame:
+def journey_candidates(journeys: DataFrame, setup: DataFrame, known: DataFrame, n: int = 22) -> DataFrame:
     """Nodes two to four of journeys that start at the category: where rivals outside the list show up."""
     flat = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     rows = journeys.where(F.get("seq", F.lit(0)) == F.col("category")).select(*CAT, F.explode(F.slice("seq", 2, 3)).alias("node"))
     rows = rows.where(~F.contains(flat(F.col("node")), flat(F.col("category"))))
-    for w in own_words:
-        rows = rows.where(~F.contains(F.lower("node"), F.lit(w.lower())))
-    counts = rows.groupBy(*CAT, "node").agg(F.count(F.lit(1)).alias("n"))
+    counts = with_setup(rows, setup, "own_words").where(~holds_own_word("node")).groupBy(*CAT, "node").agg(F.count(F.lit(1)).alias("n"))
     top = rank.top_n(counts, CAT, [-F.col("n"), F.col("node")], n, "pos")
     listed = known.groupBy(*CAT).agg(F.collect_set("brand").alias("_known"))
     return top.join(listed, CAT, "left").withColumn(
@@ -111,15 +122,16 @@ def name_ratio(categories: DataFrame, lists: DataFrame, hits: DataFrame, shares:
                       F.coalesce(half_up(F.try_divide("branded", cols.nz(both)) * 100, 1), F.lit(0.0)).alias("name_ratio"))
 
 
-def competitors(shares: DataFrame, own: str) -> DataFrame:
-    return rank.top_n(shares.where(F.col("brand") != own), CAT, [-F.col("volume"), F.col("brand")], COMPETITORS, "pos")
+def competitors(shares: DataFrame, setup: DataFrame) -> DataFrame:
+    others = with_setup(shares, setup, "own_brand").where(~is_own()).drop("own_brand")
+    return rank.top_n(others, CAT, [-F.col("volume"), F.col("brand")], COMPETITORS, "pos")
 
 
-def naming_verdict(ratios: DataFrame, shares: DataFrame, own: str) -> DataFrame:
+def naming_verdict(ratios: DataFrame, shares: DataFrame, setup: DataFrame) -> DataFrame:
     """Who owns a category by name; none where branded demand is too thin."""
-    mine = shares.where(F.col("brand") == own).select(*CAT, F.col("volume").alias("own_volume"), F.col("share").alias("own_share"),
+    mine = with_setup(shares, setup, "own_brand").where(is_own()).select(*CAT, F.col("volume").alias("own_volume"), F.col("share").alias("own_share"),
                                                       F.col("queries").alias("own_queries"))
-    lead = competitors(shares, own).where(F.col("pos") == 1).select(*CAT, F.col("brand").alias("top_brand"), F.col("share").alias("top_share"))
+    lead = competitors(shares, setup).where(F.col("pos") == 1).select(*CAT, F.col("brand").alias("top_brand"), F.col("share").alias("top_share"))
     rows = ratios.join(mine, CAT, "left").join(lead, CAT, "left")
     axis = cols.two_x(F.coalesce("own_share", F.lit(0.0)), F.coalesce("top_share", F.lit(0.0)), 0)
     thin = (F.col("branded") < BRAND_VOLUME_MIN) | (F.col("name_ratio") < NAME_RATIO_MIN)
@@ -136,12 +148,13 @@ def journey_brand_index(journeys: DataFrame, hits: DataFrame, keys: list[str], s
         F.count_distinct("query").alias("n"), F.min("step").alias("step"))
 
 
-def journey_axis(index: DataFrame, keys: list[str], own: str, every: DataFrame | None = None) -> DataFrame:
+def journey_axis(index: DataFrame, keys: list[str], setup: DataFrame, every: DataFrame | None = None) -> DataFrame:
     """The two-to-one rule on journeys; the rival with most queries leads, a nearer step breaks ties."""
     step = F.when(F.col("step") > 0, F.col("step")).otherwise(99)
-    lead = rank.first_wins(index.where(F.col("brand") != own), keys, [-F.col("n"), step, F.col("brand")]).select(
+    marked = with_setup(index, setup, "own_brand")
+    lead = rank.first_wins(marked.where(~is_own()), keys, [-F.col("n"), step, F.col("brand")]).select(
         *keys, F.col("brand").alias("top"), F.col("n").alias("top_n"), F.col("step").alias("top_step"))
-    mine = index.where(F.col("brand") == own).select(*keys, F.col("n").alias("own_n"), F.col("step").alias("own_step"))
+    mine = marked.where(is_own()).select(*keys, F.col("n").alias("own_n"), F.col("step").alias("own_step"))
     total = index.groupBy(*keys).agg(F.sum("n").alias("branded"))
     base = total if every is None else every.select(*keys).distinct().join(total, keys, "left")
     rows = base.join(mine, keys, "left").join(lead, keys, "left")
@@ -150,11 +163,12 @@ def journey_axis(index: DataFrame, keys: list[str], own: str, every: DataFrame |
     return rows.withColumn("axis", cols.two_x("own_n", "top_n", JOURNEY_FLOOR))
 
 
-def facet_metrics(facets: DataFrame, volumes: DataFrame, own: str) -> DataFrame:
+def facet_metrics(facets: DataFrame, volumes: DataFrame, setup: DataFrame) -> DataFrame:
     """Volume of "facet category" and of the own brand with it; rate only where both are known."""
     all_q = volume_lookup(facets.withColumn("query", F.concat_ws(" ", "facet", "category")), volumes).withColumnRenamed("query", "facet_query")
-    both = volume_lookup(all_q.withColumnRenamed("volume", "facet_volume").withColumn(
-        "query", F.concat_ws(" ", F.lit(own), "facet", "category")), volumes).drop("query").withColumnRenamed("volume", "own_volume")
+    named = with_setup(all_q.withColumnRenamed("volume", "facet_volume"), setup, "own_brand")
+    asked = F.when(F.col("own_brand").isNotNull(), F.concat_ws(" ", "own_brand", "facet", "category"))
+    both = volume_lookup(named.withColumn("query", asked), volumes).drop("query", "own_brand").withColumnRenamed("volume", "own_volume")
     return both.withColumn("rate", half_up(F.try_divide("own_volume", cols.nz("facet_volume")) * 100, 1))
 
 
@@ -164,7 +178,7 @@ def category_evidence(categories: DataFrame, brand_journeys: DataFrame, brand_qu
     terms = categories.groupBy("run_id").agg(F.collect_set("category").alias("_terms"))
 
     def mentions(df, text, out):
-        found = df.join(terms, "run_id").select("run_id", F.explode(F.filter("_terms", lambda t: F.contains(text, t))).alias("category"))
+        found = rank.attached(df, terms, RUN).select("run_id", F.explode(F.filter("_terms", lambda t: F.contains(text, t))).alias("category"))
         return found.groupBy(*CAT).agg(F.count(F.lit(1)).alias(out))
 
     path = mentions(brand_journeys, F.array_join("seq", " > "), "path_mentions")
@@ -207,26 +221,42 @@ def axis_status(axis) -> Column:
     return F.when(a == "ahead", "owned").when(a == "even", "contested").when(a == "behind", "trailing")
 
 
-def brand_matrix(shares: DataFrame, own: str) -> DataFrame:
+def brand_matrix(shares: DataFrame) -> DataFrame:
     """Competition rank of every brand inside a category. A category holds at most the run's brands."""
     return shares.withColumn("rank", F.rank().over(W.partitionBy(*CAT).orderBy(-F.col("volume"))))
 
 
-def brand_columns(shares: DataFrame, own: str, watch: list[str], n: int = MATRIX_BRANDS) -> DataFrame:
-    """Brands of the matrix: all watched ones first, then those in at least two categories by volume; own brand apart.
+def matrix_columns(shares: DataFrame, setup: DataFrame, n: int = MATRIX_BRANDS) -> DataFrame:
+    """Columns of the main table over all brands of a run: the own one at 0, then those in most categories, larger volume first.
+
+    The first `n` after the own brand are shown at once, the others on demand; the own brand is there without volume too.
+    """
+    sums = shares.groupBy("run_id", "brand").agg(F.count(F.lit(1)).alias("categories"), F.sum("volume").alias("volume"))
+    sums = with_setup(sums.where(F.col("volume") > 0), setup, "own_brand")
+    others = rank.positions(sums.where(~is_own()).drop("own_brand"), RUN, [-F.col("categories"), -F.col("volume"), F.col("brand")], "pos")
+    found = sums.where(is_own()).select("run_id", "categories", "volume")
+    mine = setup.where(F.col("own_brand").isNotNull()).select("run_id", F.col("own_brand").alias("brand")).join(found, "run_id", "left").select(
+        "run_id", "brand", F.coalesce("categories", F.lit(0)).alias("categories"), F.coalesce("volume", F.lit(0.0)).alias("volume"), F.lit(0).cast("long").alias("pos"))
+    return mine.unionByName(others.select(*mine.columns)).withColumn("shown", F.col("pos") <= n)
+
+
+def brand_columns(shares: DataFrame, setup: DataFrame, n: int = MATRIX_BRANDS) -> DataFrame:
+    """Brands of the competition table: all watched ones first, then those in at least two categories by volume; own brand apart.
 
     The cut after n + 1 brands leaves out others only, never a watched one.
     """
-    rivals = competitors(shares, own).groupBy("run_id", "brand").agg(F.count(F.lit(1)).alias("categories"), F.sum("volume").alias("volume"))
-    watched = F.col("brand").isin(watch) if watch else F.lit(False)
-    rows = rivals.withColumn("watch", watched).where(F.col("watch") | (F.col("categories") >= 2))
+    rivals = competitors(shares, setup).groupBy("run_id", "brand").agg(F.count(F.lit(1)).alias("categories"), F.sum("volume").alias("volume"))
+    watched = F.coalesce(F.array_contains("watch", F.col("brand")), F.lit(False))
+    rows = with_setup(rivals, setup, "watch").withColumn("watch", watched).where(F.col("watch") | (F.col("categories") >= 2))
+    most = setup.agg(F.max(F.size("watch"))).first()[0] or 0  # the longest list of watched brands
     order = [F.when(F.col("watch"), 0).otherwise(1), -F.col("volume"), F.col("brand")]
-    return rank.top_n(rows, RUN, order, n + 1 + len(watch), "pos").where(F.col("watch") | (F.col("pos") <= n + 1))
+    return rank.top_n(rows, RUN, order, n + 1 + most, "pos").where(F.col("watch") | (F.col("pos") <= n + 1))
 
 
-def outside_top(matrix: DataFrame, columns: DataFrame, own: str) -> DataFrame:
+def outside_top(matrix: DataFrame, columns: DataFrame, setup: DataFrame) -> DataFrame:
     """First and second brands of a category that the shown columns leave out."""
-    return matrix.where((F.col("rank") <= 2) & (F.col("brand") != own)).join(columns.select("run_id", "brand"), ["run_id", "brand"], "left_anti").select(
+    first = with_setup(matrix.where(F.col("rank") <= 2), setup, "own_brand").where(~is_own())
+    return first.join(columns.select("run_id", "brand"), ["run_id", "brand"], "left_anti").select(
         *CAT, "brand", "rank", "volume")
 
 
@@ -298,9 +328,9 @@ def naming_journey_conflict(judged: DataFrame, n: int = 8) -> DataFrame:
     return rank.top_n(rows, RUN, [-F.col("term_volume"), F.col("cord")], n, "pos").select(*CAT, "pos", "status", "journey_status", "term_volume")
 
 
-def watch_span(rivals: DataFrame, watch: list[str]) -> DataFrame:
+def watch_span(rivals: DataFrame, setup: DataFrame) -> DataFrame:
     """How many categories a watched brand is in, and its biggest spot."""
-    rows = rivals.where(F.col("brand").isin(watch) & (F.col("volume") > 0))
+    rows = with_setup(rivals, setup, "watch").where(F.array_contains("watch", F.col("brand")) & (F.col("volume") > 0))
     return rows.groupBy("run_id", "brand").agg(
         F.count(F.lit(1)).alias("categories"), F.min_by(F.struct("category", "volume", "share"), F.struct(-F.col("volume"), "category")).alias("_b")
     ).select("run_id", "brand", "categories", F.col("_b.category").alias("biggest"), F.col("_b.volume").alias("volume"), F.col("_b.share").alias("share"))
@@ -326,10 +356,10 @@ def unmeasured_list(judged: DataFrame, facets: DataFrame) -> DataFrame:
     return rows.select(*CAT, F.explode(reasons).alias("reason"))
 
 
-def brand_detail_rows(categories: DataFrame, listed: DataFrame, shares: DataFrame, lists: DataFrame, index: DataFrame, own: str) -> DataFrame:
+def brand_detail_rows(categories: DataFrame, listed: DataFrame, shares: DataFrame, lists: DataFrame, index: DataFrame, setup: DataFrame) -> DataFrame:
     """Own brand, competitors, then listed brands without data: share, queries, rank of the top query, journeys."""
-    comp = competitors(shares, own).select(*CAT, "brand", (F.col("pos") + 0).alias("o"))
-    mine = categories.select(*CAT, F.lit(own).alias("brand"), F.lit(0).alias("o"))
+    comp = competitors(shares, setup).select(*CAT, "brand", (F.col("pos") + 0).alias("o"))
+    mine = with_setup(categories.select(*CAT), setup, "own_brand").where(F.col("own_brand").isNotNull()).select(*CAT, F.col("own_brand").alias("brand"), F.lit(0).alias("o"))
     extra = listed.select(*CAT, "brand", F.lit(100).alias("o"))
     rows = rank.first_wins(mine.unionByName(comp).unionByName(extra), [*CAT, "brand"], [F.col("o")])
     facts = shares.select(*CAT, "brand", "volume", "share", "queries", "top_query")

@@ -112,31 +112,32 @@ def season_report(monthly: DataFrame, setup: DataFrame, themes: DataFrame) -> Fa
 
 
 def brand_report(categories: DataFrame, lists: DataFrame, volumes: DataFrame, names: DataFrame, excludes: DataFrame, paths: DataFrame,
-                 brand_paths: DataFrame, facets: DataFrame, facet_paths: DataFrame, own: str, watch: list[str]) -> Facts:
-    """Share of search and journeys per category (paths carry category, facet_paths also facet and seed)."""
+                 brand_paths: DataFrame, facets: DataFrame, facet_paths: DataFrame, setup: DataFrame) -> Facts:
+    """Share of search and journeys per category (paths carry category, facet_paths also facet and seed); set-up as in operators.brand."""
+    setup = staged(setup)
     nodes = paths.select("run_id", F.explode("seq").alias("query")).unionByName(facet_paths.select("run_id", F.explode("seq").alias("query")))
     hits = staged(brand.brand_hits(lists.select("run_id", "query").unionByName(nodes), names, excludes))
     shares = staged(brand.share_of_search(lists, hits, volumes))
-    verdicts = staged(brand.naming_verdict(brand.name_ratio(categories, lists, hits, shares, volumes), shares, own))
+    verdicts = staged(brand.naming_verdict(brand.name_ratio(categories, lists, hits, shares, volumes), shares, setup))
     key = ["run_id", "category"]
     index = staged(brand.journey_brand_index(paths, hits, key, "category"))
-    axes = brand.journey_axis(index, key, own, paths)
-    modifiers = brand.category_modifiers(lists, [own])
-    mine = hits.where(F.col("brand") == own).select("run_id", "query")
+    axes = brand.journey_axis(index, key, setup, paths)
+    modifiers = brand.category_modifiers(lists, setup)
+    mine = brand.with_setup(hits, setup, "own_brand").where(brand.is_own()).select("run_id", "query")
     evidence = brand.category_evidence(categories, brand_paths, mine, lists, modifiers, verdicts)
     judged = staged(categories.join(verdicts.drop("own_queries"), key).join(evidence, key).join(axes.drop("branded"), key, "left").withColumn(
         "status", brand.status()))
     facet_key = [*key, "facet"]
-    walked = brand.journey_axis(brand.journey_brand_index(facet_paths, hits, facet_key, "seed"), facet_key, own, facet_paths)
-    deep = staged(brand.facet_summary(brand.facet_metrics(facets, volumes, own).join(walked, facet_key, "left")))
-    rivals = staged(brand.competitors(shares, own))
-    matrix = brand.brand_matrix(shares, own)
+    walked = brand.journey_axis(brand.journey_brand_index(facet_paths, hits, facet_key, "seed"), facet_key, setup, facet_paths)
+    deep = staged(brand.facet_summary(brand.facet_metrics(facets, volumes, setup).join(walked, facet_key, "left")))
+    rivals = staged(brand.competitors(shares, setup))
+    matrix = brand.brand_matrix(shares)
     return {
         "shares": shares, "judged": judged, "index": index, "facets": deep, "facet_highlights": brand.facet_highlights(deep), "rivals": rivals,
-        "matrix": matrix, "outside": brand.outside_top(matrix, brand.brand_columns(shares, own, watch), own), "ratio": brand.position_ratio(judged),
+        "matrix": matrix, "columns": brand.matrix_columns(shares, setup), "outside": brand.outside_top(matrix, brand.brand_columns(shares, setup), setup), "ratio": brand.position_ratio(judged),
         "demand": brand.demand_by_status(judged), "keep_and_take": brand.keep_and_take(judged), "mismatch": brand.facet_mismatch(judged, deep),
         "recurring": brand.recurring_rivals(judged, rivals), "groups": brand.group_status_mix(judged), "conflicts": brand.naming_journey_conflict(judged),
-        "watch": brand.watch_span(rivals, watch), "priority": brand.presence_priority(judged), "deep_candidates": brand.deep_candidates(judged),
+        "watch": brand.watch_span(rivals, setup), "priority": brand.presence_priority(judged), "deep_candidates": brand.deep_candidates(judged),
         "unmeasured": brand.unmeasured_list(judged, deep),
     }
 

@@ -46,7 +46,7 @@ def test_demand_and_season_reports(spark):
 
 def test_brand_report(spark):
     b = fb.Brands(Domain(spark, SF))
-    facts = reports.brand_report(b.categories, b.lists, b.volumes, b.names, b.excludes, b.journeys, b.dom.journeys, b.facets.select("run_id", "category", "facet"), b.facet_journeys, fb.OWN, fb.WATCH)
+    facts = reports.brand_report(b.categories, b.lists, b.volumes, b.names, b.excludes, b.journeys, b.dom.journeys, b.facets.select("run_id", "category", "facet"), b.facet_journeys, b.setup)
     filled(facts, ("conflicts", "keep_and_take", "mismatch", "outside"))
     assert facts["judged"].where(F.col("status").isNull()).count() == 0
 
