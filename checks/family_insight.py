@@ -308,20 +308,24 @@ def counts(x):
 
 def _kpis(x):
     facts = x.pq.groupBy("run_id", "group_id").agg(F.count("*").alias("member_count"))
-    top_hub = journeys.branch_hubs(x.path, 1).select("run_id", F.col("keyword").alias("top_hub"))
+    paths = op.path_recap(x.path, journeys.branch_hubs(x.path, 1))
+    clusters_of = op.cluster_recap(x.cnodes, fc.cluster_groups(x.dom))
     return op.total_kpis(x.leaks, x.buckets, op.coverage_pct(x.master, x.pc), counts(x)).join(
-        op.recap(facts, x.groups), "run_id").join(top_hub, "run_id", "left")
+        op.recap(facts, x.groups), "run_id").join(paths, "run_id", "left").join(clusters_of, "run_id", "left")
 
 
 check("E23_total_kpis_and_recap", on(_kpis), """
-SELECT c.run_id, coverage_pct, recoverable, orphans, coverage_complete, core_groups, largest_group, top_hub FROM q_coverage c
+SELECT c.run_id, coverage_pct, recoverable, orphans, coverage_complete, core_groups, largest_group, top_hub, hub_count, cluster_count, top_cluster_group FROM q_coverage c
 JOIN (SELECT run_id, sum(CASE WHEN leak_score>=0.5 THEN volume ELSE 0.0 END) AS recoverable FROM q_leaks GROUP BY 1) USING (run_id)
 JOIN (SELECT run_id, count(*) FILTER (strand='orphan') AS orphans FROM q_buckets GROUP BY 1) USING (run_id)
 JOIN (SELECT run_id, max(k)<1000 AS coverage_complete FROM (SELECT run_id, count(*) AS k FROM q_q1000 GROUP BY 1 UNION ALL
   SELECT run_id, count(*) FROM q_jnodes0 GROUP BY 1 UNION ALL SELECT run_id, count(*) FROM q_cnodes GROUP BY 1) GROUP BY 1) USING (run_id)
 JOIN (SELECT run_id, count(*) FILTER (relation='core') AS core_groups, arg_min(group_id, gord - 100*k) AS largest_group FROM (
   SELECT run_id, group_id, relation, gord, count(*) AS k FROM q_pq GROUP BY ALL) GROUP BY 1) USING (run_id)
-JOIN (SELECT run_id, keyword AS top_hub FROM q_jhubs WHERE pos=1) USING (run_id) WHERE group_id=''""")
+JOIN (SELECT run_id, keyword AS top_hub FROM q_jhubs WHERE pos=1) USING (run_id)
+JOIN (SELECT run_id, count(*) FILTER (out_degree>=2) AS hub_count FROM q_jnodes0 GROUP BY 1) USING (run_id)
+JOIN (SELECT run_id, count(DISTINCT letter) AS cluster_count FROM q_cnodes GROUP BY 1) USING (run_id)
+JOIN (SELECT run_id, arg_min(group_id, (-k, group_id)) AS top_cluster_group FROM (SELECT run_id, group_id, count(*) AS k FROM q_cgroups GROUP BY ALL) GROUP BY 1) USING (run_id) WHERE group_id=''""")
 check("E24_insight_shortlists", on(lambda x: op.shortlists(x.divergent, x.leaks, x.safe)), """
 WITH rows AS (
   SELECT run_id, 'leak' AS list, pos, keyword, CASE WHEN leak_score>=0.5 THEN 'urgent' WHEN leak_score>=0.12 THEN 'mid' ELSE 'low' END AS badge, leak_score AS value, CASE WHEN out_degree>=4 THEN 'spread' ELSE 'branch' END AS shape, 0 AS o

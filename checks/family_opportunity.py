@@ -36,6 +36,17 @@ def scored_cols(*names):
 
 
 check("B1_primary_intent", *scored_cols("primary_intent"))
+
+
+def _zero_intents(spark, d):
+    """Every third keyword has intents that are all zero, every third has none."""
+    gone = F.col("ord") % 3 < 2
+    rows = Domain(spark, d).query.withColumns({k: F.when(gone, 0.0).otherwise(F.col(k)) for k in "inct"})
+    return op.scored(rows.withColumn("has_intents", F.col("ord") % 3 != 1)).select("run_id", "keyword", "primary_intent")
+
+
+check("B1_zero_intents", _zero_intents,
+      f"SELECT run_id, keyword, CASE ord%3 WHEN 0 THEN 'i' WHEN 1 THEN '' ELSE {dominant(zero=chr(39) + 'i' + chr(39))} END AS primary_intent FROM q_query")
 check("B2_intent_weight", lambda s, d: op.scored(Domain(s, d).query).select(
     "run_id", "keyword", F.round("m", 9).alias("m")), "SELECT run_id, keyword, round(m, 9) AS m FROM q_scored")
 check("B3_volume_norm", lambda s, d: op.scored(Domain(s, d).query).select(

@@ -362,6 +362,21 @@ def recap(group_facts: DataFrame, groups: DataFrame) -> DataFrame:
         F.min_by("group_id", F.struct(-F.col("member_count"), "gpos")).alias("largest_group"))
 
 
+def path_recap(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """How many nodes branch, and the first of the ordered hubs (run_id, pos, keyword)."""
+    first = hubs.groupBy("run_id").agg(F.min_by("keyword", "pos").alias("top_hub"))
+    counts = nodes.groupBy("run_id").agg(F.sum(F.when(F.col("out_degree") >= 2, 1).otherwise(0)).alias("hub_count"))
+    return counts.join(first, RUN, "left").withColumn("top_hub", F.coalesce("top_hub", F.lit("")))
+
+
+def cluster_recap(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """How many clusters there are, and the group (run_id, group_id, letter) that lists most of them; ties to the smaller group_id."""
+    listed = groups.groupBy("run_id", "group_id").agg(F.count(F.lit(1)).alias("_n"))
+    top = listed.groupBy("run_id").agg(F.min_by("group_id", F.struct(-F.col("_n"), "group_id")).alias("top_cluster_group"))
+    counts = nodes.groupBy("run_id").agg(F.count_distinct("letter").alias("cluster_count"))
+    return counts.join(top, RUN, "left").withColumn("top_cluster_group", F.coalesce("top_cluster_group", F.lit("")))
+
+
 def leak_shape(out_degree="out_degree") -> Column:
     d = cols.col(out_degree)
     return F.when(d == 0, "deadend").when(d >= 4, "spread").otherwise("branch")

@@ -10,7 +10,11 @@ EVIDENCE_TOP = 8
 
 
 def scored(records: DataFrame) -> DataFrame:
-    """Records with primary intent, monetization index, normalised volume, score and quadrant."""
+    """Records with primary intent, monetization index, normalised volume, score and quadrant.
+
+    Intents that are listed (has_intents, where the records tell) and all zero count as the first one.
+    """
+    zero = F.when(F.col("has_intents"), "i").otherwise("") if "has_intents" in records.columns else ""
     top = F.max(F.when(F.col("volume_avg") > 0, F.col("volume_avg")))
     max_log = F.coalesce(F.log10(top + 1), F.lit(1.0)).alias("max_log")
     medians = rank.exact_medians(records, RUN, {"med_volume": "volume_avg", "med_comp": "competition_index"})
@@ -18,7 +22,7 @@ def scored(records: DataFrame) -> DataFrame:
     weight = cols.intent_weight()
     return out.select(
         *records.columns,
-        cols.dominant_intent().alias("primary_intent"),
+        cols.dominant_intent(zero=zero).alias("primary_intent"),
         weight.alias("m"),
         cols.volume_norm("volume_avg", "max_log").alias("volume_norm"),
         cols.opportunity_score("volume_avg", "competition_index", weight, "max_log").alias("score"),

@@ -51,7 +51,10 @@ def _answers(raw: DataFrame) -> DataFrame:
 
 
 def keyword_info(raw: DataFrame) -> DataFrame:
-    """Keyword records of an answer in any known envelope, with typed metrics and months."""
+    """Keyword records of an answer in any known envelope, with typed metrics and months.
+
+    has_intents tells intents that are all zero from an answer without any.
+    """
     keys = [c for c in raw.columns if c != "value"]
     envelopes = ["$", "$.data", "$.data.results", "$.result.hits.hits", "$.hits.hits", "$.results"]
     rows = _answers(raw).select(*keys, F.posexplode(F.coalesce(*[_list("doc", p) for p in envelopes])).alias("pos", "row"))
@@ -69,6 +72,7 @@ def keyword_info(raw: DataFrame) -> DataFrame:
         *[metric(m) for m in ("volume_avg", "volume_total", "volume_trend", "cpc")],
         F.coalesce(_text("src", "$.ads_metrics.competition"), F.lit("")).alias("competition"), metric("competition_index"),
         *[cols.num(_text("src", f"$.intents.{k}")).alias(k) for k in cols.INTENTS],
+        F.coalesce(F.expr("size(try_variant_get(src, '$.intents', 'map<string,variant>')) > 0"), F.lit(False)).alias("has_intents"),
         F.coalesce(_text("src", "$.seed"), _text("src", "$.source_keyword")).alias("seed"),
         F.expr(month).alias("monthly_volume"),
     ).where(F.col("keyword").isNotNull() & (F.col("keyword") != ""))

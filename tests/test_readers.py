@@ -29,6 +29,13 @@ def test_rows_without_keyword_and_odd_shapes_are_tolerated(spark):
     assert [(r.keyword, r.volume_avg, r.i, r.monthly_volume) for r in got] == [("a", 0, 0, [])]
 
 
+def test_intents_that_are_zero_are_told_from_missing_ones(spark):
+    given = {"zero": {"i": 0, "t": 0}, "none": {}, "text": "n/a", "list": [1], "null": None, "some": {"c": 3}}
+    rows = [{"keyword": k, "intents": v} for k, v in given.items()] + [{"keyword": "missing"}]
+    got = {r.keyword: r.has_intents for r in readers.keyword_info(raw(spark, [rows])).collect()}
+    assert got == {"zero": True, "none": False, "text": False, "list": False, "null": False, "some": True, "missing": False}
+
+
 def test_a_list_that_is_not_made_of_text_blocks_stays_as_it_is(spark):
     got = readers.keyword_info(raw(spark, [[{"type": "text", "text": "[]"}, {"keyword": "a"}]])).collect()
     assert [r.keyword for r in got] == ["a"]
