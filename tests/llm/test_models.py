@@ -71,6 +71,53 @@ def test_scores_equal_a_plain_loop(spark):
         assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-5, r.doc_id
 
 
+def plain_passages(text):
+    """The numbers of every passage, word by word."""
+    data = (text or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    words = [data[a:b].lower() for a, b in spans]
+    kind = lambda b: int(quality.BYTE_KIND[b])
+    out = []
+    for at in range(0, len(spans), quality.PASSAGE):
+        here = range(at, min(at + quality.PASSAGE, len(spans)))
+        stop = spans[here[-1] + 1][0] if here[-1] + 1 < len(spans) else len(data)
+        part, n = data[spans[at][0] : stop], len(here)
+        last = [kind(data[spans[i][1] - 1]) for i in here]
+        shares = [sum(kind(b) == k for b in part) / len(part) for k in range(quality.KINDS)]
+        out.append(shares + [
+            len({words[i] for i in here}) / n, sum(i > 0 and words[i] == words[i - 1] for i in here) / n, sum(len(words[i]) for i in here) / n / 10,
+            sum(k in (4, 5, 6) for k in last) / n, n / quality.PASSAGE, sum(len(words[i]) == 1 and k in (5, 6, 10) for i, k in zip(here, last)) / n,
+        ])
+    return out
+
+
+def plain_attention(model, text):
+    """Score of one document: passages one by one, weights by exp, then one weighted mean."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    p, hidden, raw = model.p, [], []
+    for x in plain_passages(text):
+        h = np.tanh((np.array(x) - model.mean) / model.scale @ p["e"] + p["eb"])
+        hidden.append(h)
+        raw.append(np.exp(float(np.tanh(h @ p["v"]) * sigmoid(h @ p["u"]) @ p["a"])))
+    if not hidden:
+        return sigmoid(model.base)
+    bag = sum(w * h for w, h in zip(raw, hidden)) / sum(raw)
+    return sigmoid(float(bag @ p["c"]) + p["cb"][0])
+
+
+def test_quality_scores_equal_a_plain_loop(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(documents(spark).select("doc_id", "text"))
+    model = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"), quality.fold("doc_id", 5, 0))
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, set()).add(r.text)
+    got = quality.score(docs, model).collect()
+    assert len(got) == docs.count() and len({round(r.score, 6) for r in got}) > 50
+    for r in got:
+        assert any(abs(r.score - plain_attention(model, t)) < 1e-6 for t in texts[r.doc_id]), r.doc_id
+
+
 def test_lists_and_pairs_fit_alike():
     rng = np.random.default_rng(2)
     lists = [np.unique(rng.integers(0, 30, rng.integers(0, 9))) for _ in range(300)]

@@ -1,22 +1,84 @@
 """The pipeline's stages against what they must keep and drop."""
 
+import collections
+
+import duckdb
+import numpy as np
+
 import corpus_pipeline as pipeline
 from querytide.functions.stage import staged
+from querytide.llm import queries, toxicity
 
-from .shared import SCHEMA, documents, sentence
-from .test_dedup import shingles
+from .shared import SCHEMA, documents, plain_words, sentence
+from .test_dedup import brute_classes, brute_lines, shingles
+from .test_models import plain_terms
+from .test_search import brute
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_on_the_driver_tables(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in pipeline.STAGES:
-        before = docs.count()
+def plain_clean(spark, docs, rows):
+    """Rows whose score, summed over all pairs of terms one text at a time, is below the threshold."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels, toxicity.fold("doc_id", 4, 2))
+    place = {int(t): k for k, t in enumerate(model.terms)}
+    kept = []
+    for r in rows:
+        at = [place[t] for t in plain_terms(r[1]) if t in place]
+        products = model.factors[at].astype(float) @ model.factors[at].astype(float).T
+        margin = model.bias + model.weights[at].sum() + sum(products[i, :i].sum() for i in range(len(at)))
+        if 1 / (1 + np.exp(-margin)) < toxicity.THRESHOLD:
+            kept.append(r)
+    return kept
+
+
+def plain_lines(rows):
+    gone, kept = brute_lines(rows), []
+    for d, text, lang, source, n in rows:
+        lines = (text or "").split("\n")
+        left = [x for i, x in enumerate(lines) if (d, i) not in gone]
+        if len(left) == len(lines):
+            kept.append((d, text, lang, source, n))
+        elif plain_words("\n".join(left)):
+            kept.append((d, "\n".join(left), lang, source, len("\n".join(left))))
+    return kept
+
+
+def plain_mix(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    out = con.execute(queries.mixing_sql())
+    return [c[0] for c in out.description], out.fetchall()
+
+
+def test_stages_on_the_driver_tables_equal_brute_force(spark):
+    docs = staged(spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS))
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    lost = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        rows = [tuple(r) for r in docs.collect()]
+        if name == "toxicity":
+            want = plain_clean(spark, docs, rows)
+        elif name == "line dedup":
+            want = plain_lines(rows)
+        elif name == "n-gram Jaccard join":
+            least = {d for d, _, root in brute_classes(rows) if d == root}
+            want = [r for r in rows if r[0] in least]
+        else:
+            dirty = {d for d, _, hits, *_ in brute(rows, items) if hits}
+            want = [r for r in rows if r[0] not in dirty]
         docs = staged(stage(spark, docs, SF))
-        if name != "mixing":
-            assert docs.columns == pipeline.COLUMNS and 0.5 * before < docs.count() <= before
-    assert {"epoch", "n_tokens"} <= set(docs.columns) and docs.count() > 0
+        assert docs.columns == pipeline.COLUMNS
+        assert collections.Counter(tuple(r) for r in docs.collect()) == collections.Counter(want), name
+        lost[name] = len(rows) - len(want)
+    assert sum(n > 0 for n in lost.values()) >= 2, lost
+    rows = [tuple(r) for r in docs.collect()]
+    names, mix = plain_mix(rows)
+    copies = collections.Counter((m["doc_id"], m["epoch"], m["n_tokens"]) for m in (dict(zip(names, r)) for r in mix))
+    got = pipeline.mixed(spark, docs, SF).collect()
+    assert collections.Counter((r.doc_id, r.epoch, r.n_tokens) for r in got) == copies and copies
+    assert {tuple(r)[: len(pipeline.COLUMNS)] for r in got} <= set(rows)
 
 
 def test_one_document_of_each_group_stays(spark):
