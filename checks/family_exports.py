@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from querytide.functions.stage import folder
 from querytide.operators import journeys, records
 from querytide.sources import exports as op
 
@@ -10,6 +11,33 @@ from .sqlkit import check, piece
 LABELS = {"i": "Info", "n": "Site", "c": "Compare", "t": "Buy"}
 check("A19_query_context_export", lambda s, d: op.query_context(fo.context(Domain(s, d))),
       "SELECT run_id, pos::int AS pos, keyword, volume_avg, i, n, c, t, volume_trend AS trend FROM q_context")
+
+
+def _read_back(s, d):
+    """The context as CSV with an empty, a missing and a quoted field in every second row, read again."""
+    dom = Domain(s, d)
+    odd = F.when(F.col("pos") % 2 == 0, F.concat(F.lit(' "a", '), "keyword", F.lit("\nb "))).when(F.col("pos") % 3 == 0, "")
+    table = op.query_context(fo.context(dom)).withColumn("odd", odd)
+    path = folder(s)
+    op.write_csv(table, path, ["run_id"])
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    back = op.read_csv(s, path, types)
+    return back.withColumn("odd", F.coalesce("odd", F.lit("null")))
+
+
+def _facts_again(s, d):
+    """Facts of all runs, then one run of them written again with other numbers: the others stay."""
+    table = op.query_context(fo.context(Domain(s, d))).select("run_id", "keyword", "volume_avg")
+    path = folder(s)
+    op.write_facts({"context": table}, path)
+    op.write_facts({"context": table.where("run_id = 'building'").withColumn("volume_avg", -F.col("volume_avg"))}, path, replace=True)
+    return s.read.schema(table.schema).parquet(f"{path}/context").select("run_id", "keyword", "volume_avg")
+
+
+check("A19_csv_read_back", _read_back, """
+SELECT run_id, pos::int AS pos, keyword, volume_avg, i, n, c, t, volume_trend AS trend,
+  CASE WHEN pos%2=0 THEN ' "a", ' || keyword || chr(10) || 'b ' WHEN pos%3=0 THEN '' ELSE 'null' END AS odd FROM q_context""")
+check("A19_facts_replaced", _facts_again, "SELECT run_id, keyword, CASE WHEN run_id='building' THEN -volume_avg ELSE volume_avg END AS volume_avg FROM q_context")
 check("A20_cluster_context_export", lambda s, d: op.cluster_context(fc.context(Domain(s, d)), LABELS), """
 SELECT run_id, keyword AS n, volume_avg::bigint AS v, letter AS c, CASE WHEN is_hub THEN 'TRUE' ELSE 'FALSE' END AS h, outgoing AS o,
   CASE WHEN greatest(i,n,c,t)<=0 THEN '' WHEN i=greatest(i,n,c,t) THEN 'Info' WHEN n=greatest(i,n,c,t) THEN 'Site' WHEN c=greatest(i,n,c,t) THEN 'Compare' ELSE 'Buy' END AS i FROM q_ccontext x"""

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from querytide.functions import cols
+from querytide.functions.stage import folder
 from querytide.operators import records as op
 from querytide.sources import readers
 
@@ -49,6 +50,28 @@ check("A1_read_keyword_info", lambda s, d: readers.keyword_info(raw_answers(Doma
     "run_id", *[c.strip() for c in METRIC_COLS.split(",")]), f"SELECT run_id, {METRIC_COLS} FROM q_metrics")
 
 
+BROKEN = [("", "empty"), ('{"data": [', "not JSON"), ('{"note": "later"}', "no list of records"), ('[{"keyword": ""}, 7]', "no keyword")]
+
+
+def answers_on_disk(dom):
+    """The answers as files, one a folder run_id=.../batch=..., next to four that cannot be used."""
+    def write():
+        path = folder(dom.spark)
+        good = raw_answers(dom).select("run_id", F.col("batch").cast("int").alias("batch"), "value")
+        bad = dom.each_run([(-1 - k, text) for k, (text, _) in enumerate(BROKEN)], "batch int, value string")
+        good.unionByName(bad.select("run_id", "batch", "value")).write.partitionBy("run_id", "batch").text(path)
+        return dom.spark.createDataFrame([(path,)], "path string")
+
+    path = dom.stage("answers on disk", write).first()[0]
+    return readers.answer_files(dom.spark, path)
+
+
+check("A1_answer_files", lambda s, d: readers.keyword_info(answers_on_disk(Domain(s, d))).select(
+    "run_id", *[c.strip() for c in METRIC_COLS.split(",")], "has_intents"), f"SELECT run_id, {METRIC_COLS}, true AS has_intents FROM q_metrics")
+check("A1_rejected_files", lambda s, d: readers.rejected(answers_on_disk(Domain(s, d))).select("run_id", "batch", "reason"),
+      "SELECT run_id, batch::int AS batch, reason FROM (SELECT DISTINCT run_id FROM q_metrics), (VALUES " + ", ".join(f"({-1 - k}, '{why}')" for k, (_, why) in enumerate(BROKEN)) + ") v(batch, reason)")
+
+
 PLACES = ["$", "$.data", "$.data.results", "$.result.hits.hits", "$.hits.hits", "$.results"]
 
 

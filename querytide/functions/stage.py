@@ -47,6 +47,13 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession) -> str:
+    """A path for files in the shared folder that goes with the staged tables."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def unstage(*tables: DataFrame) -> None:
     """Remove staged tables that nothing reads any more."""
     for df in tables:

@@ -1,6 +1,6 @@
 """Tables handed to readers outside Spark: narrow text columns, written as CSV or partitioned files."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cols, rank
 from ..operators import journeys
@@ -48,17 +48,24 @@ def journey_node_table(nodes: DataFrame, edges: DataFrame, n: int = NODES_SHOWN)
 
 
 def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """CSV with a header; a field is quoted only when it holds a comma, quote or line break."""
-    writer = df.write.mode("errorifexists").option("header", True).option("escape", '"')
+    """CSV with a header; a field is quoted only when it is an empty text or holds a comma, quote or line break."""
+    writer = df.write.mode("errorifexists").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `write_csv` wrote, with the given types (folder columns included): nulls and empty texts stay apart, line breaks stay in their field."""
+    missing = "\x00missing\x00"  # stands for a field without text while it is read, so that a quoted empty one is not taken for it
+    return spark.read.options(header=True, escape='"', multiLine=True, mode="FAILFAST", nullValue=missing).schema(schema).csv(path)
+
+
 def write_batches(batches: DataFrame, path: str) -> None:
     """Work lists as one folder per run and batch number."""
     batches.write.mode("errorifexists").partitionBy("run_id", "batch_no").json(path)
 
 
-def write_facts(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """One folder per fact table, partitioned by run."""
+def write_facts(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", replace: bool = False) -> None:
+    """One folder per fact table, partitioned by run; with `replace`, the runs of the tables take the place of what is there, others stay."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").partitionBy("run_id").format(fmt).save(f"{path}/{name}")
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else df.write.mode("errorifexists")
+        writer.partitionBy("run_id").format(fmt).save(f"{path}/{name}")

@@ -9,8 +9,9 @@ from ..functions import cols
 
 
 def answer_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per answer file: its name and its text."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    """One row per answer file: its name, the columns of its folders (run_id=a/batch=3) and its text."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), *[c for c in files.columns if c != "value"], "value")
 
 
 def _list(doc: str, path: str) -> Column:
@@ -50,14 +51,30 @@ def _answers(raw: DataFrame) -> DataFrame:
     return unwrap_content_blocks(parsed(raw))
 
 
+ENVELOPES = ["$", "$.data", "$.data.results", "$.result.hits.hits", "$.hits.hits", "$.results"]
+
+
+def rejected(raw: DataFrame) -> DataFrame:
+    """Answers that give no keyword records, without their text, and why: empty, not JSON, no list of records, no keyword."""
+    keys = [c for c in raw.columns if c != "value"]
+    blank = F.coalesce(F.trim(F.regexp_replace("value", r"\s", "")), F.lit("")) == ""
+    docs = unwrap_content_blocks(raw.select(*keys, blank.alias("_blank"), F.try_parse_json("value").alias("doc")))
+    rows = docs.withColumn("_rows", F.coalesce(*[_list("doc", p) for p in ENVELOPES]))
+    name = "coalesce(try_variant_get(x, '$._source.keyword', 'string'), try_variant_get(x, '$.keyword', 'string'), '')"
+    why = (
+        F.when(F.col("_blank"), "empty").when(F.col("doc").isNull(), "not JSON").when(F.col("_rows").isNull(), "no list of records")
+        .when(F.expr(f"NOT exists(_rows, x -> {name} <> '')"), "no keyword")
+    )
+    return rows.select(*keys, why.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def keyword_info(raw: DataFrame) -> DataFrame:
     """Keyword records of an answer in any known envelope, with typed metrics and months.
 
     has_intents tells intents that are all zero from an answer without any.
     """
     keys = [c for c in raw.columns if c != "value"]
-    envelopes = ["$", "$.data", "$.data.results", "$.result.hits.hits", "$.hits.hits", "$.results"]
-    rows = _answers(raw).select(*keys, F.posexplode(F.coalesce(*[_list("doc", p) for p in envelopes])).alias("pos", "row"))
+    rows = _answers(raw).select(*keys, F.posexplode(F.coalesce(*[_list("doc", p) for p in ENVELOPES])).alias("pos", "row"))
     src = rows.withColumn("src", F.coalesce(_object("row", "$._source"), _object("row", "$")))
 
     def metric(name):

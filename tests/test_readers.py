@@ -81,3 +81,25 @@ def test_files_are_read_whole_and_csv_quotes_only_when_needed(spark, tmp_path):
     exports.write_csv(df, str(tmp_path / "out"))
     lines = next((tmp_path / "out").glob("*.csv")).read_text().splitlines()
     assert lines == ["keyword,v", "plain,1", '"say ""hi"", you",2']
+
+
+def test_csv_is_read_back_as_it_was_written(spark, tmp_path):
+    rows = [("a", "plain", 1), ("a", "", 2), ("a", None, None), ("b", ' two "quoted", parts\nand a line ', 3), ("b", "NULL", 4), ("b", "back\\slash", 5)]
+    kind = "run_id string, text string, v int"
+    exports.write_csv(spark.createDataFrame(rows, kind).repartition(2), str(tmp_path / "out"), ["run_id"])
+    got = exports.read_csv(spark, str(tmp_path / "out"), kind).select("run_id", "text", "v").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, rows))
+
+
+def test_facts_of_one_run_are_replaced(spark, tmp_path):
+    kind = "run_id string, v int"
+    exports.write_facts({"t": spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], kind)}, str(tmp_path))
+    for _ in range(2):  # a repeated write changes nothing more
+        exports.write_facts({"t": spark.createDataFrame([("a", 9), ("c", 4)], kind)}, str(tmp_path), replace=True)
+        assert sorted((r.run_id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [("a", 9), ("b", 3), ("c", 4)]
+
+
+def test_answers_that_cannot_be_used_are_named(spark):
+    texts = [[ROW], "", " \n", "{", {"data": {}}, [], [{"keyword": ""}], [{"_source": {"keyword": "k"}}], [{"type": "text", "text": "[{}]"}], [{"type": "text", "text": json.dumps([ROW])}]]
+    got = {r.file: r.reason for r in readers.rejected(raw(spark, texts)).collect()}
+    assert got == {1: "empty", 2: "empty", 3: "not JSON", 4: "no list of records", 5: "no keyword", 6: "no keyword", 8: "no keyword"}
