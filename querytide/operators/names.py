@@ -68,8 +68,10 @@ def first_places(texts: DataFrame, names: DataFrame, known: DataFrame, text: str
 
     Bound names count at a word start or behind a word part that the run uses on its own (`known`: run_id, token). Their places are
     read from left to right without overlap, whether they count or not, as a reader would take them.
+
+    Places and readings are staged: both are read twice, and a task that makes them holds no other aggregate besides.
     """
-    hits = occurrences(texts, names, text)
+    hits = staged(occurrences(texts, names, text))
     key = ["run_id", "text", "kind"]
     spot = F.struct("at", (-F.col("size")).alias("less"), "size", "token")
     free = hits.where(~F.col("bound")).groupBy(*key).agg(F.min(spot).alias("s")).select(*key, "s.at", "s.size")
@@ -78,6 +80,7 @@ def first_places(texts: DataFrame, names: DataFrame, known: DataFrame, text: str
     step = lambda acc, x: F.when(
         x["at"] >= acc["end"], F.struct((x["at"] + x["size"]).alias("end"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
     read = lists.select(*key, F.explode(F.aggregate("s", start, step, lambda acc: acc["kept"])).alias("p")).select(*key, "p.at", "p.size", "p.token")
+    read = staged(read)
     heads = read.where("token = ''").select(*key, "at", "size")
     glued = read.where("token <> ''").join(known.select("run_id", "token"), ["run_id", "token"], "left_semi").select(*key, "at", "size")
     bound = heads.unionByName(glued).groupBy(*key).agg(F.min(F.struct("at", "size")).alias("s")).select(*key, "s.at", "s.size")
