@@ -31,35 +31,49 @@ def lines(docs: DataFrame) -> DataFrame:
     return text.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def tokens(line: Column) -> Column:
-    """Distinct shingles of a line as 64-bit hashes; empty without words, one shingle below five words.
+def _hashed_words(rows: DataFrame) -> DataFrame:
+    """Rows with `words`, a 64-bit hash for every word of their line; lines without words go.
 
-    The words are the variable of an outer lambda, so that each shingle reads them instead of splitting anew.
+    The generator makes the hashes once; a plain column would be made for each use of it.
     """
-    words = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
-    runs = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
-    shingled = lambda w: F.array_distinct(F.transform(runs(w), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
-    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), shingled))
+    kept = [c for c in rows.columns if c != "line"]
+    words = F.array_remove(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), "")
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return rows.select(*kept, F.explode(F.array(hashed)).alias("words")).where(F.size("words") > 0)
+
+
+def _runs() -> Column:
+    """The shingles of `words` as structs of five hashes; below five words one shingle, its missing words null."""
+    many = F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))
+    return F.arrays_zip(*[F.slice("words", k + 1, many).alias(f"w{k}") for k in range(SHINGLE)])
 
 
 def _tokenised(rows: DataFrame) -> DataFrame:
-    """Rows with `items`, the tokens of their line; lines without words go.
+    """Rows with `items`, the distinct shingles of their line as 64-bit hashes; lines without words go."""
+    hashed = _hashed_words(rows)
+    token = F.transform(_runs(), lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(SHINGLE)]))
+    kept = [c for c in hashed.columns if c != "words"]
+    return hashed.select(*kept, F.explode(F.array(F.array_distinct(token))).alias("items"))
 
-    The generator makes the tokens once; a plain column would be made for each use of it.
-    """
-    kept = [c for c in rows.columns if c != "line"]
-    return rows.select(*kept, F.explode(F.filter(F.array(tokens(F.col("line"))), lambda x: F.size(x) > 0)).alias("items"))
+
+def _all_tokens(rows: DataFrame) -> DataFrame:
+    """`t`, every shingle of every line, repeats included: a row each, without functions over arrays, which are slower."""
+    return _hashed_words(rows).select(F.inline(_runs())).select(F.xxhash64(*[f"w{k}" for k in range(SHINGLE)]).alias("t"))
 
 
-def _rarity(items: DataFrame) -> DataFrame:
+def _rarity(rows: DataFrame) -> DataFrame:
     """One row: an array of BUCKETS classes, shifted to the top byte of a token's sort key."""
-    counts = items.select(F.explode("items").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counts = _all_tokens(rows).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     kind = F.shiftleft(F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 4), F.lit(126)).cast("long"), 56)
-    every = items.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     pairs = F.array_sort(F.collect_list(F.struct("b", kind.alias("k"))))
     return every.agg(F.transform(pairs, lambda p: p["k"]).alias("classes"))
 
 
+def _set_id(items: str) -> Column:
+    return F.xxhash64(F.sort_array(items))
+
+
 def _least(n: Column) -> Column:
     """The smallest overlap with a partner at the threshold: ceil(0.8 n)."""
     return F.floor((PERCENT * n + 99) / 100).cast("int")
@@ -80,17 +94,17 @@ def _signature(items: str) -> list[Column]:
 
 def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFrame:
     """(b_seg, a_first): for every line set that is similar to one that comes first earlier, where such a one comes first."""
-    posted = prefixes.select("seg", F.explode("prefix").alias("token"))
+    posted = prefixes.select("seg", "n", F.posexplode("prefix").alias("at", "token"))
     often = posted.groupBy("token").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo <> hi").select("token")
     often = staged(often)
-    shared = staged(posted.join(small_side(often), "token", "left_semi").distinct())
-    wanted = staged(firsts.join(shared.select("seg").distinct(), "seg", "left_semi").select("seg", "first.doc_id", "first.line_no"))
+    order = staged(posted.join(small_side(often), "token", "left_semi").distinct())
+    unstage(often)
+    wanted = staged(firsts.join(order.select("seg").distinct(), "seg", "left_semi").select("seg", "first.doc_id", "first.line_no"))
     few = small_side(wanted)
     in_docs = docs.join(few.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = _tokenised(lines(in_docs).join(few, ["doc_id", "line_no"]))
+    rows = _tokenised(lines(in_docs).join(few, ["doc_id", "line_no"])).where(_set_id("items") == F.col("seg"))
     sets = rows.dropDuplicates(["seg"]).select("seg", F.sort_array("items").alias("items"), F.size("items").alias("n"))
     sets = staged(sets.select("seg", "items", "n", *_signature("items")))
-    order = prefixes.select("seg", "n", F.posexplode("prefix").alias("at", "token")).join(shared, ["seg", "token"], "left_semi").distinct()
     first = wanted.select("seg", F.struct("doc_id", "line_no").alias("first"))
     side = staged(order.join(sets.select("seg", *[f"s{k}" for k in range(4)]), "seg").join(first, "seg"))
     fields = ["seg", "n", "at", "s0", "s1", "s2", "s3", "first"]
@@ -124,11 +138,12 @@ def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFram
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted numbers of the lines to remove, for documents that have any."""
     items = _tokenised(lines(docs))
-    classes = _rarity(items).scalar()
-    key = lambda x: F.get(F.col("_classes"), F.pmod(x, F.lit(BUCKETS)).cast("int")).bitwiseOR(x.bitwiseAND(LOW_BITS))
+    classes = _rarity(lines(docs)).scalar()
+    kind = lambda x: F.coalesce(F.get(F.col("_classes"), F.pmod(x, F.lit(BUCKETS)).cast("int")), F.lit(0).cast("long"))  # noqa: E731  never null, so that longs are sorted
+    key = lambda x: kind(x).bitwiseOR(x.bitwiseAND(LOW_BITS))
     n = F.size("items")
     marked = items.withColumn("_classes", classes).select(
-        "doc_id", "line_no", n.alias("n"), F.xxhash64(F.sort_array("items")).alias("seg"),
+        "doc_id", "line_no", n.alias("n"), _set_id("items").alias("seg"),
         F.slice(F.sort_array(F.transform("items", key)), F.lit(1), n - _least(n) + 1).alias("prefix"),
     )
     marked = staged(marked)

@@ -143,6 +143,29 @@ def test_line_dedup_is_native_and_takes_empty_tables(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_lines_of_different_texts_that_share_an_id(spark):
+    """Both texts of id 1 have a line 0; the sets that later lines are compared with are those of their own text."""
+    near = lambda k: sentence(k, 80).replace(sentence(k, 80).split()[40], "changed")
+    rows = [(1, sentence(k, 80), "en", "s", 0) for k in (21, 22, 23, 24)] + [(k, near(k), "en", "s", 0) for k in (21, 22, 23, 24)]
+    got = line_dedup.deduplicated(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 4 + [(k, 1) for k in (21, 22, 23, 24)]
+
+
+def test_tokens_of_all_lines_are_exploded_and_joined_once(spark, monkeypatch):
+    """Places and sizes come with the shared tokens, not from a second join of all tokens; shingles are counted without functions over arrays."""
+    plans, write = {}, line_dedup.staged
+
+    def noted(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df)
+
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    line_dedup.removed_lines(documents(spark)).collect()
+    assert [sum("Join Left" in x for x in plan.split("\n")) for names, plan in plans.items() if {"at", "token"} <= set(names) and "s0" not in names] == [1]
+    counted = line_dedup._rarity(line_dedup.lines(documents(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in counted and "array_distinct" not in counted
+
+
 def brute_bytes(rows, length):
     texts = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
