@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stage import staged, unstage
 
 SHINGLE = 5
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 PERCENT = 80
+COPIES = 64  # lines of one set that are posted one by one
 LOW_BITS = (1 << 56) - 1
 BROADCAST_ROWS = 1_000_000  # rows of two numbers; more are joined by a shuffle
 
@@ -51,19 +52,20 @@ def _runs() -> Column:
 def _tokenised(rows: DataFrame) -> DataFrame:
     """Rows with `items`, the distinct shingles of their line as 64-bit hashes; lines without words go."""
     hashed = _hashed_words(rows)
-    token = F.transform(_runs(), lambda r: F.xxhash64(*[r[f"w{k}"] for k in range(SHINGLE)]))
+    token = F.transform(_runs(), lambda r: F.xxhash64(r))
     kept = [c for c in hashed.columns if c != "words"]
     return hashed.select(*kept, F.explode(F.array(F.array_distinct(token))).alias("items"))
 
 
 def _all_tokens(rows: DataFrame) -> DataFrame:
-    """`t`, every shingle of every line, repeats included: a row each, without functions over arrays, which are slower."""
-    return _hashed_words(rows).select(F.inline(_runs())).select(F.xxhash64(*[f"w{k}" for k in range(SHINGLE)]).alias("t"))
+    """`t`, every shingle of every line, repeats included: a row for each word that starts one, without functions over arrays, which are slower."""
+    starts = F.arrays_zip(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0))).alias("at"))
+    return _hashed_words(rows).select("words", F.inline(starts)).select(F.xxhash64(*[F.get("words", F.col("at") + k) for k in range(SHINGLE)]).alias("t"))
 
 
 def _rarity(rows: DataFrame) -> DataFrame:
     """One row: an array of BUCKETS classes, shifted to the top byte of a token's sort key."""
-    counts = _all_tokens(rows).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counts = _all_tokens(rows).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     kind = F.shiftleft(F.least(F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * 4), F.lit(126)).cast("long"), 56)
     every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     pairs = F.array_sort(F.collect_list(F.struct("b", kind.alias("k"))))
@@ -95,10 +97,9 @@ def _signature(items: str) -> list[Column]:
 def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFrame:
     """(b_seg, a_first): for every line set that is similar to one that comes first earlier, where such a one comes first."""
     posted = prefixes.select("seg", "n", F.posexplode("prefix").alias("at", "token"))
-    often = posted.groupBy("token").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo <> hi").select("token")
-    often = staged(often)
-    order = staged(posted.join(small_side(often), "token", "left_semi").distinct())
-    unstage(often)
+    same = W.partitionBy("token")  # a window, so that the tokens are shuffled once
+    often = posted.select("*", F.min("seg").over(same).alias("lo"), F.max("seg").over(same).alias("hi")).where("lo <> hi")
+    order = staged(often.drop("lo", "hi").distinct())
     wanted = staged(firsts.join(order.select("seg").distinct(), "seg", "left_semi").select("seg", "first.doc_id", "first.line_no"))
     few = small_side(wanted)
     in_docs = docs.join(few.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -135,11 +136,18 @@ def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFram
     return led.unionByName(verified(side, rest_of))
 
 
+def _without_copies(marked: DataFrame, firsts: DataFrame) -> DataFrame:
+    """seg, n and prefix of the lines; of a set that more than COPIES lines have, only those at its first place, lest its tokens fill one task."""
+    common = firsts.where(F.col("rows") > COPIES).select("seg", "first")
+    lone = F.col("first").isNull() | (F.struct("doc_id", "line_no") == F.col("first"))
+    return marked.join(small_side(staged(common)), "seg", "left").where(lone).select("seg", "n", "prefix")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted numbers of the lines to remove, for documents that have any."""
     items = _tokenised(lines(docs))
     classes = _rarity(lines(docs)).scalar()
-    kind = lambda x: F.coalesce(F.get(F.col("_classes"), F.pmod(x, F.lit(BUCKETS)).cast("int")), F.lit(0).cast("long"))  # noqa: E731  never null, so that longs are sorted
+    kind = lambda x: F.coalesce(F.get(F.col("_classes"), x.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))  # noqa: E731  never null, so that longs are sorted
     key = lambda x: kind(x).bitwiseOR(x.bitwiseAND(LOW_BITS))
     n = F.size("items")
     marked = items.withColumn("_classes", classes).select(
@@ -149,7 +157,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     marked = staged(marked)
     place = F.struct("doc_id", "line_no")
     firsts = staged(marked.groupBy("seg").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")))
-    links = staged(similar(docs, marked.select("seg", "n", "prefix"), firsts))
+    links = staged(similar(docs, _without_copies(marked, firsts), firsts))
     linked = links.groupBy(F.col("b_seg").alias("seg")).agg(F.min("a_first").alias("near"))
     bounds = firsts.join(linked, "seg", "left").where("rows > 1 or near is not null")
     bounds = staged(bounds.select("seg", F.least("first", F.coalesce("near", "first")).alias("bound")))

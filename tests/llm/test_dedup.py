@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from querytide.llm import jaccard_join, line_dedup, suffix_dedup
 from querytide.llm.components import components
@@ -166,6 +167,27 @@ def test_tokens_of_all_lines_are_exploded_and_joined_once(spark, monkeypatch):
     assert "Generate inline" in counted and "array_distinct" not in counted
 
 
+def test_tokens_of_all_lines_are_shuffled_once(spark, monkeypatch):
+    """Shared tokens are found and listed behind one shuffle, whatever their number; a common line is posted at its first place only."""
+    plans, write = {}, line_dedup.staged
+
+    def noted(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(df)
+
+    rows = [(k, sentence(5, 30), "en", "s", 0) for k in range(70)] + [(100, sentence(5, 30) + " more", "en", "s", 0), (101, sentence(6, 30), "en", "s", 0)]
+    monkeypatch.setattr(line_dedup, "COPIES", 3)
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    got = {r.doc_id: r.gone for r in line_dedup.removed_lines(documents(spark, rows)).collect()}
+    assert got == {k: [0] for k in [*range(1, 70), 100]}
+    plan = plans[("seg", "n", "at", "token")]
+    assert plan.count("Generate posexplode") == 1 and "Window" in plan
+    items = line_dedup._tokenised(line_dedup.lines(documents(spark, rows)))
+    marked = items.selectExpr("doc_id", "line_no", "size(items) n", "xxhash64(sort_array(items)) seg", "items prefix")
+    firsts = marked.groupBy("seg").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"))
+    assert line_dedup._without_copies(marked, firsts).count() == 3
+
+
 def brute_bytes(rows, length):
     texts = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
