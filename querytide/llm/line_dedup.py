@@ -86,12 +86,34 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _signature(items: str) -> list[Column]:
-    """Four 64-bit words with a bit for each token."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    part = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(3)
-    word = lambda k: F.aggregate(F.filter(items, lambda x: part(x) == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
-    return [word(k).alias(f"s{k}") for k in range(4)]
+def _signed(sets: DataFrame) -> DataFrame:
+    """seg and its signature, four 64-bit words with a bit for each token; rows of one seg are one set, whose bits meet in no array."""
+    x = F.col("x")
+    part = F.shiftrightunsigned(x, 6).bitwiseAND(3)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    words = [F.coalesce(F.bit_or(F.when(part == k, bit)), F.lit(0).cast("long")).alias(f"s{k}") for k in range(4)]
+    return sets.select("seg", F.explode("items").alias("x")).groupBy("seg").agg(*words)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """seg and `items` of the wanted sets, read again from the lines where they come first; a set may come more than once."""
+    few = small_side(wanted)
+    in_docs = docs.join(few.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _tokenised(lines(in_docs).join(few, ["doc_id", "line_no"])).where(_set_id("items") == F.col("seg"))
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs (a_seg, b_seg) that are similar, compared on the whole sets; sets that are in no pair are not read."""
+    members = pairs.select(F.explode(F.array("a_seg", "b_seg")).alias("seg")).distinct()
+    sets = _sets(docs, staged(wanted.join(members, "seg", "left_semi")))
+    sets = staged(sets.select("seg", "items").dropDuplicates(["seg"]))
+    left = sets.select(F.col("seg").alias("a_seg"), F.col("items").alias("ia"))
+    right = sets.select(F.col("seg").alias("b_seg"), F.col("items").alias("ib"))
+    common = F.size(F.array_intersect("ia", "ib"))
+    alike = 100 * common >= PERCENT * (F.size("ia") + F.size("ib") - common)
+    out = staged(pairs.join(left, "a_seg").join(right, "b_seg").where(alike).drop("ia", "ib"))
+    unstage(sets)
+    return out
 
 
 def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -101,13 +123,9 @@ def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFram
     often = posted.select("*", F.min("seg").over(same).alias("lo"), F.max("seg").over(same).alias("hi")).where("lo <> hi")
     order = staged(often.drop("lo", "hi").distinct())
     wanted = staged(firsts.join(order.select("seg").distinct(), "seg", "left_semi").select("seg", "first.doc_id", "first.line_no"))
-    few = small_side(wanted)
-    in_docs = docs.join(few.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = _tokenised(lines(in_docs).join(few, ["doc_id", "line_no"])).where(_set_id("items") == F.col("seg"))
-    sets = rows.dropDuplicates(["seg"]).select("seg", F.sort_array("items").alias("items"), F.size("items").alias("n"))
-    sets = staged(sets.select("seg", "items", "n", *_signature("items")))
+    signed = _signed(_sets(docs, wanted))  # whole sets are read once pairs are known
     first = wanted.select("seg", F.struct("doc_id", "line_no").alias("first"))
-    side = staged(order.join(sets.select("seg", *[f"s{k}" for k in range(4)]), "seg").join(first, "seg"))
+    side = staged(order.join(signed.join(first, "seg"), "seg"))
     fields = ["seg", "n", "at", "s0", "s1", "s2", "s3", "first"]
     named = lambda df, who: df.select("token", *[F.col(c).alias(f"{who}_{c}") for c in fields])
     both = F.col("a_n") + F.col("b_n")
@@ -120,14 +138,10 @@ def similar(docs: DataFrame, prefixes: DataFrame, firsts: DataFrame) -> DataFram
         & (rest >= overlap)
         & (both - differing >= 2 * overlap)
     )
-    left = sets.select(F.col("seg").alias("a_seg"), F.col("items").alias("ia"))
-    right = sets.select(F.col("seg").alias("b_seg"), F.col("items").alias("ib"))
-    common = F.size(F.array_intersect("ia", "ib"))
-    alike = 100 * common >= PERCENT * (F.size("ia") + F.size("ib") - common)
 
     def verified(earlier: DataFrame, later: DataFrame) -> DataFrame:
         pairs = named(earlier, "a").join(named(later, "b"), "token").where(passes).select("a_seg", "b_seg", "a_first").distinct()
-        return staged(pairs.join(left, "a_seg").join(right, "b_seg").where(alike).select("b_seg", "a_first"))
+        return _alike(docs, staged(pairs), wanted).select("b_seg", "a_first")
 
     # most lines of a group are like its first one: they need no other partner
     leaders = side.groupBy("token").agg(F.min_by(F.struct(*fields), "first").alias("l")).select("token", "l.*")

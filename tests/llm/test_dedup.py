@@ -188,6 +188,27 @@ def test_tokens_of_all_lines_are_shuffled_once(spark, monkeypatch):
     assert line_dedup._without_copies(marked, firsts).count() == 3
 
 
+def test_whole_sets_are_kept_for_pairs_only(spark, monkeypatch):
+    """Lines that share a rare token, but pass no filter as a pair, are not written with their sets."""
+    kept, posted, write = [], [], line_dedup.staged
+
+    def noted(df):
+        out = write(df)
+        kept.extend(out.select("items").collect() if "items" in df.columns else [])
+        posted.extend(out.select("seg").collect() if {"seg", "at", "token", "s0"} <= set(df.columns) else [])
+        return out
+
+    blocks = [sentence(300 + k, 15) for k in range(40)]
+    near = sentence(5, 60)
+    rows = [(k, f"{blocks[k]} {blocks[(k + 1) % 40]}", "en", "s", 0) for k in range(40)]
+    rows += [(100, near, "en", "s", 0), (101, near.rsplit(" ", 1)[0] + " changed", "en", "s", 0)]
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    got = {r.doc_id: r.gone for r in line_dedup.removed_lines(documents(spark, rows)).collect()}
+    assert got == {101: [0]}
+    assert len({r.seg for r in posted}) > 2
+    assert len(kept) == 2
+
+
 def brute_bytes(rows, length):
     texts = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = collections.Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
